@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 from msgrisk import schemas
 from msgrisk.functions.text import SPACE
 
-_STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def strict_json(text: Column, schema: str) -> Column:
+    """Record of a text that is one JSON object and nothing more, else null.
+
+    Parsed as the only element of a list, because the parser would overlook
+    whatever follows the first object of a text.
+    """
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    parsed = F.from_json(listed, f"array<struct<{schema}>>", _STRICT)
+    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
 
 
 def reply_content(envelope: Column) -> Column:
@@ -29,7 +40,7 @@ def json_slice(text: Column) -> Column:
 
 def parse_verdict(text: Column) -> Column:
     """Verdict record inside a reply; null fields where nothing is readable."""
-    return F.from_json(json_slice(text), schemas.VERDICT, _STRICT)
+    return strict_json(json_slice(text), schemas.VERDICT)
 
 
 def accepted_rating(rating: Column) -> Column:
@@ -43,8 +54,7 @@ def verdict_rating(text: Column) -> Column:
 
 def page_or_text(reply: Column, url: Column) -> Column:
     """A page reply as a record; a reply that is no JSON object becomes content."""
-    parsed = F.from_json(reply, schemas.PAGE_RECORD, _STRICT)
-    is_record = F.get_json_object(reply, "$").startswith("{")
+    parsed = strict_json(reply, schemas.PAGE_RECORD)
     none = F.lit(None).cast("string")
     wrapped = F.struct(
         url.alias("url"),
@@ -54,4 +64,4 @@ def page_or_text(reply: Column, url: Column) -> Column:
         none.alias("method"),
         none.alias("error"),
     )
-    return F.when(is_record, parsed).otherwise(wrapped)
+    return F.coalesce(parsed, wrapped)

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from msgrisk import rubric, schemas
-from msgrisk.functions import chat, grading
+from msgrisk.functions import chat, grading, verdicts
 
 
 def parse(df: DataFrame, body: str = "body") -> DataFrame:
     """Add the parsed request ``data`` and flat columns; other columns stay."""
-    parsed = df.withColumn("data", F.from_json(body, schemas.CALLBACK_BODY))
+    parsed = df.withColumn("data", verdicts.strict_json(F.col(body), schemas.CALLBACK_BODY))
     return (
         parsed.withColumn("from_account", F.col("data.From_Account"))
         .withColumn("to_account", F.col("data.To_Account"))
@@ -22,21 +22,19 @@ def parse(df: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def _empty_body(body: Column) -> Column:
-    # A missing, unreadable or empty object counts as no content at all.
-    keys = F.json_object_keys(body)
-    return body.isNull() | keys.isNull() | (F.size(keys) == 0)
-
-
 def validate(df: DataFrame, app_id: str, body: str = "body") -> DataFrame:
-    """Add ``error_info``: the first failed check of a request, null if none."""
+    """Add ``error_info``: the first failed check of a parsed request, null if none.
+
+    A body that is missing, unreadable or an empty object is no content.
+    """
     app, platform = F.col("SdkAppid"), F.col("OptPlatform")
+    empty = F.col(body).rlike("^\\s*\\{\\s*\\}\\s*$")
     known = F.coalesce(platform.isin(rubric.PLATFORMS), F.lit(False))
     error = (
         F.when(app.isNull() | (app == ""), rubric.REJECT_NO_APP)
         .when(app != app_id, rubric.REJECT_BAD_APP)
         .when(~known, rubric.REJECT_PLATFORM)
-        .when(_empty_body(F.col(body)), rubric.REJECT_BODY)
+        .when(F.col("data").isNull() | empty, rubric.REJECT_BODY)
     )
     return df.withColumn("error_info", error)
 

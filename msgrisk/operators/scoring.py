@@ -138,7 +138,7 @@ def score_conversations(df: DataFrame, scorer: Scorer, snippet: str = "snippet")
     failed = F.col("_scored.error").isNotNull()
     return (
         scored.withColumn("reply", reply)
-        .withColumn("verdict", F.from_json(verdicts.strip_fence(reply), schemas.VERDICT))
+        .withColumn("verdict", verdicts.strict_json(verdicts.strip_fence(reply), schemas.VERDICT))
         .withColumn("error", F.when(failed, "agent_failure"))
         .withColumn("error_message", F.col("_scored.error"))
         .drop("_scored")

@@ -21,6 +21,10 @@ from msgrisk.operators import (
     workflow,
 )
 from msgrisk.plans import views
+from msgrisk.session import scratch_path
+from msgrisk.sinks import writers
+from msgrisk.sources import datasets
+from msgrisk.streaming import monitor
 
 PAIR = ["account_low", "account_high"]
 
@@ -478,6 +482,91 @@ def workflow_result(spark, sf_dir):
     )
 
 
+# -- streams, files and the flagship ------------------------------------------
+
+
+def _stream_to_table(spark, stream, label):
+    """Run a stream to its end and read back what it wrote."""
+    path = scratch_path(spark, label)
+    query = monitor.append(stream, path, f"{path}-progress")
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def stream_last_messages(spark, sf_dir):
+    turns = views.table_stream(spark, sf_dir, "conversations")
+    none = F.lit(None).cast("string")
+    events = turns.select(
+        F.col("role").alias("from_account"),
+        F.concat(F.lit("c"), F.col("conv_id")).alias("to_account"),
+        F.timestamp_seconds("turn").alias("event_time"),
+        F.col("turn").alias("msg_seq"),
+        F.lit("after").alias("kind"),
+        "text",
+        F.lit(None).cast("double").alias("rating"),
+        none.alias("reasoning"),
+        none.alias("advice"),
+    )
+    rows = _stream_to_table(spark, monitor.monitor(events), "stream-history")
+    return rows.select(
+        F.col("to_account").alias("conversation"),
+        F.col("from_account").alias("role"),
+        F.col("msg_seq").alias("turn"),
+        F.array_join("last_messages", "\n").alias("snippet"),
+    )
+
+
+def stream_notices(spark, sf_dir):
+    raw = views.table_stream(spark, sf_dir, "events")
+    events = views.chat_events(spark, sf_dir, raw).select(
+        "from_account", "to_account", F.col("ts").alias("event_time"),
+        F.col("event_id").alias("msg_seq"), "kind", "text", "rating", "reasoning", "advice",
+    )
+    rows = _stream_to_table(spark, monitor.monitor(events), "stream-notices")
+    return rows.select(
+        F.col("msg_seq").alias("event_id"),
+        "kind",
+        "tier",
+        "notice",
+        F.get("response.MsgBody", F.lit(0))["MsgContent"]["Text"].alias("message"),
+    )
+
+
+def stream_alerts(spark, sf_dir):
+    raw = views.table_stream(spark, sf_dir, "events")
+    events = views.chat_events(spark, sf_dir, raw)
+    rows = callbacks.alerts(events, nonce=F.col("event_id")).select("event_id", "payload")
+    return _stream_to_table(spark, rows, "stream-alerts")
+
+
+def scored_dataset_files(spark, sf_dir):
+    """Documents written as scored datasets and read back, counted per dataset."""
+    docs = views.table(spark, sf_dir, "documents")
+    rows = docs.select(
+        F.col("source").alias("dataset"),
+        F.lit("rules").alias("model"),
+        F.col("text").alias("content"),
+        (F.col("n_chars") % 5 + 1).alias("rating"),
+    )
+    path = scratch_path(spark, "scored")
+    writers.write_scored(rows, path)
+    back = datasets.read_scored(spark, path)
+    return back.groupBy("dataset", "model").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("rating").alias("ratings"),
+        F.sum(F.length("content")).alias("chars"),
+    )
+
+
+def label_sheets_merged(spark, sf_dir):
+    """Label sheets and ratings zipped, written as CSV, read back and evaluated."""
+    ratings = views.sheet_ratings(spark, sf_dir)
+    zipped = labels.merge_sheets(views.sheet_labels(spark, sf_dir), ratings)
+    path = scratch_path(spark, "merged")
+    writers.write_merged_labels(zipped, path)
+    return metrics.clean_counts(datasets.read_ratings(spark, path))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages per action tier: last three turns, rule verdict, tier."""
     snippets = history.last_messages(views.turns(spark, sf_dir), ["conv_id"], "turn", who="role")
@@ -505,5 +594,7 @@ QUERIES = {
         url_maximal, page_text, page_title, url_page_join, page_fallback, evidence_doc,
         verdict_parse, reply_content, risk_keywords, fraud_type, rule_rating, link_rating,
         score_batch, score_conversations, workflow_result, conversation_tiers,
+        stream_last_messages, stream_notices, stream_alerts, scored_dataset_files,
+        label_sheets_merged,
     )
 }

@@ -666,4 +666,27 @@ SELECT CAST(level AS DOUBLE) AS rating, CASE WHEN level >= 4 THEN 'alert' WHEN l
     ),
 }
 
-ORACLE = {**RATING_SQL, **CHAT_SQL, **LINK_SQL, **SCORE_SQL}
+STREAM_SQL = {
+    "stream_last_messages": """WITH lines AS (
+  SELECT conv_id, role, turn, list(role || ': ' || text) OVER (
+           PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS l
+  FROM conversations)
+SELECT 'c' || conv_id AS conversation, role, turn, array_to_string(l, chr(10)) AS snippet
+FROM lines""",
+    "stream_notices": f"""WITH {_noticed(BY_PAIR)}
+SELECT event_id, kind, CASE WHEN rating >= 4 THEN 'alert' WHEN rating >= 3 THEN 'notice'
+       ELSE 'none' END AS tier, notice, notice || chr(10) || text AS message FROM noticed""",
+    "stream_alerts": CHAT_SQL["alert_payload"],
+    "scored_dataset_files": """SELECT source AS dataset, 'rules' AS model, count(*) AS n,
+       CAST(sum(n_chars % 5 + 1) AS DOUBLE) AS ratings, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM documents GROUP BY source""",
+    "label_sheets_merged": f"""WITH zipped AS (
+  SELECT "human rating" AS human, rating FROM ({RATING_SQL["label_zip"]}))
+SELECT count(*) AS n_raw,
+       count(*) FILTER (human IS NOT NULL AND rating IS NOT NULL) AS n_rated,
+       count(*) FILTER (human IS NULL OR rating IS NULL) AS n_dropped,
+       count(*) FILTER (human BETWEEN 1 AND 5 AND rating BETWEEN 1 AND 5) AS n_valid
+FROM zipped""",
+}
+
+ORACLE = {**RATING_SQL, **CHAT_SQL, **LINK_SQL, **SCORE_SQL, **STREAM_SQL}

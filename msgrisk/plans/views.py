@@ -59,9 +59,17 @@ def _every(n: int) -> Column:
     return F.col("event_id") % n == 0
 
 
-def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, read to its end."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(
+        sf_dir
+    )
+
+
+def chat_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Chat events with accounts, kind, text and (mostly) a rating."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events") if events is None else events
     command = (
         F.when(F.col("event_type").isin("view", "click"), rubric.BEFORE_SEND)
         .when((F.col("event_type") == "error") & _every(5), "Group.CallbackAfterSendMsg")
