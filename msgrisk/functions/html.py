@@ -9,23 +9,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from msgrisk import rubric
-from msgrisk.functions.text import LINE_END, SPACE, head, strip
+from msgrisk.functions.text import LINE_END, SPACE, head, let, strip
 
 # Elements whose content is no page text, and markup that is none either. One
 # alternation, so that a comment inside a script (or the reverse) is no problem.
 _HIDDEN = (
-    "(?is)<script\\b[^>]*>.*?(?:</script\\s*>|\\z)"
-    "|<style\\b[^>]*>.*?(?:</style\\s*>|\\z)"
-    "|<template\\b[^>]*>.*?(?:</template\\s*>|\\z)"
-    "|<rt\\b[^>]*>.*?(?:</rt\\s*>|\\z)"
-    "|<rp\\b[^>]*>.*?(?:</rp\\s*>|\\z)"
-    "|<!--.*?-->"
-    "|<[!?][^>]*>"
+    "(?is)<(?:script\\b[^>]*>.*?(?:</script\\s*>|\\z)"
+    "|style\\b[^>]*>.*?(?:</style\\s*>|\\z)"
+    "|template\\b[^>]*>.*?(?:</template\\s*>|\\z)"
+    "|rt\\b[^>]*>.*?(?:</rt\\s*>|\\z)"
+    "|rp\\b[^>]*>.*?(?:</rp\\s*>|\\z)"
+    "|!--.*?-->"
+    "|[!?][^>]*>)"
 )
 # A tag; quoted attribute values may hold a closing bracket.
-_TAG = "(?s)</?[A-Za-z](?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>|</?[A-Za-z][^>]*>"
+_TAG = "(?s)</?[A-Za-z](?:(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>|[^>]*>)"
 _TITLE = "(?is)<title\\b[^>]*>(.*?)(?:</title\\s*>|\\z)"
-_ENTITY = "^(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|([A-Za-z][-.A-Za-z0-9]*));?"
+_ENTITY = "^(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][-.A-Za-z0-9]*);?"
 
 _COMMON = ["amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot", "hellip", "mdash"]
 
@@ -61,12 +61,22 @@ def _code_point(number: Column) -> Column:
 
 
 def _number(digits: Column, base: int) -> Column:
-    """Value of the digits, -1 if absent or beyond the range of a code point."""
+    """Value of the digits, -1 if beyond the range of a code point."""
     trimmed = F.regexp_replace(digits, "^0+(?=.)", "")
-    return (
-        F.when(digits == "", F.lit(None).cast("bigint"))
-        .when(F.length(trimmed) > 8, F.lit(-1).cast("bigint"))
-        .otherwise(F.conv(trimmed, base, 10).cast("bigint"))
+    return F.when(F.length(trimmed) > 8, F.lit(-1).cast("bigint")).otherwise(
+        F.conv(trimmed, base, 10).cast("bigint")
+    )
+
+
+def _reference(name: Column, table: Column) -> Column:
+    """Character of a reference without its ampersand and semicolon."""
+    number = (
+        F.when(name.rlike("^#[xX]"), _number(F.substr(name, F.lit(3)), 16))
+        .when(name.startswith("#"), _number(F.substr(name, F.lit(2)), 10))
+    )
+    named = F.coalesce(F.try_element_at(table, name), F.concat(F.lit("&"), name))
+    return let(
+        number, lambda n: F.when(n.isNotNull(), _code_point(n)).otherwise(named)
     )
 
 
@@ -75,26 +85,40 @@ def unescape(text: Column, entities: dict[str, str] | None = None) -> Column:
 
     An unknown name loses its semicolon and stays, as HTML tree builders have it.
     """
-    table = _literal_map(entities or entity_table())
-
-    def resolve(piece: Column) -> Column:
-        whole = F.regexp_extract(piece, _ENTITY, 0)
-        decimal = _number(F.regexp_extract(piece, _ENTITY, 1), 10)
-        hexadecimal = _number(F.regexp_extract(piece, _ENTITY, 2), 16)
-        name = F.regexp_extract(piece, _ENTITY, 3)
-        number = F.coalesce(decimal, hexadecimal)
-        rest = F.substr(piece, F.length(whole) + 1)
-        character = F.when(number.isNotNull(), _code_point(number)).otherwise(
-            F.coalesce(F.try_element_at(table, name), F.concat(F.lit("&"), name))
-        )
-        return F.when(whole == "", F.concat(F.lit("&"), piece)).otherwise(
-            F.concat(character, rest)
+    entities = entities or entity_table()
+    table = _literal_map(entities)
+
+    def other(piece: Column) -> Column:
+        return let(
+            F.regexp_extract(piece, _ENTITY, 0),
+            lambda whole: F.when(whole == "", F.concat(F.lit("&"), piece)).otherwise(
+                F.concat(
+                    _reference(F.rtrim(whole, F.lit(";")), table),
+                    F.substr(piece, F.length(whole) + 1),
+                )
+            ),
         )
 
-    pieces = F.split(text, "&", -1)
-    tail = F.transform(F.slice(pieces, 2, F.size(pieces)), resolve)
-    resolved = F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
-    return F.when(F.contains(text, F.lit("&")), resolved).otherwise(text)
+    def resolve(piece: Column) -> Column:
+        # The first few common names need no regular expression.
+        ladder = None
+        for name in _COMMON[:4]:
+            if name in entities:
+                hit = piece.startswith(f"{name};")
+                value = F.concat(
+                    F.lit(entities[name]), F.substr(piece, F.lit(len(name) + 2))
+                )
+                ladder = F.when(hit, value) if ladder is None else ladder.when(hit, value)
+        return other(piece) if ladder is None else ladder.otherwise(other(piece))
+
+    def joined(pieces: Column) -> Column:
+        tail = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), resolve)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
+
+    return let(
+        text,
+        lambda t: F.when(F.contains(t, F.lit("&")), let(F.split(t, "&", -1), joined)).otherwise(t),
+    )
 
 
 def visible(markup: Column) -> Column:
@@ -108,7 +132,8 @@ def squeeze(text: Column) -> Column:
     Phrases end at a line end or at two spaces, so each run of white space that
     holds one of these becomes one space and all other runs stay.
     """
-    gap = f"(?<![{SPACE}])[{SPACE}]*?(?:  |[{LINE_END}])[{SPACE}]*"
+    # The first group passes over plain letters at the price of one comparison.
+    gap = f"(?=[^\\x{{21}}-\\x{{84}}])(?<![{SPACE}])[{SPACE}]*?(?:  |[{LINE_END}])[{SPACE}]*"
     return strip(F.regexp_replace(text, gap, " "))
 
 

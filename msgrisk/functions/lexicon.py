@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from msgrisk import rubric
+from msgrisk.functions.text import let
 
 Lexicon = dict[str, list[str]]
 
@@ -23,37 +24,37 @@ def _literal_terms(terms: list[str]) -> Column:
     return F.split(F.lit("\n".join(terms)), "\n", -1)
 
 
-def matched_terms(text: Column, terms: list[str]) -> Column:
-    """Terms that occur in the text, case aside, in the order given."""
-    lowered = F.lower(text)
+def _matches(lowered: Column, terms: list[str]) -> Column:
     if not terms:
         return F.array().cast("array<string>")
     if len(terms) <= UNROLLED_TERMS:
         tests = [F.when(F.contains(lowered, F.lit(t.lower())), F.lit(t)) for t in terms]
         found = F.array_compact(F.array(*tests))
     else:
-        found = F.filter(
-            _literal_terms(terms), lambda t: F.contains(lowered, F.lower(t))
-        )
+        found = F.filter(_literal_terms(terms), lambda t: F.contains(lowered, F.lower(t)))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def hit_count(text: Column, terms: list[str]) -> Column:
-    """Number of distinct terms that occur in the text."""
-    if not terms:
-        return F.lit(0)
+def _hits(lowered: Column, terms: list[str]) -> Column:
     if len(terms) > UNROLLED_TERMS:
-        return F.size(matched_terms(text, terms))
-    lowered = F.lower(text)
+        return F.size(_matches(lowered, terms))
     total = F.lit(0)
     for term in terms:
         total = total + F.when(F.contains(lowered, F.lit(term.lower())), 1).otherwise(0)
     return total
 
 
+def matched_terms(text: Column, terms: list[str]) -> Column:
+    """Terms that occur in the text, case aside, in the order given."""
+    return let(F.lower(text), lambda t: _matches(t, terms))
+
+
 def risk_keywords(text: Column, lexicon: Lexicon = rubric.RISK_KEYWORDS) -> Column:
     """Struct of the matched terms of each group."""
-    return F.struct(*[matched_terms(text, terms).alias(g) for g, terms in lexicon.items()])
+    return let(
+        F.lower(text),
+        lambda t: F.struct(*[_matches(t, terms).alias(g) for g, terms in lexicon.items()]),
+    )
 
 
 def all_keywords(groups: Column, lexicon: Lexicon = rubric.RISK_KEYWORDS) -> Column:
@@ -105,16 +106,19 @@ def scam_type(
 
     The lowest type number wins a tie; without any sign the name is null.
     """
-    scored = [
-        F.struct(
-            hit_count(text, terms).alias("hits"),
-            F.lit(-number).alias("rank"),
-            F.lit(names[number - 1]).alias("name"),
-        )
-        for number, terms in signs.items()
-    ]
-    best = F.array_max(F.array(*scored))
-    return F.struct(
-        F.when(best["hits"] > 0, best["name"]).alias("name"),
-        F.coalesce(best["hits"], F.lit(0)).alias("hits"),
-    )
+    def best(lowered: Column) -> Column:
+        scored = [
+            F.struct(
+                _hits(lowered, terms).alias("hits"),
+                F.lit(-number).alias("rank"),
+                F.lit(names[number - 1]).alias("name"),
+            )
+            for number, terms in signs.items()
+        ]
+        return F.array_max(F.array(*scored))
+
+    def shown(found: Column) -> Column:
+        name = F.when(found["hits"] > 0, found["name"])
+        return F.struct(name.alias("name"), found["hits"].alias("hits"))
+
+    return let(let(F.lower(F.coalesce(text, F.lit(""))), best), shown)

@@ -6,11 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from msgrisk import rubric
+from msgrisk.functions.text import let
 
 # Unicode word boundaries and case folding, as the original pattern has them.
 _FLAGS = "(?iU)"
 _VALID_END = "A-Za-z0-9_/\\-"
 _CJK = "\\x{4e00}-\\x{9fff}"
+# Every match of the two patterns has a dot before two label characters. Texts
+# without that skip the pattern itself, which is far slower to test.
+_HAS_HOST = "\\.[-A-Za-z0-9_\\x{130}\\x{131}\\x{17f}\\x{212a}]{2}"
 _PUNCTUATION = "[.,;!?。，；！？]+\\z"
 
 
@@ -22,13 +26,18 @@ def clean_tail(url: Column) -> Column:
     end goes, and what remains must have more than three characters.
     """
     chinese_first = f"[{_CJK}][^{_VALID_END}{_CJK}]*\\z"
-    cut = (
-        F.when(url.rlike(chinese_first), F.regexp_replace(url, chinese_first, ""))
-        .when(url.rlike(f"[{_VALID_END}]"), F.regexp_replace(url, f"[^{_VALID_END}]+\\z", ""))
-        .otherwise(url)
+
+    def cut(u: Column) -> Column:
+        kept = (
+            F.when(u.rlike(chinese_first), F.regexp_replace(u, chinese_first, ""))
+            .when(u.rlike(f"[{_VALID_END}]"), F.regexp_replace(u, f"[^{_VALID_END}]+\\z", ""))
+            .otherwise(u)
+        )
+        return F.regexp_replace(kept, _PUNCTUATION, "")
+
+    return let(
+        cut(url), lambda c: F.when(F.length(c) >= rubric.URL_MIN_CHARS, c).otherwise("")
     )
-    cut = F.regexp_replace(cut, _PUNCTUATION, "")
-    return F.when(F.length(cut) >= rubric.URL_MIN_CHARS, cut).otherwise("")
 
 
 def find_urls(text: Column, pattern: str = rubric.URL_COMPAT) -> Column:
@@ -37,7 +46,10 @@ def find_urls(text: Column, pattern: str = rubric.URL_COMPAT) -> Column:
     # A match of the compatible pattern always ends in a valid character.
     if pattern != rubric.URL_COMPAT:
         found = F.transform(found, clean_tail)
-    return F.filter(found, lambda u: F.length(u) >= rubric.URL_MIN_CHARS)
+    found = F.filter(found, lambda u: F.length(u) >= rubric.URL_MIN_CHARS)
+    if pattern in (rubric.URL_COMPAT, rubric.URL_FULL):
+        found = F.when(text.rlike(_HAS_HOST), found).otherwise(F.array().cast("array<string>"))
+    return found
 
 
 def longest_first(urls: Column) -> Column:
@@ -51,9 +63,13 @@ def longest_first(urls: Column) -> Column:
 
 def maximal(urls: Column) -> Column:
     """Drop every link that is part of a longer one. Expects distinct links."""
-    return F.filter(
-        urls, lambda x: ~F.exists(urls, lambda y: (y != x) & F.contains(y, x))
-    )
+
+    def kept(links: Column) -> Column:
+        return F.filter(
+            links, lambda x: ~F.exists(links, lambda y: (y != x) & F.contains(y, x))
+        )
+
+    return let(urls, kept)
 
 
 def with_scheme(url: Column) -> Column:
@@ -63,23 +79,21 @@ def with_scheme(url: Column) -> Column:
 
 def extract_urls(text: Column, pattern: str = rubric.URL_COMPAT) -> Column:
     """Links of a text: found, distinct, longest first, maximal, with a scheme."""
-    found = find_urls(text, pattern)
-    if pattern == rubric.URL_COMPAT:
-        # Every match holds a dot; texts without one skip the pattern.
-        found = F.when(F.contains(text, F.lit(".")), found).otherwise(
-            F.array().cast("array<string>")
-        )
-    return F.transform(maximal(longest_first(found)), with_scheme)
+    return F.transform(maximal(longest_first(find_urls(text, pattern))), with_scheme)
 
 
 def url_key(url: Column) -> Column:
     """Join key of a link: no scheme, lower-case host, no fragment or end slash."""
-    bare = F.regexp_replace(url, "^(?i)https?://", "")
-    bare = F.regexp_replace(bare, "#.*\\z", "")
+    bare = F.regexp_replace(url, "^(?i)https?://|#.*\\z", "")
     bare = F.regexp_replace(bare, "/+\\z", "")
     host = F.regexp_extract(bare, "^[^/?]*", 0)
-    return F.concat(F.lower(host), F.substr(bare, F.length(host) + 1))
+    return F.concat(F.lower(host), F.regexp_replace(bare, "^[^/?]*", ""))
+
+
+def key_host(key: Column) -> Column:
+    """Host of a join key, without a port."""
+    return F.regexp_extract(key, "^[^/?:]*", 0)
 
 
 def url_host(url: Column) -> Column:
-    return F.regexp_extract(url_key(url), "^[^/?:]*", 0)
+    return key_host(url_key(url))

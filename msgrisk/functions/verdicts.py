@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from msgrisk import schemas
-from msgrisk.functions.text import SPACE
+from msgrisk.functions.text import SPACE, let
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
@@ -19,7 +19,7 @@ def strict_json(text: Column, schema: str) -> Column:
     """
     listed = F.concat(F.lit("["), text, F.lit("]"))
     parsed = F.from_json(listed, f"array<struct<{schema}>>", _STRICT)
-    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
+    return let(parsed, lambda p: F.when(F.size(p) == 1, F.get(p, F.lit(0))))
 
 
 def reply_content(envelope: Column) -> Column:

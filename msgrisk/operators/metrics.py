@@ -4,14 +4,12 @@ All metrics follow from the counts of the 25 (human, predicted) pairs. One
 aggregation with map-side combine finds them; a second, over at most 25 rows per
 group, lays them out as columns ``c11`` to ``c55`` of a *matrix* row. Each
 metric is arithmetic on that row, so no further pass over the data is needed.
-Every function takes ``by``, extra grouping columns such as sheet or model.
+Every function takes ``by``, extra grouping columns such as sheet or model. The
+arithmetic is written as SQL text, which plans much faster than as many columns.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +25,22 @@ AUXILIARY = [
 ]
 
 
-def _total(columns: list[Column]) -> Column:
-    return reduce(add, columns)
+def _total(terms: list[str]) -> str:
+    return "(" + " + ".join(terms) + ")" if terms else "0L"
+
+
+def _cell(human: int, pred: int) -> str:
+    return f"c{human}{pred}"
+
+
+def _ratio(part: str, whole: str) -> str:
+    """part / whole, 0 where the whole is empty."""
+    return f"coalesce(try_divide({part}, {whole}), 0D)"
 
 
-def _cell(human: int, pred: int) -> Column:
-    return F.col(f"c{human}{pred}")
+def _inline(rows: list[str]) -> Column:
+    """One output row for each struct."""
+    return F.expr(f"inline(array({', '.join(rows)}))")
 
 
 def _in_range(column: str) -> Column:
@@ -73,27 +81,24 @@ def cells(df: DataFrame, by: list[str] = ()) -> DataFrame:
 def matrix(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """One row per group: the 25 counts and their sum ``n``; no row if empty."""
     counts = [
-        F.sum(
-            F.when((F.col("human") == h) & (F.col("pred") == p), F.col("n")).otherwise(0)
-        ).alias(f"c{h}{p}")
+        F.expr(f"sum(if(human = {h} AND pred = {p}, n, 0L)) AS {_cell(h, p)}")
         for h in LEVELS
         for p in LEVELS
     ]
     grouped = cells(df, by).groupBy(*by).agg(F.sum("n").alias("n"), *counts)
-    return grouped.filter(F.col("n") > 0)
+    return grouped.filter("n > 0")
 
 
 def _margins(df: DataFrame) -> DataFrame:
     """Totals per human level (t1..t5) and per predicted level (p1..p5)."""
-    human = {f"t{k}": _total([_cell(k, j) for j in LEVELS]) for k in LEVELS}
-    pred = {f"p{k}": _total([_cell(j, k) for j in LEVELS]) for k in LEVELS}
-    return df.withColumns({**human, **pred})
+    human = [f"{_total([_cell(k, j) for j in LEVELS])} AS t{k}" for k in LEVELS]
+    pred = [f"{_total([_cell(j, k) for j in LEVELS])} AS p{k}" for k in LEVELS]
+    return df.selectExpr("*", *human, *pred)
 
 
-def _sum_where(condition) -> Column:
+def _sum_where(condition) -> str:
     """Sum of the cells whose (human, pred) satisfies the condition."""
-    picked = [_cell(h, p) for h in LEVELS for p in LEVELS if condition(h, p)]
-    return _total(picked)
+    return _total([_cell(h, p) for h in LEVELS for p in LEVELS if condition(h, p)])
 
 
 def with_qwk(df: DataFrame) -> DataFrame:
@@ -102,75 +107,65 @@ def with_qwk(df: DataFrame) -> DataFrame:
     The weights are squared distances of *ranks* among the levels present in
     either column. With one level only the kappa is undefined (null).
     """
-    ranked = _margins(df)
-    present = {k: F.when(F.col(f"t{k}") + F.col(f"p{k}") > 0, 1).otherwise(0) for k in LEVELS}
-    ranked = ranked.withColumns(
-        {f"r{k}": _total([present[j] for j in LEVELS if j <= k]) for k in LEVELS}
-    )
-
-    def weight(h, p):
-        gap = (F.col(f"r{h}") - F.col(f"r{p}")).cast("double")
-        return gap * gap
-
+    present = [f"if(t{k} + p{k} > 0, 1D, 0D)" for k in LEVELS]
+    ranks = [f"{_total(present[:k])} AS r{k}" for k in LEVELS]
     pairs = [(h, p) for h in LEVELS for p in LEVELS if h != p]
-    observed = _total([weight(h, p) * _cell(h, p) for h, p in pairs])
-    expected = _total(
-        [weight(h, p) * F.col(f"t{h}").cast("double") * F.col(f"p{p}") for h, p in pairs]
-    ) / F.col("n")
-    scored = ranked.withColumn("qwk", F.lit(1.0) - F.try_divide(observed, expected))
+    weight = {(h, p): f"(r{h} - r{p}) * (r{h} - r{p})" for h, p in pairs}
+    observed = _total([f"{weight[h, p]} * {_cell(h, p)}" for h, p in pairs])
+    expected = _total([f"{weight[h, p]} * t{h} * p{p}" for h, p in pairs])
+    scored = (
+        _margins(df)
+        .selectExpr("*", *ranks)
+        .withColumn("qwk", F.expr(f"1D - try_divide({observed}, {expected} / n)"))
+    )
     return scored.withColumn("qwk_interpretation", grading.qwk_band(F.col("qwk"))).drop(
         *[f"{x}{k}" for x in "tpr" for k in LEVELS]
     )
 
 
 def with_mae(df: DataFrame) -> DataFrame:
-    distance = _total([F.lit(abs(h - p)) * _cell(h, p) for h in LEVELS for p in LEVELS])
-    return df.withColumn("mae", distance / F.col("n"))
+    distance = _total([f"{abs(h - p)} * {_cell(h, p)}" for h in LEVELS for p in LEVELS if h != p])
+    return df.selectExpr("*", f"{distance} / n AS mae")
 
 
-def _f1(hits: list[Column], true: list[Column], pred: list[Column]) -> tuple[Column, Column]:
+def _f1(hits: list[str], true: list[str], pred: list[str]) -> tuple[str, str]:
     """Macro and weighted F1 over the classes present in either column."""
-    scores = [grading.ratio(2 * h, t + p) for h, t, p in zip(hits, true, pred)]
-    classes = _total([F.when(t + p > 0, 1).otherwise(0) for t, p in zip(true, pred)])
-    macro = _total(scores) / classes
-    weighted = _total([s * t for s, t in zip(scores, true)]) / _total(true)
+    scores = [_ratio(f"2 * {h}", f"({t} + {p})") for h, t, p in zip(hits, true, pred)]
+    classes = _total([f"if({t} + {p} > 0, 1, 0)" for t, p in zip(true, pred)])
+    macro = f"{_total(scores)} / {classes}"
+    weighted = f"{_total([f'{s} * {t}' for s, t in zip(scores, true)])} / {_total(true)}"
     return macro, weighted
 
 
 def with_f1(df: DataFrame) -> DataFrame:
     """Add ``macro_f1`` and ``weighted_f1`` over the five levels."""
     macro, weighted = _f1(
-        [_cell(k, k) for k in LEVELS],
-        [F.col(f"t{k}") for k in LEVELS],
-        [F.col(f"p{k}") for k in LEVELS],
+        [_cell(k, k) for k in LEVELS], [f"t{k}" for k in LEVELS], [f"p{k}" for k in LEVELS]
     )
     return (
         _margins(df)
-        .withColumns({"macro_f1": macro, "weighted_f1": weighted})
+        .selectExpr("*", f"{macro} AS macro_f1", f"{weighted} AS weighted_f1")
         .drop(*[f"{x}{k}" for x in "tp" for k in LEVELS])
     )
 
 
-def _side_totals(inside) -> dict[str, Column]:
-    return {
-        "_hit": _sum_where(lambda h, p: inside(h) and inside(p)),
-        "_true": _sum_where(lambda h, p: inside(h)),
-        "_pred": _sum_where(lambda h, p: inside(p)),
-    }
-
-
 def with_side(df: DataFrame, name: str, inside) -> DataFrame:
     """Add recall, precision and two-class F1 of one side of the scale."""
-    rows = df.withColumns(_side_totals(inside))
-    hit, true, pred, n = F.col("_hit"), F.col("_true"), F.col("_pred"), F.col("n")
-    macro, weighted = _f1([hit, n - true - pred + hit], [true, n - true], [pred, n - pred])
-    return rows.withColumns(
-        {
-            f"{name}_recall": grading.ratio(hit, true),
-            f"{name}_precision": grading.ratio(hit, pred),
-            f"{name}_macro_f1": macro,
-            f"{name}_weighted_f1": weighted,
-        }
+    rows = df.selectExpr(
+        "*",
+        f"{_sum_where(lambda h, p: inside(h) and inside(p))} AS _hit",
+        f"{_sum_where(lambda h, p: inside(h))} AS _true",
+        f"{_sum_where(lambda h, p: inside(p))} AS _pred",
+    )
+    macro, weighted = _f1(
+        ["_hit", "(n - _true - _pred + _hit)"], ["_true", "(n - _true)"], ["_pred", "(n - _pred)"]
+    )
+    return rows.selectExpr(
+        "*",
+        f"{_ratio('_hit', '_true')} AS {name}_recall",
+        f"{_ratio('_hit', '_pred')} AS {name}_precision",
+        f"{macro} AS {name}_macro_f1",
+        f"{weighted} AS {name}_weighted_f1",
     ).drop("_hit", "_true", "_pred")
 
 
@@ -184,17 +179,17 @@ def with_low_risk(df: DataFrame) -> DataFrame:
     was rated 4 or 5."""
     false_high = _sum_where(lambda h, p: h <= 2 and p >= 4)
     low = _sum_where(lambda h, p: h <= 2)
-    return with_side(df, "low_risk", lambda level: level <= 2).withColumn(
-        "fpr_low_risk", grading.ratio(false_high, low)
+    return with_side(df, "low_risk", lambda level: level <= 2).selectExpr(
+        "*", f"{_ratio(false_high, low)} AS fpr_low_risk"
     )
 
 
 def with_cost(df: DataFrame) -> DataFrame:
     """Mean cost of the predictions."""
     cost = _total(
-        [F.lit(rubric.COSTS[h - 1][p - 1]) * _cell(h, p) for h in LEVELS for p in LEVELS if h != p]
+        [f"{rubric.COSTS[h - 1][p - 1]} * {_cell(h, p)}" for h in LEVELS for p in LEVELS if h != p]
     )
-    return df.withColumn("avg_cost", cost / F.col("n"))
+    return df.selectExpr("*", f"{cost} / n AS avg_cost")
 
 
 def summary(df: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -211,43 +206,34 @@ def metrics_json(df: DataFrame, by: list[str] = ()) -> DataFrame:
     return rows.select(*by, F.to_json(record, {"ignoreNullFields": "false"}).alias("metrics"))
 
 
-def _long(df: DataFrame, by: list[str]) -> DataFrame:
+def confusion(df: DataFrame, by: list[str] = ()) -> DataFrame:
+    """All 25 pairs with their counts, zeros included."""
     rows = [
-        F.struct(F.lit(h).alias("human"), F.lit(p).alias("pred"), _cell(h, p).alias("n"))
+        f"named_struct('human', {h}, 'pred', {p}, 'n', {_cell(h, p)})"
         for h in LEVELS
         for p in LEVELS
     ]
-    return df.select(*by, F.inline(F.array(*rows)))
-
-
-def confusion(df: DataFrame, by: list[str] = ()) -> DataFrame:
-    """All 25 pairs with their counts, zeros included."""
-    return _long(matrix(df, by), by)
+    return matrix(df, by).select(*by, _inline(rows))
 
 
 def confusion_shares(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """Counts as shares of their human level; null for an empty level."""
     rows = [
-        F.struct(
-            F.lit(h).alias("human"),
-            F.lit(p).alias("pred"),
-            F.try_divide(_cell(h, p), F.col(f"t{h}")).alias("share"),
-        )
+        f"named_struct('human', {h}, 'pred', {p}, 'share', try_divide({_cell(h, p)}, t{h}))"
         for h in LEVELS
         for p in LEVELS
     ]
-    return _margins(matrix(df, by)).select(*by, F.inline(F.array(*rows)))
+    return _margins(matrix(df, by)).select(*by, _inline(rows))
 
 
 def rating_distribution(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """Counts per level that occurs, for both raters: ``side, level, n``."""
-    sides = F.array(
-        F.struct(F.lit("human").alias("side"), F.col("human").alias("level"), F.col("n")),
-        F.struct(F.lit("pred").alias("side"), F.col("pred").alias("level"), F.col("n")),
+    sides = _inline(
+        [f"named_struct('side', '{s}', 'level', {s}, 'n', n)" for s in ("human", "pred")]
     )
     return (
         cells(df, by)
-        .select(*by, F.inline(sides))
+        .select(*by, sides)
         .groupBy(*by, "side", "level")
         .agg(F.sum("n").alias("n"))
         .orderBy(*by, "side", "level")
@@ -264,22 +250,19 @@ def error_direction(df: DataFrame, by: list[str] = ()) -> DataFrame:
     }
     columns = []
     for name, value in parts.items():
-        columns += [value.alias(name), (value * 100.0 / F.col("n")).alias(f"{name}_pct")]
-    return matrix(df, by).select(*by, F.col("n").alias("total"), *columns)
+        columns += [f"{value} AS {name}", f"{value} * 100D / n AS {name}_pct"]
+    return matrix(df, by).selectExpr(*by, "n AS total", *columns)
 
 
 def _level_rows(df: DataFrame, by: list[str]) -> DataFrame:
-    rows = [
-        F.struct(
-            F.lit(k).alias("level"),
-            F.col(f"t{k}").alias("human_n"),
-            F.col(f"p{k}").alias("pred_n"),
-            _cell(k, k).alias("hits"),
-            _total([F.lit(abs(k - j)) * _cell(k, j) for j in LEVELS]).alias("distance"),
+    rows = []
+    for k in LEVELS:
+        distance = _total([f"{abs(k - j)} * {_cell(k, j)}" for j in LEVELS])
+        rows.append(
+            f"named_struct('level', {k}, 'human_n', t{k}, 'pred_n', p{k}, "
+            f"'hits', {_cell(k, k)}, 'distance', {distance})"
         )
-        for k in LEVELS
-    ]
-    return _margins(matrix(df, by)).select(*by, F.inline(F.array(*rows)))
+    return _margins(matrix(df, by)).select(*by, _inline(rows))
 
 
 def level_report(df: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -301,18 +284,12 @@ def level_report(df: DataFrame, by: list[str] = ()) -> DataFrame:
 def level_predictions(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """Predicted levels of each human level, with their percent of it."""
     rows = [
-        F.struct(
-            F.lit(h).alias("human"),
-            F.lit(p).alias("pred"),
-            _cell(h, p).alias("n"),
-            F.try_divide(_cell(h, p) * 100.0, F.col(f"t{h}")).alias("percent"),
-        )
+        f"named_struct('human', {h}, 'pred', {p}, 'n', {_cell(h, p)}, "
+        f"'percent', try_divide({_cell(h, p)} * 100D, t{h}))"
         for h in LEVELS
         for p in LEVELS
     ]
-    return (
-        _margins(matrix(df, by)).select(*by, F.inline(F.array(*rows))).filter(F.col("n") > 0)
-    )
+    return _margins(matrix(df, by)).select(*by, _inline(rows)).filter("n > 0")
 
 
 def distribution_comparison(df: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -323,12 +300,10 @@ def distribution_comparison(df: DataFrame, by: list[str] = ()) -> DataFrame:
 def error_histogram(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """Counts of predicted minus human level from -4 to 4, zeros included."""
     bins = [
-        F.struct(
-            F.lit(d).alias("error"), _sum_where(lambda h, p: p - h == d).alias("n")
-        )
+        f"named_struct('error', {d}, 'n', {_sum_where(lambda h, p: p - h == d)})"
         for d in range(-4, 5)
     ]
-    return matrix(df, by).select(*by, F.inline(F.array(*bins)))
+    return matrix(df, by).select(*by, _inline(bins))
 
 
 def level_accuracy(df: DataFrame, by: list[str] = ()) -> DataFrame:

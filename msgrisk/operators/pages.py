@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from msgrisk import rubric
 from msgrisk.functions import html, lexicon, urls
+from msgrisk.functions.text import let
 
 RECORD = ["url", "title", "content", "status", "method", "error"]
 
@@ -59,11 +60,16 @@ def link_pages(
     ``pages`` is the output of ``resolve_sources``, unique by key. A link with
     no page gets a failure record. Only ids and links are shuffled, and a link
     that many messages share is split by Spark's adaptive skew join.
+
+    That join needs a shuffle directly below both sides. The page side would
+    reuse the one of its aggregation by key, so the host joins in as a second
+    column: it changes no result, but asks for a shuffle of its own.
     """
     pairs = messages.select(message, F.posexplode(links).alias("position", "link")).withColumn(
         "key", urls.url_key(F.col("link"))
     )
-    found = pairs.join(pages, "key", "left")
+    hosted = [df.withColumn("_host", urls.key_host(F.col("key"))) for df in (pairs, pages)]
+    found = hosted[0].join(hosted[1], ["key", "_host"], "left")
     page = F.col("page")
     absent = F.concat(F.lit(rubric.FETCH_FAILED), F.col("link"))
     return found.select(
@@ -109,14 +115,20 @@ def link_state(
     One suspicious page decides; else one readable page makes the links clean.
     """
 
-    def suspicious(page):
-        groups = lexicon.risk_keywords(F.concat_ws(" ", page["title"], page["content"]), terms)
-        return lexicon.risk_score(groups, terms) >= suspicious_score
-
-    ok = F.filter(pages, lambda p: p["status"] == "success")
-    return (
-        F.when(F.size(pages) == 0, "none")
-        .when(F.exists(ok, suspicious), "suspicious")
-        .when(F.size(ok) > 0, "clean")
-        .otherwise("unreachable")
-    )
+    def suspicious(page: Column) -> Column:
+        text = F.concat_ws(" ", page["title"], page["content"])
+        return let(
+            lexicon.risk_keywords(text, terms),
+            lambda groups: lexicon.risk_score(groups, terms) >= suspicious_score,
+        )
+
+    def state(listed: Column) -> Column:
+        ok = F.filter(listed, lambda p: p["status"] == "success")
+        return (
+            F.when(F.size(listed) == 0, "none")
+            .when(F.exists(ok, suspicious), "suspicious")
+            .when(F.size(ok) > 0, "clean")
+            .otherwise("unreachable")
+        )
+
+    return let(pages, state)

@@ -102,26 +102,32 @@ def score_batch(
     """Add ``verdict, rating, attempts, error``; a failed row is rated 0.
 
     Missing content counts as empty text and is rated 0 without a call. With
-    ``distinct`` each text is scored once and joined back; the distinct step
-    combines copies before its shuffle, and the join back splits a text that
-    holds a large share of the rows (adaptive skew join).
+    ``distinct`` each text is scored once and joined back by its SHA-256 digest
+    and length, so that the replies and not the texts travel a second time. The
+    distinct step combines copies before its shuffle. The join back splits a
+    text that holds a large share of the rows: it is an adaptive skew join, and
+    the length as second column gives it the shuffle below both sides it needs.
     """
     text = F.coalesce(F.col(content).cast("string"), F.lit(""))
-    rows = df.drop("rating").withColumn("_text", text)
-    asked = F.when(F.col("_text") != "", F.col("_text"))
+    rows = df.drop("rating")
     if distinct:
-        unique = rows.select("_text").distinct()
-        scored = unique.withColumn("_scored", reply_column(asked, scorer))
-        rows = rows.join(scored, "_text", "left")
+        keys = {"_digest": F.sha2(F.col("_text"), 256), "_size": F.length("_text")}
+        unique = rows.select(text.alias("_text")).distinct()
+        asked = F.when(F.col("_text") != "", F.col("_text"))
+        scored = unique.withColumn("_scored", reply_column(asked, scorer)).withColumns(keys)
+        of_row = {"_digest": F.sha2(text, 256), "_size": F.length(text)}
+        rows = rows.withColumns(of_row).join(
+            scored.select(*keys, "_scored"), list(keys), "left"
+        )
     else:
-        rows = rows.withColumn("_scored", reply_column(asked, scorer))
+        rows = rows.withColumn("_scored", reply_column(F.when(text != "", text), scorer))
     verdict = verdicts.parse_verdict(F.col("_scored.reply"))
     return (
         rows.withColumn("verdict", verdict)
         .withColumn("rating", verdicts.accepted_rating(F.col("verdict.rating")))
         .withColumn("attempts", F.col("_scored.attempts"))
         .withColumn("error", F.col("_scored.error"))
-        .drop("_text", "_scored")
+        .drop("_digest", "_size", "_scored")
     )
 
 

@@ -285,7 +285,7 @@ def chat_messages(spark, sf_dir):
 
 
 def url_extract(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir, "documents", "doc_id", "text")
     found = docs.select("doc_id", urls.extract_urls(F.col("text")).alias("urls"))
     return found.select(
         "doc_id", F.size("urls").alias("n"), F.array_join("urls", " ").alias("urls")
@@ -293,7 +293,7 @@ def url_extract(spark, sf_dir):
 
 
 def url_extract_full(spark, sf_dir):
-    pages_ = views.table(spark, sf_dir, "pages")
+    pages_ = views.texts(spark, sf_dir, "pages", "page_id", "html")
     found = pages_.select(
         "page_id", urls.extract_urls(F.col("html"), rubric.URL_FULL).alias("urls")
     )
@@ -314,19 +314,20 @@ def url_maximal(spark, sf_dir):
 
 
 def page_text(spark, sf_dir):
-    return views.table(spark, sf_dir, "pages").select(
+    return views.texts(spark, sf_dir, "pages", "page_id", "html").select(
         "page_id", html.page_text(F.col("html")).alias("content")
     )
 
 
 def page_title(spark, sf_dir):
-    return views.table(spark, sf_dir, "pages").select(
+    return views.texts(spark, sf_dir, "pages", "page_id", "html").select(
         "page_id", html.page_title(F.col("html")).alias("title")
     )
 
 
 def _page_store(spark, sf_dir):
-    return pages.resolve_sources([pages.page_records(views.table(spark, sf_dir, "pages"), "store")])
+    store = views.texts(spark, sf_dir, "pages", "url", "html")
+    return pages.resolve_sources([pages.page_records(store, "store")])
 
 
 def _with_links(spark, sf_dir):
@@ -343,7 +344,7 @@ def url_page_join(spark, sf_dir):
 
 def _three_sources(spark, sf_dir):
     """The page table seen by three fetchers, each of which fails on some pages."""
-    table = views.table(spark, sf_dir, "pages")
+    table = views.texts(spark, sf_dir, "pages", "page_id", "url", "html")
 
     def seen(method, works):
         markup = F.when(works, F.col("html"))
@@ -396,7 +397,7 @@ def reply_content(spark, sf_dir):
 
 
 def risk_keywords(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir, "documents", "doc_id", "text")
     groups = lexicon.risk_keywords(F.col("text"), views.PROSE_TERMS)
     rows = docs.select("doc_id", groups.alias("g"))
     return rows.select(
@@ -405,7 +406,7 @@ def risk_keywords(spark, sf_dir):
 
 
 def fraud_type(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir, "documents", "doc_id", "text")
     best = lexicon.scam_type(F.col("text"), views.PROSE_SIGNS)
     return docs.select("doc_id", best.alias("t")).select(
         "doc_id", F.col("t.name").alias("fraud_type"), F.col("t.hits").alias("hits")
@@ -413,7 +414,7 @@ def fraud_type(spark, sf_dir):
 
 
 def rule_rating(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir, "documents", "doc_id", "text")
     rows = docs.withColumn("g", lexicon.risk_keywords(F.col("text"), views.PROSE_TERMS))
     score = lexicon.risk_score(F.col("g"), views.PROSE_TERMS)
     rows = rows.select("doc_id", score.alias("score"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from msgrisk import rubric
 from msgrisk.functions import chat
+from msgrisk.sources.tables import spread
 
 APP_ID = "app"
 
@@ -36,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that costs more than reading it."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a human and a model rating per sheet, with halves and gaps."""
     items = table(spark, sf_dir, "lineitem")

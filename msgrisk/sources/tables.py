@@ -1,0 +1,18 @@
+"""Parquet tables as inputs of heavy per-row work."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_PER_CORE = 32 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give all cores a share of a small table that lies in few row groups.
+
+    Only tables below 32 MB per core by Spark's own estimate are repartitioned.
+    Larger ones come in enough splits and are left alone, without a shuffle.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < cores * SMALL_PER_CORE else df

@@ -140,42 +140,61 @@ def test_source_order_and_failures(spark):
     assert best["c.com"]["status"] == "error" and best["c.com"]["error"] == rubric.UNKNOWN_ERROR
 
 
-def test_a_hot_link_is_split_over_tasks(spark):
-    """One link in a third of all messages: the adaptive skew join splits it."""
+@pytest.fixture
+def skew_settings(spark):
+    """Thresholds so low that the small tables here count as skewed."""
     settings = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.shuffle.partitions": "64",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "64",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
             spark.conf.set(k, v)
-        messages = spark.range(6000, numPartitions=8).select(
-            F.col("id").alias("msg_id"),
-            F.array(
-                F.when(F.col("id") % 3 == 0, "https://hot.com").otherwise(
-                    F.concat(F.lit("https://x"), "id", F.lit(".com"))
-                )
-            ).alias("urls"),
-        )
-        store = pages.resolve_sources(
-            [pages.page_records(page_table(spark, [("hot.com", "<p>hot</p>")]), "m")]
-        )
-        joined = pages.link_pages(messages, store)
-        rows = joined.collect()
-        assert sum(r["content"] == "hot" for r in rows) == 2000 and len(rows) == 6000
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert "skew=true" in plan
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+
+
+def final_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_link_is_split_over_tasks(spark, skew_settings):
+    """One link in a third of all messages: the adaptive skew join splits it."""
+    messages = spark.range(6000, numPartitions=8).select(
+        F.col("id").alias("msg_id"),
+        F.array(
+            F.when(F.col("id") % 3 == 0, "https://hot.com").otherwise(
+                F.concat(F.lit("https://x"), "id", F.lit(".com"))
+            )
+        ).alias("urls"),
+    )
+    store = pages.resolve_sources(
+        [pages.page_records(page_table(spark, [("hot.com", "<p>hot</p>")]), "m")]
+    )
+    joined = pages.link_pages(messages, store)
+    rows = joined.collect()
+    assert sum(r["content"] == "hot" for r in rows) == 2000 and len(rows) == 6000
+    assert "skew=true" in final_plan(joined)
+
+
+def test_a_hot_text_is_split_over_tasks(spark, skew_settings):
+    """One text in a third of all rows: scored once, joined back in parts."""
+    df = spark.range(6000, numPartitions=8).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("content"),
+    )
+    scored = scoring.score_batch(df, lambda texts: [f'{{"rating": {len(t)}}}' for t in texts])
+    rows = scored.collect()
+    assert len(rows) == 6000 and sum(r["rating"] == 3 for r in rows) >= 2000
+    assert "skew=true" in final_plan(scored)
 
 
 def analyst(texts):
