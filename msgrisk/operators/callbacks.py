@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from msgrisk import rubric, schemas
 from msgrisk.functions import chat, grading, verdicts
+from msgrisk.functions.text import let
 
 
 def parse(df: DataFrame, body: str = "body") -> DataFrame:
@@ -25,36 +26,33 @@ def parse(df: DataFrame, body: str = "body") -> DataFrame:
 def validate(df: DataFrame, app_id: str, body: str = "body") -> DataFrame:
     """Add ``error_info``: the first failed check of a parsed request, null if none.
 
-    A body that is missing, unreadable or an empty object is no content.
+    A body that is missing, unreadable or an empty object is no content, and
+    neither is one without both accounts.
     """
     app, platform = F.col("SdkAppid"), F.col("OptPlatform")
-    empty = F.col(body).rlike("^\\s*\\{\\s*\\}\\s*$")
     known = F.coalesce(platform.isin(rubric.PLATFORMS), F.lit(False))
+    # One mention of the parsed body only: filters on this column are pushed
+    # below the parsing and would repeat it for each.
+    usable = let(
+        F.col("data"), lambda d: d["From_Account"].isNotNull() & d["To_Account"].isNotNull()
+    )
     error = (
         F.when(app.isNull() | (app == ""), rubric.REJECT_NO_APP)
         .when(app != app_id, rubric.REJECT_BAD_APP)
         .when(~known, rubric.REJECT_PLATFORM)
-        .when(F.col("data").isNull() | empty, rubric.REJECT_BODY)
+        .when(~F.coalesce(usable, F.lit(False)), rubric.REJECT_BODY)
     )
     return df.withColumn("error_info", error)
 
 
 def accepted(df: DataFrame) -> DataFrame:
-    """Valid requests whose two accounts are known."""
-    return df.filter(
-        F.col("error_info").isNull()
-        & F.col("from_account").isNotNull()
-        & F.col("to_account").isNotNull()
-    )
+    """Requests that passed all checks."""
+    return df.filter(F.col("error_info").isNull())
 
 
 def rejected(df: DataFrame) -> DataFrame:
-    """The requests ``accepted`` leaves out, with the reason."""
-    return df.filter(
-        F.col("error_info").isNotNull()
-        | F.col("from_account").isNull()
-        | F.col("to_account").isNull()
-    ).withColumn("error_info", F.coalesce("error_info", F.lit(rubric.REJECT_BODY)))
+    """Requests that failed a check, with the reason."""
+    return df.filter(F.col("error_info").isNotNull())
 
 
 def keyed(df: DataFrame) -> DataFrame:

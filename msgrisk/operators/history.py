@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgrisk.functions import chat
@@ -51,32 +51,46 @@ def last_messages(
 
 
 def chat_messages(
-    df: DataFrame, keys: list[str], order: str, role: str = "role", text: str = "text"
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    role: str = "role",
+    text: str = "text",
+    count: int = 20,
+    rows_per_task: int = splitting.ROWS_PER_TASK,
 ) -> DataFrame:
-    """One model conversation per key: ``messages`` as a list of role and content.
+    """Add ``messages``: the request a model gets at each turn.
 
-    ``tool_calls`` and ``tool_call_id`` are carried along where the input has
-    them. A conversation is one record here by meaning, so its size is that of
-    the request sent to a model.
+    That is the list of role and content of the last ``count`` messages, oldest
+    first, with ``tool_calls`` and ``tool_call_id`` where the input has them.
+    Messages of other roles are left out.
     """
-    role_names = F.create_map(
-        *[F.lit(x) for pair in _ROLES.items() for x in pair]
+    if count < 1:
+        raise ValueError("count must be at least 1")
+    columns = df.columns
+    known = df.filter(F.lower(F.col(role)).isin(list(_ROLES)))
+    pieces = splitting.cut(known, keys, order, rows_per_task)
+    rows = splitting.with_carry(pieces, keys, order, count - 1)
+    window = Window.partitionBy(*keys, "_piece").orderBy(order)
+    message = chat_message(df, F.col(role), F.col(text))
+    listed = F.collect_list(message).over(window.rowsBetween(-(count - 1), 0))
+    return (
+        rows.withColumn("messages", listed).filter(~F.col("_carried")).select(*columns, "messages")
     )
+
+
+def chat_message(df: DataFrame, role: Column, text: Column) -> Column:
+    """One message in the notation of a chat model."""
+    role_names = F.create_map(*[F.lit(x) for pair in _ROLES.items() for x in pair])
     fields = [
-        F.col(order).alias("_at"),
-        F.try_element_at(role_names, F.lower(F.col(role))).alias("role"),
-        F.col(text).alias("content"),
+        F.try_element_at(role_names, F.lower(role)).alias("role"),
+        F.coalesce(text, F.lit("")).alias("content"),
     ]
     if "tool_calls" in df.columns:
         fields.append(F.transform("tool_calls", _tool_call).alias("tool_calls"))
     if "tool_call_id" in df.columns:
         fields.append(F.col("tool_call_id"))
-    known = df.filter(F.lower(F.col(role)).isin(list(_ROLES)))
-    gathered = known.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("m"))
-    kept = [f for f in ("role", "content", "tool_calls", "tool_call_id")]
-    available = ["role", "content"] + [c for c in kept[2:] if c in df.columns]
-    messages = F.transform("m", lambda r: F.struct(*[r[c].alias(c) for c in available]))
-    return gathered.select(*keys, messages.alias("messages"))
+    return F.struct(*fields)
 
 
 # Message roles, as sent and as they are called inside a chat framework.
@@ -90,7 +104,7 @@ _ROLES = {
 }
 
 
-def _tool_call(call):
+def _tool_call(call: Column) -> Column:
     function = F.struct(call["name"].alias("name"), F.to_json(call["args"]).alias("arguments"))
     return F.struct(
         call["id"].alias("id"), F.lit("function").alias("type"), function.alias("function")

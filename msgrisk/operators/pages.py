@@ -65,7 +65,9 @@ def link_pages(
     reuse the one of its aggregation by key, so the host joins in as a second
     column: it changes no result, but asks for a shuffle of its own.
     """
-    pairs = messages.select(message, F.posexplode(links).alias("position", "link")).withColumn(
+    # The outer form, as the plain one would compute the list again for a filter.
+    listed = messages.select(message, F.posexplode_outer(links).alias("position", "link"))
+    pairs = listed.filter(F.col("link").isNotNull()).withColumn(
         "key", urls.url_key(F.col("link"))
     )
     hosted = [df.withColumn("_host", urls.key_host(F.col("key"))) for df in (pairs, pages)]

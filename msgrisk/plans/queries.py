@@ -274,10 +274,10 @@ def last3_chat_events(spark, sf_dir):
 
 
 def chat_messages(spark, sf_dir):
-    rows = history.chat_messages(views.turns(spark, sf_dir), ["conv_id"], "turn")
+    rows = history.chat_messages(views.turns(spark, sf_dir), ["conv_id"], "turn", count=4)
     lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit("|"), m["content"]))
     return rows.select(
-        "conv_id", F.size("messages").alias("n"), F.array_join(lines, "\n").alias("lines")
+        "conv_id", "turn", F.size("messages").alias("n"), F.array_join(lines, "\n").alias("lines")
     )
 
 
@@ -379,12 +379,11 @@ def evidence_doc(spark, sf_dir):
 def verdict_parse(spark, sf_dir):
     rows = views.model_replies(spark, sf_dir)
     bare = verdicts.strip_fence(F.col("reply"))
-    return rows.select(
-        "event_id",
-        bare.alias("bare"),
-        verdicts.verdict_rating(F.col("reply")).alias("rating"),
-        verdicts.parse_verdict(F.col("reply"))["advice"].alias("advice"),
+    rows = rows.select(
+        "event_id", bare.alias("bare"), verdicts.parse_verdict(F.col("reply")).alias("v")
     )
+    rating = verdicts.accepted_rating(F.col("v.rating"))
+    return rows.select("event_id", "bare", rating.alias("rating"), F.col("v.advice").alias("advice"))
 
 
 def reply_content(spark, sf_dir):

@@ -276,7 +276,7 @@ checked AS (
       WHEN app IS NULL OR app = '' THEN {_q(rubric.REJECT_NO_APP)}
       WHEN app <> {_q(APP_ID)} THEN {_q(rubric.REJECT_BAD_APP)}
       WHEN platform IS NULL OR platform = 'Toaster' THEN {_q(rubric.REJECT_PLATFORM)}
-      WHEN NOT readable THEN {_q(rubric.REJECT_BODY)} END AS error
+      WHEN sender IS NULL OR receiver IS NULL THEN {_q(rubric.REJECT_BODY)} END AS error
   FROM parsed)"""
 
 
@@ -335,11 +335,9 @@ FROM parsed""",
 SELECT event_id, error AS error_info, CASE WHEN error IS NULL THEN 200 ELSE 400 END AS http
 FROM checked""",
     "callback_reject_reasons": f"""WITH {REQUESTS}
-SELECT coalesce(error, {_q(rubric.REJECT_BODY)}) AS error_info, count(*) AS n
-FROM checked WHERE error IS NOT NULL OR sender IS NULL OR receiver IS NULL GROUP BY 1""",
+SELECT error AS error_info, count(*) AS n FROM checked WHERE error IS NOT NULL GROUP BY 1""",
     "callback_route_counts": f"""WITH {REQUESTS}
-SELECT kind, count(*) AS n FROM checked
-WHERE error IS NULL AND sender IS NOT NULL AND receiver IS NOT NULL GROUP BY kind""",
+SELECT kind, count(*) AS n FROM checked WHERE error IS NULL GROUP BY kind""",
     "conv_key": f"""WITH {REQUESTS}, pairs AS (
   SELECT event_id, CASE WHEN sender IS NOT NULL THEN least(sender, receiver) END AS account_low,
          CASE WHEN sender IS NOT NULL THEN greatest(sender, receiver) END AS account_high
@@ -376,10 +374,12 @@ FROM lines""",
            ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS l
   FROM keyed WHERE kind = 'after')
 SELECT event_id, conversation, array_to_string(l, chr(10)) AS snippet FROM lines""",
-    "chat_messages": """SELECT conv_id, CAST(count(*) AS INTEGER) AS n,
-       string_agg(role || '|' || text, chr(10) ORDER BY turn) AS lines
-FROM conversations WHERE lower(role) IN ('system', 'user', 'human', 'assistant', 'ai', 'tool')
-GROUP BY conv_id""",
+    "chat_messages": """WITH lines AS (
+  SELECT conv_id, turn, role, list(role || '|' || text) OVER (
+           PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l
+  FROM conversations WHERE lower(role) IN ('system', 'user', 'human', 'assistant', 'ai', 'tool'))
+SELECT conv_id, turn, CAST(len(l) AS INTEGER) AS n, array_to_string(l, chr(10)) AS lines
+FROM lines""",
 }
 CHAT_SQL["callback_response"] = f"""WITH {_noticed(BY_PAIR)}, {REQUESTS[len(CHATS) + 2:]}
 SELECT c.event_id, CASE WHEN c.error IS NULL THEN 200 ELSE 400 END AS http_status,

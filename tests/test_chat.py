@@ -215,10 +215,22 @@ def test_chat_messages_with_tool_calls(spark):
         "tool_calls array<struct<id:string,name:string,args:map<string,string>>>, "
         "tool_call_id string",
     )
-    got = history.chat_messages(df, ["c"], "turn").first()["messages"]
-    assert [(m["role"], m["content"]) for m in got] == [
+    got = history.chat_messages(df, ["c"], "turn").orderBy("turn").collect()
+    assert [len(r["messages"]) for r in got] == [1, 2, 3]
+    last = got[-1]["messages"]
+    assert [(m["role"], m["content"]) for m in last] == [
         ("user", "hi"), ("assistant", ""), ("tool", "page"),
     ]
-    call = got[1]["tool_calls"][0]
+    call = last[1]["tool_calls"][0]
     assert call["type"] == "function" and json.loads(call["function"]["arguments"]) == {"url": "u"}
-    assert got[2]["tool_call_id"] == "id1"
+    assert last[2]["tool_call_id"] == "id1"
+
+
+def test_chat_requests_of_a_large_conversation(spark):
+    rows = [(1, t, "user", f"t{t}") for t in range(300)]
+    df = spark.createDataFrame(rows, "c int, turn int, role string, text string")
+    got = history.chat_messages(df, ["c"], "turn", count=5, rows_per_task=20).collect()
+    assert len(got) == 300
+    for r in got:
+        expected = [f"t{t}" for t in range(max(0, r["turn"] - 4), r["turn"] + 1)]
+        assert [m["content"] for m in r["messages"]] == expected
