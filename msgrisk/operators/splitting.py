@@ -139,16 +139,15 @@ def with_carry(
     filled = only_large(pieces).select(*keys, "_piece").distinct()
     target = filled.join(gathered, keys)
     before = F.filter("_ends", lambda r: r["_from"] < F.col("_piece"))
-    newest = F.slice(F.sort_array(F.transform(before, _order_key(order)), asc=False), 1, count)
-    carried = target.withColumn("_row", F.explode(newest)).select(
-        *keys, *[F.col(f"_row._row.{c}").alias(c) for c in data], "_piece"
+    newest = F.slice(F.array_sort(before, _newest_first), 1, count)
+    carried = target.withColumn("_found", F.explode(newest)).select(
+        *keys, *[F.col(f"_found._row.{c}").alias(c) for c in data], "_piece"
     )
     return rows.unionByName(carried.withColumn("_carried", F.lit(True)))
 
 
-def _order_key(order: str):
-    # Sorting by the order value first; ties cannot occur inside a key.
-    return lambda r: F.struct(r["_at"].alias("_at"), r["_row"].alias("_row"))
+def _newest_first(a: Column, b: Column) -> Column:
+    return F.when(a["_at"] > b["_at"], -1).when(a["_at"] < b["_at"], 1).otherwise(0)
 
 
 def numbered(

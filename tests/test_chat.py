@@ -227,8 +227,12 @@ def test_chat_messages_with_tool_calls(spark):
 
 
 def test_chat_requests_of_a_large_conversation(spark):
-    rows = [(1, t, "user", f"t{t}") for t in range(300)]
-    df = spark.createDataFrame(rows, "c int, turn int, role string, text string")
+    rows = [(1, t, "user", f"t{t}", [("i", "n", {"k": "v"})]) for t in range(300)]
+    df = spark.createDataFrame(
+        rows,
+        "c int, turn int, role string, text string, "
+        "tool_calls array<struct<id:string,name:string,args:map<string,string>>>",
+    )
     got = history.chat_messages(df, ["c"], "turn", count=5, rows_per_task=20).collect()
     assert len(got) == 300
     for r in got:
