@@ -8,6 +8,7 @@ batches; only the text column leaves the JVM. The rule scorer needs no Python.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,11 +26,11 @@ ATTEMPTS = 3
 
 def readable_rating(reply: str | None) -> bool:
     """Whether a reply holds a verdict with a rating above zero."""
-    if not reply:
+    span = re.search(r"\{.*\}", reply or "", re.DOTALL)
+    if span is None:
         return False
-    start, end = reply.find("{"), reply.rfind("}")
     try:
-        rating = json.loads(reply[start : end + 1]).get("rating", 0)
+        rating = json.loads(span.group()).get("rating", 0)
         return not isinstance(rating, bool) and rating > 0
     except (ValueError, AttributeError, TypeError):
         return False

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -32,11 +33,7 @@ STATE = "lines array<string>, started boolean, level double, notice string"
 
 def read_verdict(reply: str | None) -> dict:
     """The fields of a fenced or bare JSON reply; empty if it is unreadable."""
-    text = reply or ""
-    if text.startswith("```json"):
-        text = text[len("```json") :].lstrip()
-    if text.endswith("```"):
-        text = text[:-3].rstrip()
+    text = re.sub(r"\A```json\s*|\s*```\Z", "", reply or "")
     try:
         found = json.loads(text)
     except ValueError:
