@@ -33,7 +33,8 @@ _COARSE = 32
 class Pieces:
     """Rows with a ``_piece`` number, and the small table of the large keys.
 
-    ``large`` is None when no key needs cutting. Otherwise ``_first`` in
+    ``large`` holds the keys and their piece numbers (``_pieces``), and is None
+    when no key needs cutting. Otherwise ``_first`` in
     ``rows`` is the smallest order value of a large key, null for other keys.
     """
 
@@ -91,7 +92,8 @@ def cut(
     numbered_rows = joined.withColumn("_piece", piece).select(
         *[df[c] for c in df.columns], "_first", "_piece"
     )
-    return Pieces(numbered_rows, large.select(*keys))
+    numbers = F.sequence(F.lit(0), F.size("_cuts")).alias("_pieces")
+    return Pieces(numbered_rows, large.select(*keys, numbers))
 
 
 def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,8 +138,10 @@ def with_carry(
         F.col(order).alias("_at"), F.col("_piece").alias("_from"), F.struct(*data).alias("_row")
     )
     gathered = ends.groupBy(*keys).agg(F.collect_list(record).alias("_ends"))
-    filled = only_large(pieces).select(*keys, "_piece").distinct()
-    target = filled.join(gathered, keys)
+    side = _renamed(pieces.large, keys)
+    target = gathered.join(F.broadcast(side), _hot_match(gathered, side, keys)).withColumn(
+        "_piece", F.explode("_pieces")
+    )
     before = F.filter("_ends", lambda r: r["_from"] < F.col("_piece"))
     newest = F.slice(F.array_sort(before, _newest_first), 1, count)
     carried = target.withColumn("_found", F.explode(newest)).select(
@@ -157,10 +161,10 @@ def numbered(
     name: str,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Row position from 1 inside each key, large keys spread over many tasks."""
+    """Row position (bigint, from 1) in each key, large keys spread over many tasks."""
     pieces = cut(df, keys, order, rows_per_task)
     window = Window.partitionBy(*keys, "_piece").orderBy(order)
-    local = pieces.rows.withColumn(name, F.row_number().over(window))
+    local = pieces.rows.withColumn(name, F.row_number().over(window).cast("bigint"))
     if pieces.large is None:
         return local.drop("_piece")
     sizes = only_large(pieces).groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))

@@ -237,7 +237,7 @@ SELECT k AS level, round(coalesce(a, 0), 6) AS accuracy FROM levels LEFT JOIN fo
 b AS (
   SELECT event_id % 3 AS sheet, value / 50 AS rating,
          row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) AS r FROM events)
-SELECT coalesce(a.sheet, b.sheet) AS sheet, CAST(coalesce(a.r, b.r) AS INTEGER) AS row,
+SELECT coalesce(a.sheet, b.sheet) AS sheet, coalesce(a.r, b.r) AS row,
        a.content, round(a.human, 6) AS "human rating", round(b.rating, 6) AS rating
 FROM a FULL JOIN b ON a.sheet = b.sheet AND a.r = b.r""",
 }
