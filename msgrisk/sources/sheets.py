@@ -12,11 +12,14 @@ from msgrisk.sources import datasets
 def read_sheets(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """Label sheets below ``path/sheet=<name>/``: ``sheet, position, content, rating``.
 
-    CSV sheets take their position from the order in the file. Parquet sheets
-    must bring a ``position`` column, since large ones are split.
+    CSV sheets are one file each and take their position from the order in it.
+    Parquet sheets must bring a ``position`` column, since large ones are split.
     """
     if kind == "csv":
         df = spark.read.options(**datasets.CSV_OPTIONS, basePath=path).csv(path)
+        files = df.inputFiles()
+        if len({f.rsplit("/", 1)[0] for f in files}) < len(files):
+            raise ValueError("a CSV sheet must be one file, as files have no order")
         df = require_columns(df, ["content", "rating", "sheet"], "label sheets")
         df = df.withColumn("position", F.monotonically_increasing_id())
         df = df.withColumn("rating", datasets.number_or_null(F.col("rating")))

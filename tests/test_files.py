@@ -84,6 +84,13 @@ def test_merge_and_write_labels(spark, tmp_path):
     assert found["total_samples"] == 2 and found["mae"] == 3 and "qwk" in found
 
 
+def test_a_csv_sheet_is_one_file(spark, tmp_path):
+    for name in ("1", "2"):
+        save(tmp_path / "sheet=a" / f"{name}.csv", "content,rating\na,1\n")
+    with pytest.raises(ValueError):
+        sheets.read_sheets(spark, str(tmp_path), "csv")
+
+
 def test_parquet_sheets_need_a_position(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, "x", 1.0)], "sheet string, position long, content string, rating double")
     df.write.partitionBy("sheet").parquet(str(tmp_path / "good"))
