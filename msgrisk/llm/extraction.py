@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os.path
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,26 +28,36 @@ from msgrisk.llm.urlfilter import host_of, path_of
 
 
 def signatures(pages: DataFrame, html_column: str, url_column: str) -> DataFrame:
-    """One light row per page: where its URL sorts, a hash and the zone of each line."""
+    """Two light rows per page: where it sorts, and its lines outside a marked article.
+
+    A page is placed once among all pages of its host by path, and once among those
+    that begin with the same line, as a host may use many frames in turn.
+    """
     rows = pages.select(
         F.monotonically_increasing_id().alias("row"), host_of(F.col(url_column)).alias("host"),
         path_of(F.col(url_column)).alias("path"), F.col(html_column).alias("html"),
-    )
+    ).where("host != ''")
     schema = StructType([
-        StructField("host", StringType()), StructField("path", StringType()),
-        StructField("row", LongType()), StructField("hashes", ArrayType(LongType())),
-        StructField("zones", BinaryType()), StructField("sizes", ArrayType(IntegerType())),
+        StructField("host", StringType()), StructField("anchor", LongType()),
+        StructField("path", StringType()), StructField("row", LongType()),
+        StructField("hashes", BinaryType()), StructField("zones", BinaryType()),
+        StructField("sizes", BinaryType()),
     ])
 
     def make():
         def work(batch):
-            found = [lines_of(h) for h in column(batch, "html")]
-            columns = {n: batch.column(batch.schema.get_field_index(n)) for n in ("host", "path", "row")}
-            yield columns | {
-                "hashes": [[xxhash.xxh64_intdigest(x.text) - 2**63 for x in p] for p in found],
-                "zones": [bytes(x.zone for x in p) for p in found],
-                "sizes": [[len(x.text) for x in p] for p in found],
-            }
+            out = {n: [] for n in schema.names}
+            keys = zip(*(column(batch, n) for n in ("host", "path", "row")))
+            for (host, path, row), page in zip(keys, column(batch, "html")):
+                lines = [x for x in lines_of(page) if x.zone != ARTICLE]
+                if lines:
+                    hashes = array("q", [xxhash.xxh64_intdigest(x.text) - 2**63 for x in lines])
+                    zones, sizes = bytes(x.zone for x in lines), array("q", [len(x.text) for x in lines])
+                    for anchor in (0, hashes[0]):
+                        values = (host, anchor, path, row, hashes.tobytes(), zones, sizes.tobytes())
+                        for n, v in zip(schema.names, values):
+                            out[n].append(v)
+            yield out
 
         return work
 
@@ -54,17 +65,17 @@ def signatures(pages: DataFrame, html_column: str, url_column: str) -> DataFrame
 
 
 def shared_lines(page: dict, other: dict | None) -> list[int] | None:
-    """Positions of the lines of ``page`` that ``other`` has too, in the same order.
+    """Numbers of the lines of ``page`` that ``other`` has too, in the same order.
 
-    None if the two are no fair pair: on different hosts, or with most of the
-    unmarked text in common, which tells of copies and not of a frame.
+    None if the two are no fair pair: not of the same host and placing, or with most
+    of the unmarked text in common, which tells of copies and not of a frame.
     """
-    if other is None or not page["host"] or page["host"] != other["host"]:
+    if other is None or (page["host"], page["anchor"]) != (other["host"], other["anchor"]):
         return None
-    shared = common_lines(page["hashes"], other["hashes"])
-    open_ = [i for i, z in enumerate(page["zones"]) if z == OTHER]
-    total = sum(page["sizes"][i] for i in open_)
-    common = sum(page["sizes"][i] for i in shared if page["zones"][i] == OTHER)
+    shared = common_lines(*(array("q", x["hashes"]).tolist() for x in (page, other)))
+    sizes, zones = array("q", page["sizes"]), page["zones"]
+    total = sum(n for n, z in zip(sizes, zones) if z == OTHER)
+    common = sum(sizes[i] for i in shared if zones[i] == OTHER)
     return None if total and 2 * common > total else shared
 
 
@@ -78,17 +89,17 @@ def template_lines(before: dict | None, page: dict, after: dict | None) -> list[
     for other in pairs:
         shared = shared_lines(page, other)
         if shared is not None:
-            return [i for i in shared if page["zones"][i] != ARTICLE]
+            return shared
     return []
 
 
 def differences(signed: DataFrame) -> DataFrame:
-    """``(row, shared)``: the positions of each page's lines that its pair has too.
+    """``(row, shared)``: the lines outside its article that a page's pairs have too.
 
     Pages are sorted by host and path over ranges, so a host of any size lies in many
     tasks. The first and the last page of each range are lent to the ranges beside.
     """
-    order = ["host", "path", "row"]
+    order = ["host", "anchor", "path", "row"]
     ranges = in_ranges(signed, order, "page-ranges")
     ends = ranges.groupBy("part").agg(F.max("at").alias("last")).orderBy("part").collect()
     lent = [
@@ -102,7 +113,9 @@ def differences(signed: DataFrame) -> DataFrame:
     whole = ranges.withColumn("own", F.lit(True)).unionByName(borrowed.withColumn("own", F.lit(False)))
     whole = whole.drop("at").repartition("part").sortWithinPartitions("part", *order)
     schema = StructType([StructField("row", LongType()), StructField("shared", ArrayType(IntegerType()))])
-    return whole.mapInArrow(_compare, schema)
+    found = whole.mapInArrow(_compare, schema)
+    both = F.array_distinct(F.flatten(F.collect_list("shared")))  # of two placings
+    return found.groupBy("row").agg(both.alias("shared"))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +141,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, shared = [], []
 
 
-def main_text(lines: list[Line], shared: list[int]) -> tuple[str, int, int]:
-    """The text that is left, and how many lines fell to the pair and to their zone.
+def main_text(lines: list[Line], shared: list[int] | None) -> tuple[str, int, int]:
+    """The text that is left, and how many lines fell to a pair and to their zone.
 
     After the shared lines, what stands in menus, forms and the like goes, which a
     page without a pair still has; and beside a marked article all that is outside.
     """
-    gone = set(shared)
+    outside = [i for i, line in enumerate(lines) if line.zone != ARTICLE]
+    gone = {outside[i] for i in shared or ()}
     left = [line for i, line in enumerate(lines) if i not in gone]
     marked = any(line.zone == ARTICLE for line in lines)
     wanted = ARTICLE if marked else OTHER
@@ -147,9 +161,10 @@ def extracted(
 ) -> DataFrame:
     """``(id, url, text, n_shared, n_frame)`` for each page.
 
-    Pages are paired with a neighbour in the order of host and path; lines that a
-    longest common subsequence of both has are deleted. Lines of an element marked as
-    the article stay, as articles may quote or copy each other. Null or empty html
+    A page is paired with the page of its host whose path is nearest, and with the
+    nearest of those that begin with the same line; lines that a longest common
+    subsequence of both has are deleted. Lines of an element marked as the article
+    stay, as articles may quote or copy each other. Null or empty html
     gives an empty text; a null URL has no pair. Ids may be null or repeat. ``pages``
     must give the same rows in the same order when read again.
     """
@@ -172,7 +187,7 @@ def extracted(
         return work
 
     lines = map_rows(rows, pack, packed, 500)
-    joined = lines.join(shared, "row")
+    joined = lines.join(shared, "row", "left")
     schema = StructType([
         rows.schema["id"], rows.schema["url"], StructField("text", StringType()),
         StructField("n_shared", IntegerType()), StructField("n_frame", IntegerType()),
