@@ -23,7 +23,7 @@ from pyspark.sql.types import (
 )
 
 from msgrisk.llm.common import column, in_ranges, map_rows
-from msgrisk.llm.mainlines import ARTICLE, OTHER, Line, common_lines, lines_of
+from msgrisk.llm.mainlines import ARTICLE, FRAME, OTHER, Line, common_lines, lines_of
 from msgrisk.llm.urlfilter import host_of, path_of
 
 
@@ -49,10 +49,13 @@ def signatures(pages: DataFrame, html_column: str, url_column: str) -> DataFrame
             out = {n: [] for n in schema.names}
             keys = zip(*(column(batch, n) for n in ("host", "path", "row")))
             for (host, path, row), page in zip(keys, column(batch, "html")):
-                lines = [x for x in lines_of(page) if x.zone != ARTICLE]
+                found = lines_of(page)
+                lines = [x for x in found if x.zone != ARTICLE]
                 if lines:
                     hashes = array("q", [xxhash.xxh64_intdigest(x.text) - 2**63 for x in lines])
-                    zones, sizes = bytes(x.zone for x in lines), array("q", [len(x.text) for x in lines])
+                    # Beside a marked article, no other text can be the main one.
+                    zones = bytes(FRAME if len(lines) < len(found) else x.zone for x in lines)
+                    sizes = array("q", [len(x.text) for x in lines])
                     for anchor in (0, hashes[0]):
                         values = (host, anchor, path, row, hashes.tobytes(), zones, sizes.tobytes())
                         for n, v in zip(schema.names, values):
@@ -67,8 +70,9 @@ def signatures(pages: DataFrame, html_column: str, url_column: str) -> DataFrame
 def shared_lines(page: dict, other: dict | None) -> list[int] | None:
     """Numbers of the lines of ``page`` that ``other`` has too, in the same order.
 
-    None if the two are no fair pair: not of the same host and placing, or with most
-    of the unmarked text in common, which tells of copies and not of a frame.
+    None if the two are no fair pair: not of the same host and placing, or, without
+    marked articles, with most of the text in common, which tells of copies and not
+    of a frame.
     """
     if other is None or (page["host"], page["anchor"]) != (other["host"], other["anchor"]):
         return None

@@ -35,11 +35,13 @@ NEVER_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu".split()
 )
 NEVER_NAMES = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments "
-    "consent cookie cookies disqus footer masthead menu nav navbar navigation newsletter "
-    "notice notices pagination popup promo promoted related share sharing sidebar signup "
-    "social sponsor sponsored subscribe toolbar widget".split()
+    "ad adbox ads adsense advert adverts advertisement alert announcement banner breadcrumb "
+    "breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr menu nav "
+    "navbar navigation newsletter notice notices pagination popup promo promoted reactions "
+    "related replies responses share sharing sidebar signup social sponsor sponsored subscribe "
+    "toolbar topbar widget".split()
 )
+HEADS = frozenset("header masthead".split())  # unless they head the article itself
 NAME = re.compile("[a-z]+")
 
 
@@ -51,16 +53,19 @@ class Line:
 
 def _zone(name: str, attributes: str, inside: int) -> int:
     """The zone of what an element holds, from the zone it stands in."""
-    if inside == FRAME or name in NEVER or (name == "header" and inside != ARTICLE):
+    if inside == FRAME or name in NEVER or (name in HEADS and inside != ARTICLE):
         return FRAME
     if "=" in attributes or "hidden" in attributes:
         given = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
         names = set(NAME.findall(f"{given.get('class', '')} {given.get('id', '')}".lower()))
-        if given.get("role", "").lower() in NEVER_ROLES or names & NEVER_NAMES and name not in MAIN:
+        role = given.get("role", "").lower()
+        if role in NEVER_ROLES or (names & NEVER_NAMES and name not in MAIN | {"body", "html"}):
+            return FRAME
+        if names & HEADS and inside != ARTICLE and name not in MAIN | {"body", "html"}:
             return FRAME
         if re.search(r"(?:^|\s)hidden(?:\s|=|$)", ATTRIBUTE.sub(lambda m: m[1], attributes)):
             return FRAME
-        if given.get("role", "").lower() == "main":
+        if role == "main":
             return ARTICLE
     return ARTICLE if name in MAIN else inside
 

@@ -47,7 +47,7 @@ class Tree:
             widths = high[node] - low[node]
             if stop - start > LEAF and widths.any():
                 side, middle = int(widths.argmax()), (stop - start) // 2
-                order[start:stop] = order[start:stop][np.argpartition(mine[:, side], middle)]
+                order[start:stop] = order[start:stop][np.argpartition(mine[:, side].astype(np.float64), middle)]
                 children[node] = (build(start, start + middle), build(start + middle, stop))
             return node
 
