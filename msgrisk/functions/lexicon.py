@@ -13,37 +13,15 @@ from msgrisk.functions.text import let
 
 Lexicon = dict[str, list[str]]
 
-# Up to here each term is its own test in the generated code; beyond, a lambda
-# walks one array literal, which keeps the plan small. Both give equal results.
-UNROLLED_TERMS = 200
-
-
-def _literal_terms(terms: list[str]) -> Column:
-    if any("\n" in t for t in terms):
-        return F.array(*[F.lit(t) for t in terms])
-    return F.split(F.lit("\n".join(terms)), "\n", -1)
-
 
 def _matches(lowered: Column, terms: list[str]) -> Column:
     if not terms:
         return F.array().cast("array<string>")
-    if len(terms) <= UNROLLED_TERMS:
-        tests = [F.when(F.contains(lowered, F.lit(t.lower())), F.lit(t)) for t in terms]
-        found = F.array_compact(F.array(*tests))
-    else:
-        found = F.filter(_literal_terms(terms), lambda t: F.contains(lowered, F.lower(t)))
+    literal = F.array(*[F.lit(t) for t in terms])
+    found = F.filter(literal, lambda t: F.contains(lowered, F.lower(t)))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def _hits(lowered: Column, terms: list[str]) -> Column:
-    if len(terms) > UNROLLED_TERMS:
-        return F.size(_matches(lowered, terms))
-    total = F.lit(0)
-    for term in terms:
-        total = total + F.when(F.contains(lowered, F.lit(term.lower())), 1).otherwise(0)
-    return total
-
-
 def matched_terms(text: Column, terms: list[str]) -> Column:
     """Terms that occur in the text, case aside, in the order given."""
     return let(F.lower(text), lambda t: _matches(t, terms))
@@ -109,7 +87,7 @@ def scam_type(
     def best(lowered: Column) -> Column:
         scored = [
             F.struct(
-                _hits(lowered, terms).alias("hits"),
+                F.size(_matches(lowered, terms)).alias("hits"),
                 F.lit(-number).alias("rank"),
                 F.lit(names[number - 1]).alias("name"),
             )

@@ -15,6 +15,22 @@ _CJK = "\\x{4e00}-\\x{9fff}"
 # Every match of the two patterns has a dot before two label characters. Texts
 # without that skip the pattern itself, which is far slower to test.
 _HAS_HOST = "\\.[-A-Za-z0-9_\\x{130}\\x{131}\\x{17f}\\x{212a}]{2}"
+# The two patterns in a form that Java matches in a loop: as they are, each repeated
+# group costs a stack frame, and a long host or path ends the executor. A group is
+# taken only if what must follow it does, so nothing has to be given back. Behind a
+# label of one character no link begins: the one that begins with it fails likewise.
+_LABEL = "[-A-Za-z0-9_]"
+_LITERAL_PATHS = "(/-A-Za-z0-9_*)*"
+_PATHS_IN_A_LOOP = "(?:/-A-Za-z0-9_*+(?!\\w))*+"
+_LABELS = f"(?:{_LABEL}+\\.)+{_LABEL}{{2,63}}"
+_SHORT = f"\\.(?:{_LABEL}\\.)*+{_LABEL}"  # the next label of two characters or more
+_LABELS_IN_A_LOOP = (
+    f"(?<!\\b[A-Za-z0-9_]\\.){_LABEL}++(?:{_SHORT}{{2,}}+(?={_SHORT}{{2}}))*+{_SHORT}{{2,63}}"
+)
+_IN_A_LOOP = {
+    rubric.URL_COMPAT: rubric.URL_COMPAT.replace(_LITERAL_PATHS, _PATHS_IN_A_LOOP),
+    rubric.URL_FULL: rubric.URL_FULL.replace(_LABELS, _LABELS_IN_A_LOOP),
+}
 _PUNCTUATION = "[.,;!?。，；！？]+\\z"
 
 
@@ -42,7 +58,7 @@ def clean_tail(url: Column) -> Column:
 
 def find_urls(text: Column, pattern: str = rubric.URL_COMPAT) -> Column:
     """Cleaned links in order of appearance, repeats included."""
-    found = F.regexp_extract_all(text, F.lit(_FLAGS + pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(_FLAGS + _IN_A_LOOP.get(pattern, pattern)), F.lit(0))
     # A match of the compatible pattern always ends in a valid character.
     if pattern != rubric.URL_COMPAT:
         found = F.transform(found, clean_tail)

@@ -71,7 +71,9 @@ def routed(df: DataFrame, command: str = "CallbackCommand") -> DataFrame:
 
 
 def tiered(df: DataFrame, rating: str = "rating") -> DataFrame:
-    return df.withColumn("tier", grading.action_tier(F.col(rating)))
+    """Add ``tier``. Only after-send events (``kind``) call for an action."""
+    tier = F.when(F.col("kind") == "after", grading.action_tier(F.col(rating))).otherwise("none")
+    return df.withColumn("tier", tier)
 
 
 def alerts(df: DataFrame, nonce: Column | None = None) -> DataFrame:

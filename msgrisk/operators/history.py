@@ -16,7 +16,7 @@ def last_messages(
     who: str = "who",
     text: str = "text",
     count: int = 3,
-    rows_per_task: int = splitting.ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Add ``last_messages`` (lines, oldest first) and the joined ``snippet``.
 
@@ -27,18 +27,12 @@ def last_messages(
         raise ValueError("count must be at least 1")
     columns = df.columns
     pieces = splitting.cut(df.filter(F.col(text).isNotNull()), keys, order, rows_per_task)
-    empty, at = F.col(text) == "", F.col(order)
-    if pieces.large is not None:
-        # For large keys the opening message is known before any window.
-        opens = F.col("_first").isNotNull() & (at == F.col("_first"))
-        pieces = splitting.Pieces(pieces.rows.filter(~(empty & opens)), pieces.large)
-    rows = splitting.with_carry(pieces, keys, order, count - 1)
-    window = Window.partitionBy(*keys, "_piece").orderBy(order)
-    opening = F.lag(order).over(window).isNull()
-    if pieces.large is not None:
-        opening = opening & F.col("_first").isNull()
     # Both windows share one exchange and one sort.
-    rows = rows.withColumn("_opening", opening).filter(~(empty & F.col("_opening")))
+    window = Window.partitionBy(*keys, "_piece").orderBy(order)
+    first = (F.row_number().over(window) == 1) & ~F.col("_continues")
+    opened = pieces.rows.withColumn("_opening", first)
+    kept = opened.filter(~((F.col(text) == "") & F.col("_opening"))).drop("_opening")
+    rows = splitting.with_carry(splitting.Pieces(kept, pieces.edges), keys, order, count - 1)
     lines = F.collect_list(chat.message_line(F.col(who), F.col(text))).over(
         window.rowsBetween(-(count - 1), 0)
     )
@@ -50,33 +44,35 @@ def last_messages(
     )
 
 
-def chat_messages(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    role: str = "role",
-    text: str = "text",
-    count: int = 20,
-    rows_per_task: int = splitting.ROWS_PER_TASK,
-) -> DataFrame:
-    """Add ``messages``: the request a model gets at each turn.
+def chat_messages(df: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
+    """Add ``message``: each message in the notation of a chat model.
 
-    That is the list of role and content of the last ``count`` messages, oldest
-    first, with ``tool_calls`` and ``tool_call_id`` where the input has them.
-    Messages of other roles are left out.
+    That is role and content, with ``tool_calls`` and ``tool_call_id`` where the
+    input has them. Each row is mapped by itself; messages of other roles are left
+    out. ``requests`` puts messages together.
+    """
+    known = df.filter(F.lower(F.col(role)).isin(list(_ROLES)))
+    return known.withColumn("message", chat_message(df, F.col(role), F.col(text)))
+
+
+def requests(
+    df: DataFrame, keys: list[str], order: str, count: int, role: str = "role",
+    text: str = "text", rows_per_task: int | None = None,
+) -> DataFrame:
+    """Add ``messages``: what a model is sent at each turn, as the caller limits it.
+
+    That is the list of the last ``count`` messages, oldest first, the current one
+    included.
     """
     if count < 1:
         raise ValueError("count must be at least 1")
-    columns = df.columns
-    known = df.filter(F.lower(F.col(role)).isin(list(_ROLES)))
-    pieces = splitting.cut(known, keys, order, rows_per_task)
+    mapped = chat_messages(df, role, text)
+    pieces = splitting.cut(mapped, keys, order, rows_per_task)
     rows = splitting.with_carry(pieces, keys, order, count - 1)
     window = Window.partitionBy(*keys, "_piece").orderBy(order)
-    message = chat_message(df, F.col(role), F.col(text))
-    listed = F.collect_list(message).over(window.rowsBetween(-(count - 1), 0))
-    return (
-        rows.withColumn("messages", listed).filter(~F.col("_carried")).select(*columns, "messages")
-    )
+    listed = F.collect_list("message").over(window.rowsBetween(-(count - 1), 0))
+    with_list = rows.withColumn("messages", listed).filter(~F.col("_carried"))
+    return with_list.select(*df.columns, "messages")
 
 
 def chat_message(df: DataFrame, role: Column, text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, TimestampType
 
 from msgrisk.operators import splitting
 
@@ -28,7 +29,7 @@ def zip_labels(
     ratings: DataFrame,
     sheet: str = "sheet",
     position: str = "position",
-    rows_per_task: int = splitting.ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Pair the n-th label of each sheet with its n-th rating.
 
@@ -39,6 +40,10 @@ def zip_labels(
     """
     require_columns(labels, [sheet, position, "content", "rating"], "labels")
     require_columns(ratings, [sheet, position, "rating"], "ratings")
+    for name, df in (("labels", labels), ("ratings", ratings)):
+        kind = df.schema[position].dataType
+        if not isinstance(kind, (NumericType, TimestampType)):
+            raise ValueError(f"the position of {name} is a {kind.simpleString()}, which has another order")
     left = splitting.numbered(
         labels.select(sheet, position, "content", F.col("rating").alias("human rating")),
         [sheet], position, "row", rows_per_task,
@@ -52,7 +57,8 @@ def zip_labels(
 def merge_sheets(labels: DataFrame, ratings: DataFrame, **options) -> DataFrame:
     """``zip_labels`` after a check that each labelled sheet has ratings."""
     sheet = options.get("sheet", "sheet")
-    absent = missing_sheets(labels, ratings, sheet).limit(20).collect()
-    if absent:
-        raise FileNotFoundError(f"no ratings for the sheets {sorted(r[0] for r in absent)}")
+    absent = missing_sheets(labels, ratings, sheet)
+    named = sorted(str(r[0]) for r in absent.limit(20).collect())
+    if named:
+        raise FileNotFoundError(f"no ratings for {absent.count()} sheets, such as {named}")
     return zip_labels(labels, ratings, **options)

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from msgrisk.functions import chat
 from msgrisk.operators import splitting
 
+GLOBAL_ROWS_PER_TASK = 1_000_000
+
 
 def inject_notices(
     df: DataFrame,
     keys: list[str],
     order: str,
     scope: str = "conversation",
-    rows_per_task: int = splitting.ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Add ``notice``, set on the before-send events that must show one.
 
@@ -25,7 +27,8 @@ def inject_notices(
 
     Expects ``kind, rating, reasoning, advice``. After-send events without a
     rating leave the state alone and get no notice. ``scope="global"`` keeps
-    one state for all conversations.
+    one state for all conversations; all rows are one key then, so they are always
+    cut into pieces, of a million rows unless told otherwise.
     """
     if scope not in ("conversation", "global"):
         raise ValueError("scope must be 'conversation' or 'global'")
@@ -35,6 +38,7 @@ def inject_notices(
     scoped = df
     if scope == "global":
         scoped, keys = df.withColumn("_scope", F.lit(0)), ["_scope"]
+        rows_per_task = rows_per_task or GLOBAL_ROWS_PER_TASK
     pieces = splitting.cut(scoped, keys, order, rows_per_task)
     rows = splitting.with_carry(pieces, keys, order, 1, where=matters)
     window = Window.partitionBy(*keys, "_piece").orderBy(order)

@@ -97,14 +97,19 @@ def attach_pages(
 ) -> DataFrame:
     """Add ``pages`` to the messages; an empty list where a message has no link.
 
-    The links are read back from the page list, so they are found once only.
+    Only messages with links are joined, the others pass by. The links are read
+    back from the page list.
     """
-    gathered = gather_pages(link_pages(messages, pages, message, links), message)
-    nothing = F.array().cast(gathered.schema["pages"].dataType)
+    has_links = F.size(links) > 0
+    linked = messages.filter(has_links)
+    gathered = gather_pages(link_pages(linked, pages, message, links), message)
+    kind = gathered.schema["pages"].dataType
+    joined = linked.join(gathered, message, "left")
+    alone = messages.filter(~F.coalesce(has_links, F.lit(False)))
+    both = joined.unionByName(alone.withColumn("pages", F.lit(None).cast(kind)))
     return (
-        messages.drop(links)
-        .join(gathered, message, "left")
-        .withColumn("pages", F.coalesce("pages", nothing))
+        both.drop(links)
+        .withColumn("pages", F.coalesce("pages", F.array().cast(kind)))
         .withColumn(links, F.transform("pages", lambda p: p["url"]))
     )
 

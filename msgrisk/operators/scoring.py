@@ -41,7 +41,7 @@ def any_text(reply: str | None) -> bool:
 
 
 def _call(scorer: Scorer, texts: list[str]) -> list[tuple[str | None, str | None]]:
-    """Replies and errors; a failing batch is tried item by item."""
+    """Replies and errors; a failing batch is halved until the failing items are alone."""
     try:
         replies = list(scorer(texts))
         if len(replies) != len(texts):
@@ -50,7 +50,8 @@ def _call(scorer: Scorer, texts: list[str]) -> list[tuple[str | None, str | None
     except Exception as problem:
         if len(texts) == 1:
             return [(None, str(problem))]
-        return [_call(scorer, [text])[0] for text in texts]
+        middle = len(texts) // 2
+        return _call(scorer, texts[:middle]) + _call(scorer, texts[middle:])
 
 
 def score_texts(

@@ -1,14 +1,15 @@
 """Ordered per-key work on keys that are too large for one task.
 
 A window ``partitionBy(key).orderBy(order)`` puts all rows of a key into one
-task. Where a key may hold a large share of the table, the rows of such a key
-are cut into consecutive pieces of about equal size along the order column, and
-the window runs per piece. The caller then brings in what a piece needs from
-the pieces before it: a few rows (``with_carry``) or an offset
-(``numbered``). Results equal those of the plain window.
-
-The cuts are taken from the data, so one job runs first: it counts rows per key
-and returns two numbers. Without a large key the plain window is planned.
+task. A caller who knows that keys may be too large for that gives a number of
+rows per task. The rows are then sorted by key and order over ranges of about
+that many rows, whatever the size of the table, and written below the shared
+folder. Each range is a piece, the window runs per key and piece, and what a
+piece needs from the pieces before it comes in afterwards: a few rows
+(``with_carry``) or an offset (``numbered``). Results equal those of the plain
+window.
+
+Without that number the plain window is planned and no job runs.
 """
 
 from __future__ import annotations
@@ -19,165 +20,122 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 1_000_000
-
-# A key counts as large only above 1/MAX_LARGE_KEYS of all rows, so there are
-# never more large keys than this, nor more pieces in one of them. That bounds
-# the table of cuts (below 250,000 values) whatever the size of the input.
-MAX_LARGE_KEYS = 1000
-
-_COARSE = 32
+from msgrisk.session import scratch_path
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """Rows with a ``_piece`` number, and the small table of the large keys.
+    """Rows with ``_piece`` and ``_continues``: a key goes on from an earlier piece.
 
-    ``large`` holds the keys and their piece numbers (``_pieces``), and is None
-    when no key needs cutting. Otherwise ``_first`` in
-    ``rows`` is the smallest order value of a large key, null for other keys.
+    ``edges`` has one row for each piece of a key that lies in several: the keys,
+    ``_piece`` and ``_continues``. A piece has two such keys at most, its first and
+    its last. It is None without pieces.
     """
 
     rows: DataFrame
-    large: DataFrame | None
-
-
-def key_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """Number of rows, and rows of the largest key."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
-    return row["rows"] or 0, row["largest"] or 0
+    edges: DataFrame | None
 
 
-def cut(
-    df: DataFrame, keys: list[str], order: str, rows_per_task: int = ROWS_PER_TASK
-) -> Pieces:
-    """Number the pieces of large keys; all rows of other keys are piece 0.
+def cut(df: DataFrame, keys: list[str], order: str, rows_per_task: int | None = None) -> Pieces:
+    """Number the pieces. ``order`` must not have ties in a key; nulls come first.
 
-    ``order`` must be a numeric or timestamp column without ties in a key.
+    With ``rows_per_task`` the rows are counted, sorted and written, so this runs
+    jobs; the number of pieces follows the number of rows.
     """
-    rows, largest = key_sizes(df.select(*keys), keys)
-    limit = max(rows_per_task, math.ceil(rows / MAX_LARGE_KEYS))
-    if largest <= limit:
-        return Pieces(df.withColumn("_piece", F.lit(0)), None)
-
-    parts = math.ceil(largest / limit)
-    shares = [i / parts for i in range(1, parts)]
-    sizes = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    ).drop("_n")
-    hot = _renamed(sizes, keys)
-    large_rows = df.select(*keys, order).join(
-        F.broadcast(hot), _hot_match(df, hot, keys), "left_semi"
+    if rows_per_task is None:
+        plain = df.withColumns({"_piece": F.lit(0), "_continues": F.lit(False)})
+        return Pieces(plain, None)
+    if rows_per_task < 1:
+        raise ValueError("rows_per_task must be at least 1")
+    count = max(1, math.ceil(df.count() / rows_per_task))
+    sorted_rows = df.repartitionByRange(count, *keys, order).sortWithinPartitions(*keys, order)
+    numbered_rows = sorted_rows.withColumn("_piece", F.spark_partition_id())
+    path = scratch_path(df.sparkSession, "pieces")
+    numbered_rows.write.parquet(path)
+    rows = df.sparkSession.read.schema(numbered_rows.schema).parquet(path)
+    of_key = Window.partitionBy(*keys).orderBy("_piece")
+    parts = rows.select(*keys, "_piece").distinct()
+    parts = parts.withColumns(
+        {
+            "_continues": F.lag("_piece").over(of_key).isNotNull(),
+            "_goes_on": F.lead("_piece").over(of_key).isNotNull(),
+        }
     )
-    cuts = large_rows.groupBy(*keys).agg(
-        F.array_sort(
-            F.array_distinct(F.percentile_approx(order, shares, 100 * parts))
-        ).alias("_cuts"),
-        F.min(order).alias("_first"),
-    )
-    coarse = F.filter(F.col("_cuts"), lambda _, i: (i + 1) % _COARSE == 0)
-    # Approximate percentiles may differ between two runs, so the cuts are fixed
-    # here, once. MAX_LARGE_KEYS bounds their number.
-    found = cuts.withColumn("_coarse", coarse)
-    large = df.sparkSession.createDataFrame(found.collect(), found.schema)
-
-    side = _renamed(large, keys)
-    joined = df.join(F.broadcast(side), _hot_match(df, side, keys), "left")
-    at = joined[order]
-    # Cuts below the row: whole strides first, then the rest of one stride.
-    strides = F.size(F.filter("_coarse", lambda c: c < at)) * _COARSE
-    rest = F.filter(F.slice("_cuts", strides + 1, _COARSE), lambda c: c < at)
-    piece = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(strides + F.size(rest))
-    numbered_rows = joined.withColumn("_piece", piece).select(
-        *[df[c] for c in df.columns], "_first", "_piece"
-    )
-    numbers = F.sequence(F.lit(0), F.size("_cuts")).alias("_pieces")
-    return Pieces(numbered_rows, large.select(*keys, numbers))
+    edges = parts.filter(F.col("_continues") | F.col("_goes_on")).select(*keys, "_piece", "_continues")
+    edge_path = scratch_path(df.sparkSession, "piece-edges")
+    edges.write.parquet(edge_path)
+    edges = df.sparkSession.read.schema(edges.schema).parquet(edge_path)
+    joined = _joined(rows, edges, [*keys, "_piece"], "left")
+    return Pieces(joined.withColumn("_continues", F.coalesce("_continues", F.lit(False))), edges)
 
 
-def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join by keys that may be null; the keys come from the left side."""
+    renamed = right
     for key in keys:
-        df = df.withColumnRenamed(key, f"_large_{key}")
-    return df
-
-
-def _hot_match(df: DataFrame, hot: DataFrame, keys: list[str]) -> Column:
+        renamed = renamed.withColumnRenamed(key, f"_right_{key}")
     condition = None
     for key in keys:
-        equal = df[key].eqNullSafe(hot[f"_large_{key}"])
+        equal = left[key].eqNullSafe(renamed[f"_right_{key}"])
         condition = equal if condition is None else condition & equal
-    return condition
-
-
-def only_large(pieces: Pieces) -> DataFrame:
-    return pieces.rows.filter(F.col("_first").isNotNull())
+    return left.join(renamed, condition, how).drop(*[f"_right_{key}" for key in keys])
 
 
 def with_carry(
     pieces: Pieces, keys: list[str], order: str, count: int, where: Column | None = None
 ) -> DataFrame:
-    """Rows plus, at the start of each piece, the ``count`` rows before it.
+    """Rows plus, at the start of each piece of a key, the ``count`` rows before it.
 
-    Only rows that satisfy ``where`` count. Added rows have ``_carried`` set; drop them after the window. Per large key
-    the last rows of its pieces meet in one list of at most ``count`` times
-    MAX_LARGE_KEYS rows.
+    Only rows that satisfy ``where`` count. Added rows have ``_carried`` set; drop
+    them after the window. Of each piece of a key that lies in several, the last
+    ``count`` rows are numbered through; a piece fetches those whose numbers come
+    right before its own.
     """
     rows = pieces.rows.withColumn("_carried", F.lit(False))
-    if pieces.large is None:
+    if pieces.edges is None or count < 1:
         return rows
-    data = [c for c in pieces.rows.columns if c not in (*keys, "_piece")]
+    columns = pieces.rows.columns
+    wanted = pieces.rows if where is None else pieces.rows.filter(where)
+    split = pieces.edges.select(*keys, "_piece")
     backwards = Window.partitionBy(*keys, "_piece").orderBy(F.col(order).desc())
-    wanted = only_large(pieces) if where is None else only_large(pieces).filter(where)
     ends = (
-        wanted
+        _joined(wanted, split, [*keys, "_piece"], "left_semi")
         .withColumn("_back", F.row_number().over(backwards))
         .filter(F.col("_back") <= count)
     )
-    record = F.struct(
-        F.col(order).alias("_at"), F.col("_piece").alias("_from"), F.struct(*data).alias("_row")
+    sizes = ends.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    so_far = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = _joined(pieces.edges, sizes, [*keys, "_piece"], "left").withColumn(
+        "_before", F.coalesce(F.sum("_n").over(so_far), F.lit(0))
     )
-    gathered = ends.groupBy(*keys).agg(F.collect_list(record).alias("_ends"))
-    side = _renamed(pieces.large, keys)
-    target = gathered.join(F.broadcast(side), _hot_match(gathered, side, keys)).withColumn(
-        "_piece", F.explode("_pieces")
+    placed = _joined(ends, offsets.drop("_continues"), [*keys, "_piece"], "inner").withColumn(
+        "_number", F.col("_before") + F.col("_n") - F.col("_back")
     )
-    before = F.filter("_ends", lambda r: r["_from"] < F.col("_piece"))
-    newest = F.slice(F.array_sort(before, _newest_first), 1, count)
-    carried = target.withColumn("_found", F.explode(newest)).select(
-        *keys, *[F.col(f"_found._row.{c}").alias(c) for c in data], "_piece"
+    targets = offsets.filter("_continues AND _before > 0").select(
+        *keys,
+        F.col("_piece").alias("_target"),
+        F.explode(
+            F.sequence(F.greatest(F.lit(0), F.col("_before") - F.lit(count)), F.col("_before") - 1)
+        ).alias("_number"),
     )
-    return rows.unionByName(carried.withColumn("_carried", F.lit(True)))
-
-
-def _newest_first(a: Column, b: Column) -> Column:
-    return F.when(a["_at"] > b["_at"], -1).when(a["_at"] < b["_at"], 1).otherwise(0)
+    carried = _joined(placed, targets, [*keys, "_number"], "inner")
+    carried = carried.withColumns({"_piece": F.col("_target"), "_continues": F.lit(True)})
+    return rows.unionByName(carried.select(*columns).withColumn("_carried", F.lit(True)))
 
 
 def numbered(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    name: str,
-    rows_per_task: int = ROWS_PER_TASK,
+    df: DataFrame, keys: list[str], order: str, name: str, rows_per_task: int | None = None
 ) -> DataFrame:
     """Row position (bigint, from 1) in each key, large keys spread over many tasks."""
     pieces = cut(df, keys, order, rows_per_task)
     window = Window.partitionBy(*keys, "_piece").orderBy(order)
     local = pieces.rows.withColumn(name, F.row_number().over(window).cast("bigint"))
-    if pieces.large is None:
-        return local.drop("_piece")
-    sizes = only_large(pieces).groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per piece of a large key: at most MAX_LARGE_KEYS in a key.
-    so_far = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = _renamed(
-        sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(so_far), F.lit(0))).drop("_n"),
-        [*keys, "_piece"],
-    )
-    joined = local.join(
-        F.broadcast(offsets), _hot_match(local, offsets, [*keys, "_piece"]), "left"
-    )
+    if pieces.edges is None:
+        return local.drop("_piece", "_continues")
+    split = _joined(pieces.rows, pieces.edges.select(*keys, "_piece"), [*keys, "_piece"], "left_semi")
+    sizes = split.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    so_far = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_piece", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_offset"))
+    joined = _joined(local, offsets, [*keys, "_piece"], "left")
     shifted = (F.col(name) + F.coalesce("_offset", F.lit(0))).alias(name)
-    return joined.select(*[local[c] for c in df.columns], shifted)
+    return joined.select(*df.columns, shifted)

@@ -9,16 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from msgrisk import rubric
-from msgrisk.functions import urls
+from msgrisk.functions import urls, verdicts
 from msgrisk.operators import evidence, scoring
 from msgrisk.operators.pages import RECORD, attach_pages, link_state
 
 
-def first_pass(df: DataFrame, analyst: scoring.Scorer, text: str = "text") -> DataFrame:
+def first_pass(
+    df: DataFrame, analyst: scoring.Scorer, text: str = "text", attempts: int = 1
+) -> DataFrame:
     """Add ``first``: the reply of the first pass, or why it failed."""
     return df.withColumn(
         "first",
-        scoring.reply_column(F.col(text), analyst, accept=scoring.any_text, attempts=1),
+        scoring.reply_column(F.col(text), analyst, accept=scoring.any_text, attempts=attempts),
     )
 
 
@@ -28,13 +30,16 @@ def with_links(
     return df.withColumn("urls", urls.extract_urls(F.col(text), pattern))
 
 
-def second_pass(df: DataFrame, judge: scoring.Scorer, text: str = "text") -> DataFrame:
+def second_pass(
+    df: DataFrame, judge: scoring.Scorer, text: str = "text", attempts: int = 1,
+    accept=scoring.any_text,
+) -> DataFrame:
     """Add ``second``, asked only where the first pass gave an answer."""
     document = evidence.evidence_document(F.col(text), F.col("first.reply"), F.col("pages"))
     asked = F.when(_answered("first"), document)
     return df.withColumn("evidence", asked).withColumn(
         "second",
-        scoring.reply_column(F.col("evidence"), judge, accept=scoring.any_text, attempts=1),
+        scoring.reply_column(F.col("evidence"), judge, accept=accept, attempts=attempts),
     )
 
 
@@ -107,6 +112,38 @@ def analyze(
     )
 
 
+def rate(
+    messages: DataFrame,
+    pages: DataFrame,
+    analyst: scoring.Scorer,
+    judge: scoring.Scorer,
+    message: str = "msg_id",
+    text: str = "text",
+    pattern: str = rubric.URL_FULL,
+    attempts: int = scoring.ATTEMPTS,
+) -> DataFrame:
+    """``message, text, rating, final_analysis, error``: datasets through the workflow.
+
+    Each stage asks again for failed rows only, up to ``attempts`` times; the second
+    has failed as long as its reply holds no rating. A row that fails in the end,
+    and one without text, is rated 0.
+    """
+    asked = messages.select(message, text).transform(with_links, text, pattern)
+    rows = (
+        asked.transform(attach_pages, pages, message)
+        .transform(first_pass, analyst, text, attempts)
+        .transform(second_pass, judge, text, attempts, scoring.readable_rating)
+    )
+    verdict = verdicts.parse_verdict(F.col("second.reply"))
+    return rows.withColumn("_verdict", verdict).select(
+        message,
+        text,
+        F.coalesce(verdicts.accepted_rating(F.col("_verdict.rating")), F.lit(0.0)).alias("rating"),
+        F.col("second.reply").alias("final_analysis"),
+        F.coalesce("first.error", "second.error").alias("error"),
+    )
+
+
 def rule_analysis(
     messages: DataFrame,
     pages: DataFrame,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from msgrisk import rubric
 from msgrisk.functions import chat, grading, html, lexicon, urls, verdicts
 from msgrisk.operators import (
+    answers,
     callbacks,
     evidence,
     history,
@@ -23,7 +24,9 @@ from msgrisk.operators import (
 from msgrisk.plans import views
 from msgrisk.session import scratch_path
 from msgrisk.sinks import writers
-from msgrisk.sources import datasets
+from msgrisk.sources import callbacks as request_source
+from msgrisk.sources import datasets, sheets
+from msgrisk.sources import pages as page_store
 from msgrisk.streaming import monitor
 
 PAIR = ["account_low", "account_high"]
@@ -231,9 +234,9 @@ def alert_payload(spark, sf_dir):
     return rows.select("event_id", "payload")
 
 
-def _noticed(spark, sf_dir, scope="conversation"):
+def _noticed(spark, sf_dir, scope="conversation", rows_per_task=None):
     events = callbacks.keyed(views.chat_events(spark, sf_dir))
-    return notices.inject_notices(events, PAIR, "event_id", scope)
+    return notices.inject_notices(events, PAIR, "event_id", scope, rows_per_task)
 
 
 def notice_injection(spark, sf_dir):
@@ -245,14 +248,15 @@ def notice_injection(spark, sf_dir):
 
 
 def notice_injection_global(spark, sf_dir):
-    return _noticed(spark, sf_dir, "global").select("event_id", "kind", "notice")
+    return _noticed(spark, sf_dir, "global", 2000).select("event_id", "kind", "notice")
+
+
+def _answered(spark, sf_dir):
+    return answers.answer(views.callback_requests(spark, sf_dir), views.APP_ID, "event_id")
 
 
 def callback_response(spark, sf_dir):
-    checked = _validated(spark, sf_dir).select("event_id", "error_info")
-    noticed = _noticed(spark, sf_dir).select("event_id", "notice", "text")
-    rows = callbacks.respond(checked.join(noticed, "event_id"))
-    return rows.select(
+    return _answered(spark, sf_dir).select(
         "event_id",
         "http_status",
         F.col("response.ActionStatus").alias("action_status"),
@@ -262,6 +266,11 @@ def callback_response(spark, sf_dir):
     )
 
 
+def callback_alerts(spark, sf_dir):
+    rows = answers.alerts(_answered(spark, sf_dir), nonce=F.col("event_id"))
+    return rows.select("event_id", "conversation", "payload")
+
+
 def last3_messages(spark, sf_dir):
     rows = history.last_messages(views.turns(spark, sf_dir), ["conv_id"], "turn", who="role")
     return rows.select("conv_id", "turn", F.size("last_messages").alias("n"), "snippet")
@@ -273,11 +282,17 @@ def last3_chat_events(spark, sf_dir):
     return rows.select("event_id", "conversation", "snippet")
 
 
+def last3_one_chat(spark, sf_dir):
+    """All events as the messages of one chat, far above the rows of a task."""
+    chat_rows = views.chat_events(spark, sf_dir).withColumn("chat", F.lit(1))
+    rows = history.last_messages(chat_rows, ["chat"], "event_id", who="from_account", rows_per_task=400)
+    return rows.select("event_id", "snippet")
+
+
 def chat_messages(spark, sf_dir):
-    rows = history.chat_messages(views.turns(spark, sf_dir), ["conv_id"], "turn", count=4)
-    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit("|"), m["content"]))
+    rows = history.chat_messages(views.turns(spark, sf_dir))
     return rows.select(
-        "conv_id", "turn", F.size("messages").alias("n"), F.array_join(lines, "\n").alias("lines")
+        "conv_id", "turn", F.col("message.role").alias("role"), F.col("message.content").alias("content")
     )
 
 
@@ -412,6 +427,18 @@ def fraud_type(spark, sf_dir):
     )
 
 
+def rubric_verdict(spark, sf_dir):
+    """The rubric's own signs and keywords, all scam types among them."""
+    rows = views.rubric_texts(spark, sf_dir)
+    best = lexicon.scam_type(F.col("text"))
+    groups = lexicon.risk_keywords(F.col("text"))
+    rows = rows.select("event_id", best.alias("t"), groups.alias("g"))
+    return rows.select(
+        "event_id", F.col("t.name").alias("fraud_type"), F.col("t.hits").alias("hits"),
+        lexicon.risk_score(F.col("g")).alias("score"),
+    )
+
+
 def rule_rating(spark, sf_dir):
     docs = views.texts(spark, sf_dir, "documents", "doc_id", "text")
     rows = docs.withColumn("g", lexicon.risk_keywords(F.col("text"), views.PROSE_TERMS))
@@ -452,6 +479,13 @@ def picky_judge(texts: list[str]) -> list[str | None]:
     return ["" if "pills" in t else r for t, r in zip(texts, length_judge(texts))]
 
 
+def workflow_ratings(spark, sf_dir):
+    rows = workflow.rate(
+        views.linked_messages(spark, sf_dir), _page_store(spark, sf_dir), picky_analyst, picky_judge
+    )
+    return rows.select("msg_id", "rating", "error")
+
+
 def score_batch(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")
     rows = scoring.score_batch(docs.select("doc_id", "text"), length_scorer, "text")
@@ -493,12 +527,36 @@ def _stream_to_table(spark, stream, label):
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _arrivals(spark, rows, column, label, kind="parquet", parts=3):
+    """Rows that arrive in some lots, by a column: the folder, again after each lot."""
+    path = scratch_path(spark, label)
+    least, most = rows.agg(F.min(column), F.max(column)).first()
+    if least is None:
+        rows.write.format(kind).save(path)
+        yield path
+        return
+    lot = F.least(F.lit(parts - 1), F.floor((F.col(column) - least) * parts / (most - least + 1)))
+    for part in range(parts):
+        rows.filter(lot == part).write.mode("append").format(kind).save(path)
+        yield path
+
+
+def _monitored(spark, rows, column, label, keys=None):
+    """Events seen by the monitor in three runs, each of which goes on from the last."""
+    out = scratch_path(spark, label)
+    for path in _arrivals(spark, rows, column, f"{label}-in"):
+        stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", 1 << 30).parquet(path)
+        monitor.monitor(stream, out, f"{out}-progress", keys=keys, idle_hours=24 * 365).awaitTermination()
+    return monitor.read_results(spark, out)
+
+
 def stream_last_messages(spark, sf_dir):
-    turns = views.table_stream(spark, sf_dir, "conversations")
+    turns = views.turns(spark, sf_dir)
     none = F.lit(None).cast("string")
     events = turns.select(
+        "conv_id",
         F.col("role").alias("from_account"),
-        F.concat(F.lit("c"), F.col("conv_id")).alias("to_account"),
+        none.alias("to_account"),
         F.timestamp_seconds("turn").alias("event_time"),
         F.col("turn").alias("msg_seq"),
         F.lit("after").alias("kind"),
@@ -507,22 +565,21 @@ def stream_last_messages(spark, sf_dir):
         none.alias("reasoning"),
         none.alias("advice"),
     )
-    rows = _stream_to_table(spark, monitor.monitor(events), "stream-history")
-    return rows.select(
-        F.col("to_account").alias("conversation"),
-        F.col("from_account").alias("role"),
+    rows = _monitored(spark, events, "msg_seq", "stream-history", ["conv_id"])
+    return rows.filter(F.col("last_messages").isNotNull()).select(
+        "conv_id",
         F.col("msg_seq").alias("turn"),
+        F.size("last_messages").alias("n"),
         F.array_join("last_messages", "\n").alias("snippet"),
     )
 
 
 def stream_notices(spark, sf_dir):
-    raw = views.table_stream(spark, sf_dir, "events")
-    events = views.chat_events(spark, sf_dir, raw).select(
-        "from_account", "to_account", F.col("ts").alias("event_time"),
+    events = views.chat_events(spark, sf_dir).select(
+        "from_account", "to_account", F.timestamp_seconds("event_id").alias("event_time"),
         F.col("event_id").alias("msg_seq"), "kind", "text", "rating", "reasoning", "advice",
     )
-    rows = _stream_to_table(spark, monitor.monitor(events), "stream-notices")
+    rows = _monitored(spark, events, "msg_seq", "stream-notices")
     return rows.select(
         F.col("msg_seq").alias("event_id"),
         "kind",
@@ -532,6 +589,34 @@ def stream_notices(spark, sf_dir):
     )
 
 
+def stream_responses(spark, sf_dir):
+    """Raw request bodies as a stream: accepted ones to the monitor, others refused."""
+    requests = views.callback_requests(spark, sf_dir)
+    out, bad = scratch_path(spark, "stream-responses"), scratch_path(spark, "stream-refused")
+    more = "event_id bigint, rating double, reasoning string, advice string"
+    for path in _arrivals(spark, requests, "event_id", "stream-requests", "json"):
+        parsed = request_source.stream_callbacks(spark, path, more=more)
+        checked = callbacks.routed(callbacks.validate(parsed, views.APP_ID))
+        taken = callbacks.accepted(checked).select(
+            "from_account", "to_account", F.timestamp_seconds("event_id").alias("event_time"),
+            F.col("event_id").alias("msg_seq"), "kind", "text", "rating", "reasoning", "advice",
+        )
+        monitor.monitor(taken, out, f"{out}-progress", idle_hours=24 * 365).awaitTermination()
+        refused = monitor.rejections(checked).select("event_id", "response")
+        monitor.append(refused, bad, f"{bad}-progress").awaitTermination()
+    answered = monitor.read_results(spark, out).select(F.col("msg_seq").alias("event_id"), "response")
+    both = answered.unionByName(spark.read.schema(answered.schema).parquet(bad))
+    code = F.col("response.ErrorCode")
+    return both.select(
+        "event_id",
+        F.when(code == 0, 200).otherwise(400).alias("http_status"),
+        F.col("response.ActionStatus").alias("action_status"),
+        F.col("response.ErrorInfo").alias("error_info"),
+        code.alias("error_code"),
+        F.get("response.MsgBody", F.lit(0))["MsgContent"]["Text"].alias("new_text"),
+    )
+
+
 def stream_alerts(spark, sf_dir):
     raw = views.table_stream(spark, sf_dir, "events")
     events = views.chat_events(spark, sf_dir, raw)
@@ -558,6 +643,55 @@ def scored_dataset_files(spark, sf_dir):
     )
 
 
+def dataset_source(spark, sf_dir):
+    """Documents written as one CSV dataset, read by name and counted."""
+    docs = views.table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "dataset")
+    rating = F.when(F.col("doc_id") % 4 != 0, F.col("n_chars") % 5 + 1)
+    rows = docs.select("lang", F.col("text").alias("content"), rating.alias("rating"))
+    rows.write.options(**datasets.CSV_OPTIONS).csv(path)
+    back = datasets.read_datasets(spark, [path])
+    return back.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.count("rating").alias("n_rated"),
+        F.sum(F.length("content")).alias("chars"),
+    )
+
+
+def label_sheet_source(spark, sf_dir):
+    """Label sheets written per sheet and read back."""
+    path = scratch_path(spark, "sheets")
+    views.sheet_labels(spark, sf_dir).write.partitionBy("sheet").parquet(path)
+    return rounded(sheets.read_sheets(spark, path))
+
+
+def page_source(spark, sf_dir):
+    """Pages written as a store and read as page records."""
+    path = scratch_path(spark, "pages")
+    views.table(spark, sf_dir, "pages").select("url", "html").write.parquet(path)
+    rows = page_store.read_pages(spark, path)
+    return rows.select("url", "title", "status", "method", F.length("content").alias("n_chars"))
+
+
+def scored_labels_evaluated(spark, sf_dir):
+    """Datasets scored, written, read back, put beside their labels and measured."""
+    docs = views.table(spark, sf_dir, "documents")
+    position = F.col("doc_id").alias("position")
+    scored = docs.select(
+        F.col("source").alias("dataset"), F.lit("rules").alias("model"), position,
+        F.col("text").alias("content"), (F.col("n_chars") % 6).cast("double").alias("rating"),
+    )
+    path = scratch_path(spark, "scored")
+    writers.write_scored(scored, path)
+    ratings = datasets.read_scored(spark, path).withColumnRenamed("dataset", "sheet")
+    human = docs.select(
+        F.col("source").alias("sheet"), position, F.col("text").alias("content"),
+        (F.col("doc_id") % 11 / 2).alias("rating"),
+    )
+    merged = labels.merge_sheets(human, ratings)
+    by_sheet = metrics.matrix(metrics.clean(merged), ["sheet"])
+    return rounded(metrics.with_mae(by_sheet).select("sheet", "mae"))
+
+
 def label_sheets_merged(spark, sf_dir):
     """Label sheets and ratings zipped, written as CSV, read back and evaluated."""
     ratings = views.sheet_ratings(spark, sf_dir)
@@ -590,11 +724,12 @@ QUERIES = {
         metrics_json, dataset_counts, label_zip, callback_parse, first_text, callback_validate,
         callback_reject_reasons, callback_route_counts, conv_key, action_tier, advice_tier,
         alert_payload, notice_injection, notice_injection_global, callback_response,
-        last3_messages, last3_chat_events, chat_messages, url_extract, url_extract_full,
+        callback_alerts, last3_messages, last3_chat_events, last3_one_chat, chat_messages, url_extract, url_extract_full,
         url_maximal, page_text, page_title, url_page_join, page_fallback, evidence_doc,
         verdict_parse, reply_content, risk_keywords, fraud_type, rule_rating, link_rating,
-        score_batch, score_conversations, workflow_result, conversation_tiers,
-        stream_last_messages, stream_notices, stream_alerts, scored_dataset_files,
-        label_sheets_merged,
+        score_batch, score_conversations, workflow_result, workflow_ratings, conversation_tiers,
+        stream_last_messages, stream_notices, stream_responses, stream_alerts, scored_dataset_files,
+        rubric_verdict, dataset_source, label_sheet_source, page_source,
+        scored_labels_evaluated, label_sheets_merged,
     )
 }

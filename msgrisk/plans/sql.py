@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from msgrisk import rubric
-from msgrisk.plans.views import APP_ID, PROSE_SIGNS, PROSE_TERMS
+from msgrisk.plans.views import APP_ID, PROSE_SIGNS, PROSE_TERMS, RUBRIC_SIGNS, RUBRIC_TERMS
 
 
 def _q(text: str) -> str:
@@ -345,7 +345,7 @@ SELECT kind, count(*) AS n FROM checked WHERE error IS NULL GROUP BY kind""",
 SELECT event_id, account_low, account_high, account_low || '-' || account_high AS conversation
 FROM pairs""",
     "action_tier": f"""WITH {CHATS}
-SELECT event_id, rating, CASE WHEN rating >= 4 THEN 'alert' WHEN rating >= 3 THEN 'notice'
+SELECT event_id, rating, CASE WHEN kind <> 'after' THEN 'none' WHEN rating >= 4 THEN 'alert' WHEN rating >= 3 THEN 'notice'
        ELSE 'none' END AS tier FROM chats""",
     "advice_tier": f"""WITH {CHATS}
 SELECT event_id, CASE WHEN rating >= 5 THEN {_q(rubric.ADVICE["high"])}
@@ -374,20 +374,32 @@ FROM lines""",
            ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS l
   FROM keyed WHERE kind = 'after')
 SELECT event_id, conversation, array_to_string(l, chr(10)) AS snippet FROM lines""",
-    "chat_messages": """WITH lines AS (
-  SELECT conv_id, turn, role, list(role || '|' || text) OVER (
-           PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l
-  FROM conversations WHERE lower(role) IN ('system', 'user', 'human', 'assistant', 'ai', 'tool'))
-SELECT conv_id, turn, CAST(len(l) AS INTEGER) AS n, array_to_string(l, chr(10)) AS lines
-FROM lines""",
+    "last3_one_chat": f"""WITH {CHATS}
+SELECT event_id, array_to_string(list(from_account || ': ' || text) OVER (
+         ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), chr(10)) AS snippet
+FROM chats""",
+    "chat_messages": """
+SELECT conv_id, turn, lower(role) AS role, coalesce(text, '') AS content
+FROM conversations WHERE lower(role) IN ('system', 'user', 'human', 'assistant', 'ai', 'tool')""",
 }
-CHAT_SQL["callback_response"] = f"""WITH {_noticed(BY_PAIR)}, {REQUESTS[len(CHATS) + 2:]}
+ACCEPTED = f"""{REQUESTS}, accepted AS (
+  SELECT *, least(sender, receiver) AS account_low, greatest(sender, receiver) AS account_high
+  FROM checked WHERE error IS NULL)"""
+CHAT_SQL["callback_response"] = f"""WITH {ACCEPTED}, stateful AS (
+  SELECT event_id, nullif(CASE WHEN kind = 'before' THEN {LAST_MATTERS.format(
+      notice=NOTICE, scope=BY_PAIR)} END, '') AS notice
+  FROM accepted WHERE kind = 'before' OR (kind = 'after' AND rating IS NOT NULL))
 SELECT c.event_id, CASE WHEN c.error IS NULL THEN 200 ELSE 400 END AS http_status,
        CASE WHEN c.error IS NULL THEN 'OK' ELSE 'FAIL' END AS action_status,
        coalesce(c.error, '') AS error_info,
        CASE WHEN c.error IS NULL THEN 0 ELSE -1 END AS error_code,
-       CASE WHEN c.error IS NULL THEN n.notice || chr(10) || n.text END AS new_text
-FROM checked c JOIN noticed n ON n.event_id = c.event_id"""
+       s.notice || chr(10) || coalesce(c.first_text, 'None') AS new_text
+FROM checked c LEFT JOIN stateful s ON s.event_id = c.event_id"""
+CHAT_SQL["callback_alerts"] = f"""WITH {ACCEPTED}, due AS (
+  SELECT * EXCLUDE (from_account, to_account), sender AS from_account, receiver AS to_account
+  FROM accepted WHERE kind = 'after' AND rating >= 4)
+SELECT event_id, account_low || '-' || account_high AS conversation, {_payload()} AS payload
+FROM due"""
 
 # -- links and pages ----------------------------------------------------------
 
@@ -609,6 +621,23 @@ judged AS (
          array_to_string({_matched(ALL_TERMS)}, ',') AS keywords
   FROM messages m LEFT JOIN states s ON s.msg_id = m.msg_id)"""
 
+
+
+def _pick(values: list[str], number: str) -> str:
+    return f"[{', '.join(map(_q, values))}][({number}) % {len(values)} + 1]"
+
+
+RUBRIC_TEXTS = f"""texts AS (
+  SELECT event_id, concat_ws(' ', {_pick(RUBRIC_SIGNS, "event_id")},
+         {_pick(RUBRIC_SIGNS, "user_id * 7 + event_id")},
+         {_pick(RUBRIC_TERMS, "user_id * 3 + event_id")}, event_type) AS text
+  FROM events)"""
+RUBRIC_TYPED = "typed AS (" + " UNION ALL ".join(
+    f"SELECT event_id, text, {number} AS k, {_q(rubric.SCAM_TYPES[number - 1])} AS name, "
+    f"CAST(len({_matched(terms)}) AS INTEGER) AS hits FROM texts"
+    for number, terms in rubric.SCAM_SIGNS.items()
+) + ")"
+
 STEPS = {k: _q(v) for k, v in rubric.STEP_NAMES.items()}
 
 SCORE_SQL = {
@@ -625,6 +654,10 @@ SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN reply END AS content FROM repl
     "fraud_type": f"""WITH {TYPED}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, k) AS r FROM typed)
 SELECT doc_id, CASE WHEN hits > 0 THEN name END AS fraud_type, hits FROM ranked WHERE r = 1""",
+    "rubric_verdict": f"""WITH {RUBRIC_TEXTS}, {RUBRIC_TYPED}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY hits DESC, k) AS r FROM typed)
+SELECT event_id, CASE WHEN hits > 0 THEN name END AS fraud_type, hits,
+       CAST({_score(rubric.RISK_KEYWORDS)} AS INTEGER) AS score FROM ranked WHERE r = 1""",
     "rule_rating": f"""WITH {SCORED}
 SELECT doc_id, score, {_level("score")} AS level FROM scored""",
     "link_rating": f"""WITH {LINK_RATED}
@@ -656,6 +689,13 @@ SELECT msg_id, text AS input_text,
        CASE WHEN NOT one THEN {_q(rubric.STEP_FAILED[1] + "refused")}
             WHEN NOT two THEN {_q(rubric.STEP_FAILED[4] + rubric.EMPTY_REPLY)} END AS error,
        CASE WHEN NOT one THEN 1 WHEN NOT two THEN 4 END AS failed_step
+FROM staged""",
+    "workflow_ratings": f"""WITH {_evidence("length(m.text) || ' characters'")}, staged AS (
+  SELECT d.msg_id, d.text, NOT contains(d.text, 'casino') AS one,
+         NOT contains(d.document, 'pills') AS two, len(l) > 0 AS linked, length(document) AS n
+  FROM documented d JOIN links k ON k.msg_id = d.msg_id)
+SELECT msg_id, CASE WHEN one AND two THEN CAST(n % 5 + 1 AS DOUBLE) ELSE 0.0 END AS rating,
+       CASE WHEN NOT one THEN 'refused' END AS error
 FROM staged""",
     "conversation_tiers": CHAT_SQL["last3_messages"].replace(
         "SELECT conv_id, turn, CAST(len(l) AS INTEGER) AS n, array_to_string(l, chr(10)) AS snippet\nFROM lines",
@@ -667,19 +707,28 @@ SELECT CAST(level AS DOUBLE) AS rating, CASE WHEN level >= 4 THEN 'alert' WHEN l
 }
 
 STREAM_SQL = {
-    "stream_last_messages": """WITH lines AS (
-  SELECT conv_id, role, turn, list(role || ': ' || text) OVER (
-           PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS l
-  FROM conversations)
-SELECT 'c' || conv_id AS conversation, role, turn, array_to_string(l, chr(10)) AS snippet
-FROM lines""",
+    "stream_last_messages": CHAT_SQL["last3_messages"],
     "stream_notices": f"""WITH {_noticed(BY_PAIR)}
-SELECT event_id, kind, CASE WHEN rating >= 4 THEN 'alert' WHEN rating >= 3 THEN 'notice'
-       ELSE 'none' END AS tier, notice, notice || chr(10) || text AS message FROM noticed""",
+SELECT event_id, kind, CASE WHEN kind <> 'after' THEN 'none' WHEN rating >= 4 THEN 'alert'
+       WHEN rating >= 3 THEN 'notice' ELSE 'none' END AS tier, notice,
+       notice || chr(10) || text AS message FROM noticed""",
+    "stream_responses": CHAT_SQL["callback_response"],
     "stream_alerts": CHAT_SQL["alert_payload"],
     "scored_dataset_files": """SELECT source AS dataset, 'rules' AS model, count(*) AS n,
        CAST(sum(n_chars % 5 + 1) AS DOUBLE) AS ratings, CAST(sum(length(text)) AS BIGINT) AS chars
 FROM documents GROUP BY source""",
+    "dataset_source": """SELECT lang, count(*) AS n,
+       count(*) FILTER (doc_id % 4 <> 0) AS n_rated, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM documents GROUP BY lang""",
+    "label_sheet_source": """SELECT CAST(o_orderkey % 3 AS VARCHAR) AS sheet, o_orderkey AS position,
+       o_orderpriority AS content, round(floor(o_totalprice / 50000) / 2, 6) AS rating FROM orders""",
+    "page_source": f"""WITH {PAGE_TEXTS}
+SELECT url, title, 'success' AS status, 'store' AS method,
+       CAST(length(content) AS INTEGER) AS n_chars FROM texts""",
+    "scored_labels_evaluated": """WITH pairs AS (
+  SELECT source AS sheet, doc_id % 11 / 2 AS h, n_chars % 6 AS p FROM documents),
+clean AS (SELECT sheet, round_even(h, 0) AS h, p FROM pairs WHERE h BETWEEN 1 AND 5 AND p BETWEEN 1 AND 5)
+SELECT sheet, round(avg(abs(h - p)), 6) AS mae FROM clean GROUP BY sheet""",
     "label_sheets_merged": f"""WITH zipped AS (
   SELECT "human rating" AS human, rating FROM ({RATING_SQL["label_zip"]}))
 SELECT count(*) AS n_raw,

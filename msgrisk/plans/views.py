@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from msgrisk import rubric
 from msgrisk.functions import chat
-from msgrisk.sources.tables import spread
 
 APP_ID = "app"
 
@@ -38,8 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table for work that costs more than reading it."""
-    return spread(table(spark, sf_dir, name).select(*columns))
+    """Columns of a table."""
+    return table(spark, sf_dir, name).select(*columns)
 
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +56,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pick(values: list[str | None]) -> Column:
-    at = (F.col("event_id") % len(values)).cast("int") + 1
-    return F.element_at(F.array(*[F.lit(v) for v in values]), at)
+    return _pick_by(values, F.col("event_id"))
 
 
 def _every(n: int) -> Column:
@@ -96,9 +94,14 @@ def chat_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
     )
 
 
-def callback_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw requests as a chat server sends them, good and bad ones."""
-    events = chat_events(spark, sf_dir)
+def callback_requests(
+    spark: SparkSession, sf_dir: str, events: DataFrame | None = None
+) -> DataFrame:
+    """Raw requests as a chat server sends them, good and bad ones.
+
+    Beside each lies the verdict on its message, as a scorer gave it.
+    """
+    events = chat_events(spark, sf_dir, events)
     none = F.lit(None).cast("string")
     custom = F.struct(
         F.lit("TIMCustomElem").alias("MsgType"),
@@ -137,6 +140,9 @@ def callback_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("command").alias("CallbackCommand"),
         _pick(["RESTAPI", "Web", "Android", "iOS", "Toaster", None, "Unknown"]).alias("OptPlatform"),
         raw.alias("body"),
+        "rating",
+        "reasoning",
+        "advice",
     )
 
 
@@ -188,3 +194,24 @@ def sheet_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("position"),
         (F.col("value") / 50).alias("rating"),
     )
+
+
+RUBRIC_SIGNS = [sign for signs in rubric.SCAM_SIGNS.values() for sign in signs]
+RUBRIC_TERMS = [term for terms in rubric.RISK_KEYWORDS.values() for term in terms]
+
+
+def rubric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events told with two signs and one keyword of the rubric each."""
+    events = table(spark, sf_dir, "events")
+    text = F.concat_ws(
+        " ",
+        _pick_by(RUBRIC_SIGNS, F.col("event_id")),
+        _pick_by(RUBRIC_SIGNS, F.col("user_id") * 7 + F.col("event_id")),
+        _pick_by(RUBRIC_TERMS, F.col("user_id") * 3 + F.col("event_id")),
+        "event_type",
+    )
+    return events.select("event_id", text.alias("text"))
+
+
+def _pick_by(values: list[str], number: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values)).cast("int") + 1)

@@ -101,30 +101,27 @@ EMPTY_REPLY = "模型返回空结果"
 
 # URL-like substrings as the original pattern finds them. The last group is
 # literal there, so the path of a link is practically never part of a match.
-URL_COMPAT = (
-    r"\b(https?://)?([-A-Za-z0-9_]+\.)?[-A-Za-z0-9_]+\.[-A-Za-z0-9_]{2,63}"
-    r"(/-A-Za-z0-9_*)*\b"
-)
+URL_COMPAT = r"\b(https?://)?([-A-Za-z0-9_]+\.)?[-A-Za-z0-9_]+\.[-A-Za-z0-9_]{2,63}(/-A-Za-z0-9_*)*\b"  # noqa: E501
 URL_MIN_CHARS = 4
 
-# ---------------------------------------------------------------------------
-# Own design: the sources above give no weights and list signs as prose.
-# ---------------------------------------------------------------------------
-
-# Terms that stand for the signs of each scam type, by type number.
+# Signs of each scam type, by type number, as the guideline names them.
 SCAM_SIGNS = {
     1: ["公安局", "检察院", "法院", "银监会", "疾控中心", "洗钱", "资产清查", "证明清白", "逮捕"],
-    2: ["刷单", "返利", "补单", "做任务", "操作失误"],
-    3: ["股票", "期货", "虚拟货币", "内幕消息", "投资群", "高收益"],
-    4: ["淘宝", "京东", "顺丰", "退款", "快递丢失", "订单异常"],
-    5: ["无抵押", "低利率", "放款", "解冻费", "保证金", "刷流水", "贷款"],
+    2: ["做任务", "刷单", "返利", "操作失误", "补单"],
+    3: ["股票", "期货", "虚拟货币", "高收益", "内幕消息", "投资群"],
+    4: ["淘宝", "京东", "顺丰", "订单异常", "快递丢失", "退款"],
+    5: ["无抵押", "低利率", "放款", "贷款", "解冻费", "保证金", "刷流水"],
     6: ["征信", "注销网贷", "央行", "监管账户", "资金证明"],
-    7: ["超低价", "先付款", "抽奖", "优惠活动"],
-    8: ["领导", "同事", "应急", "老同学"],
+    7: ["超低价", "先付款", "优惠活动", "抽奖"],
+    8: ["领导", "同事", "应急"],
     9: ["游戏装备", "皮肤", "激活费", "代练", "账号交易"],
-    10: ["裸聊", "私密照片", "通讯录", "公开照片"],
+    10: ["裸聊", "私密照片", "公开照片", "通讯录"],
 }
 
+# ---------------------------------------------------------------------------
+# Own design: the sources above give no weights.
+# ---------------------------------------------------------------------------
+
 # Weight of one matched term, and the lowest score of the levels 2 to 5.
 GROUP_WEIGHTS = {"transfer": 3, "software": 2, "identity": 1, "threat": 2, "lure": 1}
 LEVEL_FLOORS = {2: 1, 3: 2, 4: 4, 5: 6}

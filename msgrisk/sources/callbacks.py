@@ -13,11 +13,13 @@ def read_callbacks(spark: SparkSession, path: str) -> DataFrame:
     return callbacks.parse(spark.read.schema(schemas.ENVELOPE).json(path))
 
 
-def stream_callbacks(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """The same as a stream. The file limit bounds the size of a micro-batch."""
-    raw = (
-        spark.readStream.schema(schemas.ENVELOPE)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(path)
-    )
+def stream_callbacks(
+    spark: SparkSession, path: str, bytes_per_batch: int = 1 << 30, more: str = ""
+) -> DataFrame:
+    """The same as a stream. The limit of bytes bounds the size of a micro-batch.
+
+    ``more`` declares fields that lie beside the request, such as a verdict.
+    """
+    schema = ", ".join(filter(None, (schemas.ENVELOPE, more)))
+    raw = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).json(path)
     return callbacks.parse(raw)

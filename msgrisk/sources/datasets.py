@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StructType
+
+from msgrisk.session import scratch_path
 
 # Datasets scored when none are named, and the name of a result.
 DEFAULT_DATASETS = ["datasets/dataset-正常短信.csv", "datasets/dataset-广告.csv"]
@@ -19,7 +22,6 @@ NULL_MARKS = [
 ]
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
-CHARSETS = ["UTF-8", "GBK", "ISO-8859-1"]
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -37,25 +39,38 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return kept
 
 
-def charset_of_files(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """Charset of each file: the first of UTF-8, GBK and Latin-1 that fits all of it.
+def files_with_charset(spark: SparkSession, paths: list[str]) -> list[tuple[str, str, str]]:
+    """File, charset and header line of each file.
 
-    The text source hands lines over as raw bytes, and no line end occurs inside
-    a character of these charsets, so files are checked line by line in
-    parallel. The driver receives one row per file, as many as it has listed.
+    The charset is the first of UTF-8, GBK and Latin-1 that fits all of a file. The
+    text source hands lines over as raw bytes, and no line end occurs inside a
+    character of these charsets, so files are checked line by line in parallel. The
+    driver receives one row per file, as many as it has listed.
     """
     probe = spark.newSession()
     probe.conf.set("spark.sql.legacy.javaCharsets", "true")
     probe.conf.set("spark.sql.legacy.codingErrorAction", "true")
     raw = F.col("value").cast("binary")
-    is_gbk = ~F.contains(F.decode(raw, "GBK"), F.lit("\N{REPLACEMENT CHARACTER}"))
-    checks = probe.read.text(paths).groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_and(is_gbk).alias("gbk")
+    gbk = F.decode(raw, "GBK")
+    is_gbk = ~F.contains(gbk, F.lit("\N{REPLACEMENT CHARACTER}"))
+    # The first line of the first block; numbers grow with the lines of a task.
+    lines = probe.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    place = F.struct("block", "line")
+    checks = lines.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_and(is_gbk).alias("gbk"),
+        F.min_by(raw, place).alias("header"),
     )
-    return {
-        row["file"]: "UTF-8" if row["utf8"] else "GBK" if row["gbk"] else "ISO-8859-1"
-        for row in checks.collect()
-    }
+    found = []
+    for row in checks.collect():
+        charset = "UTF-8" if row["utf8"] else "GBK" if row["gbk"] else "ISO-8859-1"
+        header = bytes(row["header"] or b"").decode(charset, "replace")
+        found.append((row["file"], charset, header.removeprefix("\ufeff").rstrip("\r")))
+    return sorted(found)
 
 
 def number_or_null(value: Column) -> Column:
@@ -73,11 +88,8 @@ def _plain_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.removeprefix("\ufeff") for c in df.columns])
 
 
-def _read_csv(spark: SparkSession, paths: list[str], charset: str, schema: str | None) -> DataFrame:
-    reader = spark.read.options(**CSV_OPTIONS, encoding=charset)
-    if schema:
-        reader = reader.schema(schema)
-    df = reader.csv(paths)
+def _read_csv(spark: SparkSession, paths: list[str], charset: str) -> DataFrame:
+    df = spark.read.options(**CSV_OPTIONS, encoding=charset).csv(paths)
     # Taken right at the scan of unsplit files, so it follows the order in a file.
     at_scan = df.withColumn("position", F.monotonically_increasing_id()).withColumn(
         "dataset", file_stem(F.col("_metadata.file_path"))
@@ -85,30 +97,50 @@ def _read_csv(spark: SparkSession, paths: list[str], charset: str, schema: str |
     return _plain_columns(at_scan)
 
 
+def _read_gbk(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """GBK files as a table below the shared folder.
+
+    The charset needs a legacy setting, which a session of its own gets, so that the
+    caller's stays as it is.
+    """
+    other = spark.newSession()
+    other.conf.set("spark.sql.legacy.javaCharsets", "true")
+    rows = _read_csv(other, paths, "GBK")
+    path = scratch_path(spark, "gbk")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def read_datasets(
     spark: SparkSession, paths: list[str] | None = None, schema: str | None = None
 ) -> DataFrame:
     """All rows of the datasets, absent files skipped.
 
-    Columns: those of the files (as text unless a schema is given), with
-    ``rating`` as a number where present, plus ``dataset`` and ``position``.
-    GBK needs a legacy setting, which is switched on for this session only if
-    there is such a file.
+    Columns go by the names in the header of each file, whatever their order; a
+    column that a file lacks is null there. All are carried along as text, those of
+    ``schema`` as the types it gives and ``rating`` as a number; ``dataset`` and
+    ``position`` come on top.
     """
     present = existing(spark, DEFAULT_DATASETS if paths is None else paths)
     if not present:
         raise FileNotFoundError("none of the datasets exists")
-    charsets = charset_of_files(spark, present)
-    if "GBK" in charsets.values():
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    parts = []
-    for charset in CHARSETS:
-        files = sorted(f for f, c in charsets.items() if c == charset)
-        if files:
-            parts.append(_read_csv(spark, files, charset, schema))
+    alike: dict[tuple[str, str], list[str]] = {}
+    for file, charset, header in files_with_charset(spark, present):
+        alike.setdefault((charset, header), []).append(file)
+    parts = [
+        _read_gbk(spark, files) if charset == "GBK" else _read_csv(spark, files, charset)
+        for (charset, _), files in alike.items()
+    ]
+    if not parts:
+        raise ValueError("the datasets are empty files")
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if "content" not in rows.columns:
         raise ValueError("the datasets lack the column content")
+    for field in StructType.fromDDL(schema) if schema else ():
+        value = F.col(f"`{field.name}`") if field.name in rows.columns else F.lit(None)
+        if isinstance(field.dataType, NumericType):
+            value = number_or_null(value.cast("string")) if field.name in rows.columns else value
+        rows = rows.withColumn(field.name, value.try_cast(field.dataType))
     if "rating" in rows.columns:
         rows = rows.withColumn("rating", number_or_null(F.col("rating").cast("string")))
     return rows
@@ -156,8 +188,9 @@ def _glob_literal(text: str) -> str:
 
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
     """A table of scored datasets as written by the sink, one folder per
-    dataset and model."""
+    dataset and model. A ``position`` is a number again, so rows keep their order."""
     df = spark.read.options(**CSV_OPTIONS, basePath=path).csv(path)
-    return df.withColumn("rating", number_or_null(F.col("rating"))).withColumns(
-        {c: F.col(c).cast("string") for c in ("dataset", "model")}
-    )
+    typed = {c: F.col(c).cast("string") for c in ("dataset", "model")}
+    if "position" in df.columns:
+        typed["position"] = F.col("position").cast("bigint")
+    return df.withColumn("rating", number_or_null(F.col("rating"))).withColumns(typed)

@@ -6,40 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from msgrisk import schemas
 from msgrisk.operators.scoring import Scorer, score_batch
-from msgrisk.sources.datasets import CSV_OPTIONS, file_stem
-
-
-def stream_datasets(
-    spark: SparkSession, path: str, schema: str = schemas.DATASET, files_per_batch: int = 10
-) -> DataFrame:
-    """UTF-8 dataset files of a folder, in the order they arrive."""
-    raw = (
-        spark.readStream.schema(schema)
-        .options(**CSV_OPTIONS)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .csv(path)
-    )
-    return raw.withColumn("dataset", file_stem(F.col("_metadata.file_path")))
+from msgrisk.sources.datasets import read_datasets
+
+
+def stream_datasets(spark: SparkSession, path: str, files_per_batch: int = 10) -> DataFrame:
+    """The dataset files of a folder in the order they arrive, one row each.
+
+    Only their paths are streamed; a micro-batch reads its files by itself, each in
+    its charset and with its columns by name.
+    """
+    listed = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(listed)
+    files = files.option("maxFilesPerTrigger", files_per_batch)
+    return files.load(path).select(F.col("path").alias("file"))
 
 
 def score_stream(
-    datasets: DataFrame, scorer: Scorer, model: str, path: str, checkpoint: str
+    files: DataFrame, scorer: Scorer, model: str, path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Score what has arrived since the last run and append it to the results.
+    """Score what has arrived since the last run and add it to the results.
 
-    A run that is cut off goes on where its last finished micro-batch ended.
+    Each micro-batch writes a folder of its own, all columns of the files included,
+    and writes it anew if it is run again. A run that is cut off goes on where its
+    last finished micro-batch ended.
     """
-    scored = score_batch(datasets, scorer, distinct=False).withColumn("model", F.lit(model))
-    flat = scored.drop("verdict", "attempts", "error")
+
+    def score(batch: DataFrame, number: int) -> None:
+        found = [row["file"] for row in batch.collect()]  # at most files_per_batch
+        if not found:
+            return
+        rows = read_datasets(batch.sparkSession, found)
+        scored = score_batch(rows, scorer, distinct=False).withColumn("model", F.lit(model))
+        flat = scored.drop("verdict", "attempts", "error")
+        flat.write.mode("overwrite").partitionBy("dataset", "model").parquet(f"{path}/batch={number}")
+
     return (
-        flat.writeStream.format("csv")
-        .options(header="true", quote='"', escape='"')
-        .option("path", path)
+        files.writeStream.foreachBatch(score)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("dataset", "model")
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """What has been scored so far; columns that some files lack are null there."""
+    rows = spark.read.option("mergeSchema", "true").option("basePath", path).parquet(f"{path}/batch=*")
+    return rows.drop("batch").withColumns({c: F.col(c).cast("string") for c in ("dataset", "model")})

@@ -1,153 +1,207 @@
-"""Chat monitoring as a stream: history, scoring and one-shot notices per pair."""
+"""Chat monitoring as a stream: history, scoring and one-shot notices per conversation.
+
+Each micro-batch is a table: the windows of the batch operators run over it, and
+what they need from before comes in as one row of state per conversation. State
+is a table too, written beside the results under the number of its batch, so a
+batch that is run again finds the state it had and writes the same folders anew.
+"""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Callable, Iterator
+from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from msgrisk import rubric
-from msgrisk.functions import chat, grading
+from msgrisk import schemas
+from msgrisk.functions import chat, grading, verdicts
 from msgrisk.operators import callbacks
-from msgrisk.operators.scoring import Scorer, any_text, score_texts
+from msgrisk.operators.answers import PAIR
+from msgrisk.operators.scoring import Scorer, any_text, reply_column
+from msgrisk.session import scratch_path
 
-INPUT = [
+EVENT = [
     "from_account", "to_account", "event_time", "msg_seq", "kind", "text",
     "rating", "reasoning", "advice",
 ]
-
-OUTPUT = (
-    "account_low string, account_high string, from_account string, to_account string, "
-    "event_time timestamp, msg_seq bigint, kind string, text string, rating double, "
-    "reasoning string, advice string, last_messages array<string>, notice string"
-)
-# The last lines, whether a message was seen, the level and its notice.
-STATE = "lines array<string>, started boolean, level double, notice string"
-
-
-def read_verdict(reply: str | None) -> dict:
-    """The fields of a fenced or bare JSON reply; empty if it is unreadable."""
-    text = re.sub(r"\A```json\s*|\s*```\Z", "", reply or "")
-    try:
-        found = json.loads(text)
-    except ValueError:
-        return {}
-    return found if isinstance(found, dict) else {}
-
-
-def _number(value) -> float | None:
-    if isinstance(value, bool) or not isinstance(value, (int, float)) or pd.isna(value):
-        return None
-    return float(value)
-
-
-def _text(value) -> str | None:
-    return None if value is None or value is pd.NaT or value != value else str(value)
+ORDER = ["event_time", "msg_seq"]
+STATE = "lines array<string>, started boolean, due string, seen timestamp"
+
+
+def with_history(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """Add ``last_messages`` to the after-send events with text, from rows and state."""
+    said = F.coalesce((F.col("kind") == "after") & F.col("text").isNotNull(), F.lit(False))
+    window = Window.partitionBy(*keys).orderBy(*ORDER)
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    opens = ~(F.coalesce(F.max(said).over(before), F.lit(False)) | F.col("_state.started"))
+    rows = rows.withColumn("_line", said & ~((F.col("text") == "") & opens))
+    line = F.when(F.col("_line"), chat.message_line(F.col("from_account"), F.col("text")))
+    # Numbered lines bound the frame, whatever lies between them.
+    rows = rows.withColumns({"_text": line, "_number": F.count_if("_line").over(window)})
+    near = Window.partitionBy(*keys).orderBy("_number").rangeBetween(-(count - 1), 0)
+    own = F.collect_list("_text").over(near)
+    both = F.concat("_state.lines", own)
+    kept = F.slice(both, F.greatest(F.lit(1), F.size(both) - (count - 1)), F.lit(count))
+    return rows.withColumn("last_messages", F.when(F.col("_line"), kept)).drop("_line", "_text", "_number")
+
+
+def with_verdicts(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """Replace ``rating, reasoning, advice`` by what the scorer says of each history.
+
+    Histories go to the scorer in Arrow batches. The scored rows are written, as a
+    scorer must not be asked twice.
+    """
+    snippet = F.when(F.size("last_messages") > 0, F.array_join("last_messages", "\n"))
+    asked = rows.withColumn("_scored", reply_column(snippet, scorer, accept=any_text, attempts=1))
+    path = scratch_path(rows.sparkSession, "monitor-scored")
+    asked.write.parquet(path)
+    scored = rows.sparkSession.read.schema(asked.schema).parquet(path)
+    reply = verdicts.strip_fence(F.col("_scored.reply"))
+    scored = scored.withColumn("_verdict", verdicts.strict_json(reply, schemas.VERDICT))
+    fields = {n: F.col(f"_verdict.{n}") for n in ("rating", "reasoning", "advice")}
+    return scored.withColumns(fields).drop("_scored", "_verdict")
+
+
+def _due() -> Column:
+    level = F.col("rating")
+    text = chat.notice_text(F.col("reasoning"), level, F.col("advice"))
+    return F.when((F.col("kind") == "after") & (level >= 3), text)
+
+
+def _matters() -> Column:
+    rated = (F.col("kind") == "after") & F.col("rating").isNotNull()
+    return (F.col("kind") == "before") | rated
+
+
+def with_notices(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``notice`` to the before-send events that must show one."""
+    before = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    previous = F.last(F.when(_matters(), F.struct(_due().alias("due"))), ignorenulls=True).over(before)
+    due = F.when(previous.isNull(), F.col("_state.due")).otherwise(previous["due"])
+    return rows.withColumn("notice", F.when(F.col("kind") == "before", due))
+
+
+def next_state(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The state of each conversation after its rows."""
+    at = F.struct(*ORDER)
+    said = (F.col("kind") == "after") & F.col("text").isNotNull()
+    listed = F.when(F.col("last_messages").isNotNull(), at)
+    matters = F.when(_matters(), at)
+    found = rows.groupBy(*keys).agg(
+        F.max_by("last_messages", listed).alias("_lines"),
+        F.max_by(F.struct(_due().alias("due")), matters).alias("_due"),
+        F.bool_or(F.coalesce(said, F.lit(False))).alias("_started"),
+        F.max("event_time").alias("_seen"),
+        F.first("_state").alias("_state"),
+    )
+    return found.select(
+        *keys,
+        F.coalesce("_lines", "_state.lines").alias("lines"),
+        (F.col("_started") | F.col("_state.started")).alias("started"),
+        F.when(F.col("_due").isNull(), F.col("_state.due")).otherwise(F.col("_due.due")).alias("due"),
+        F.greatest("_seen", "_state.seen").alias("seen"),
+    )
 
 
-def processor(
-    scorer: Scorer | None, count: int, idle_ms: int | None, template: str = rubric.NOTICE_FORMAT
-) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """State function of one account pair.
+def shown(rows: DataFrame) -> DataFrame:
+    """Add the action tier of after-send events and the response to each event."""
+    tier = F.when(F.col("kind") == "after", grading.action_tier(F.col("rating"))).otherwise("none")
+    message = F.when(
+        F.col("notice").isNotNull(), chat.noticed_message(F.col("notice"), F.col("text"))
+    )
+    response = chat.response(F.lit(None).cast("string"), message)
+    return rows.withColumns({"tier": tier, "response": response})
 
-    Rows of a micro-batch come unordered and are sorted by event time first.
-    Snippets do not depend on verdicts, so all of a micro-batch are scored in
-    one call; the notices follow in a second walk.
-    """
 
-    names = [field.split()[0] for field in OUTPUT.split(", ")]
-
-    def notice_of(row: dict) -> str:
-        level = row["rating"]
-        shown = [row["reasoning"], int(level) if level == int(level) else level, row["advice"]]
-        return template % tuple("None" if v is None else v for v in shown)
-
-    def run(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        lines, started, level, notice = state.get if state.exists else ([], False, 0.0, "")
-        lines = list(lines)
-        pdf = pd.concat(list(batches)).sort_values(["event_time", "msg_seq"], kind="stable")
-        rows = pdf.to_dict("records")
-        for row in rows:
-            for name in ("text", "reasoning", "advice"):
-                row[name] = _text(row[name])
-            row["rating"] = _number(row["rating"])
-            row["last_messages"] = None
-            if row["kind"] == "after" and row["text"] is not None:
-                if row["text"] != "" or started:
-                    lines = (lines + [f"{row['from_account']}: {row['text']}"])[-count:]
-                    row["last_messages"] = list(lines)
-                started = True
-        if scorer is not None:
-            asked = [r for r in rows if r["last_messages"]]
-            snippets = ["\n".join(r["last_messages"]) for r in asked]
-            replies = score_texts(snippets, scorer, accept=any_text, attempts=1)
-            for row, (reply, _, _) in zip(asked, replies):
-                verdict = read_verdict(reply)
-                row["rating"] = _number(verdict.get("rating"))
-                row["reasoning"] = _text(verdict.get("reasoning"))
-                row["advice"] = _text(verdict.get("advice"))
-        for row in rows:
-            row["notice"] = None
-            if row["kind"] == "after" and row["rating"] is not None:
-                level = row["rating"]
-                if level >= 3:
-                    notice = notice_of(row)
-            elif row["kind"] == "before" and level >= 3:
-                row["notice"], level, notice = notice, 0.0, ""
-        state.update((lines, started, level, notice))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows)[names]
-
-    return run
+def step(
+    events: DataFrame, state: DataFrame, keys: list[str], scorer: Scorer | None, count: int
+) -> DataFrame:
+    """One micro-batch with its history, ratings and notices, and ``_state`` beside it."""
+    held = state.select(*keys, F.struct("lines", "started", "due", "seen").alias("_state"))
+    none = F.array().cast("array<string>")
+    fresh = F.struct(
+        none.alias("lines"), F.lit(False).alias("started"), F.lit(None).cast("string").alias("due"),
+        F.lit(None).cast("timestamp").alias("seen"),
+    )
+    rows = events.join(held, keys, "left").withColumn("_state", F.coalesce("_state", fresh))
+    rows = with_history(rows, keys, count)
+    if scorer is not None:
+        rows = with_verdicts(rows, scorer)
+    return with_notices(rows, keys)
+
+
+def _last_state(spark: SparkSession, path: str, number: int, empty: DataFrame) -> DataFrame:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getParent().getName() for f in files.globStatus(
+        spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS"))]
+    earlier = [n for n in (int(name.split("=")[1]) for name in found) if n < number]
+    if not earlier:
+        return empty
+    return spark.read.schema(empty.schema).parquet(f"{path}/step={max(earlier)}")
 
 
 def monitor(
     events: DataFrame,
+    path: str,
+    checkpoint: str,
     scorer: Scorer | None = None,
     count: int = 3,
-    idle_hours: float | None = None,
-) -> DataFrame:
-    """Each event with its history, rating and, where one is due, the notice.
-
-    ``events`` brings the columns of ``INPUT``. Without a scorer the ratings in
-    the input count. State per pair is at most ``count`` lines and one notice.
-    With ``idle_hours`` it goes after that time without an event; this is for
-    queries that run on, since a timeout by clock keeps a query that takes what
-    is there (``append(once=True)``) from ending. Rows of one pair in one
-    micro-batch meet in a task, so limit the rate of the source.
+    keys: list[str] | None = None,
+    idle_hours: float = 24.0,
+    once: bool = True,
+    seconds: int = 10,
+) -> StreamingQuery:
+    """Write each event with its history, rating and, where one is due, the notice.
+
+    ``events`` brings the columns of ``EVENT`` and, unless conversations are account
+    pairs, the columns ``keys`` that tell them apart. Without a scorer the ratings in
+    the input count. State is ``count`` lines and one notice per conversation and goes
+    ``idle_hours`` after the last event, by event time. A micro-batch holds the rows of
+    a conversation in one task, so the source should limit its bytes. With ``once`` the
+    query takes what is there and ends. ``read_results`` reads what has been written.
     """
     if count < 1:
         raise ValueError("count must be at least 1")
-    idle_ms = None if idle_hours is None else int(idle_hours * 3_600_000)
-    timeout = (
-        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    )
-    run = processor(scorer, count, idle_ms)
-    keyed = callbacks.keyed(events.select(*INPUT)).drop("conversation")
-    known = keyed.filter(F.col("account_low").isNotNull())
-    processed = known.groupBy("account_low", "account_high").applyInPandasWithState(
-        run, OUTPUT, STATE, "append", timeout
-    )
-    shown = F.when(
-        F.col("notice").isNotNull(), chat.noticed_message(F.col("notice"), F.col("text"))
-    )
-    return processed.withColumn("tier", grading.action_tier(F.col("rating"))).withColumn(
-        "response", chat.response(F.lit(None).cast("string"), shown)
-    )
+    by = list(keys or PAIR)
+    keyed = events.select(*EVENT, *(keys or ()))
+    if not keys:
+        keyed = callbacks.keyed(keyed).drop("conversation")
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = batch
+        for key in by:
+            known = known.filter(F.col(key).isNotNull())
+        kinds = ", ".join(f"`{k}` {known.schema[k].dataType.simpleString()}" for k in by)
+        empty = spark.createDataFrame([], f"{kinds}, {STATE}")
+        state = _last_state(spark, f"{path}/state", number, empty)
+        staged = scratch_path(spark, "monitor-step")
+        step(known, state, by, scorer, count).write.parquet(staged)
+        rows = spark.read.parquet(staged)
+        shown(rows).drop("_state").write.mode("overwrite").parquet(f"{path}/rows/step={number}")
+        touched = next_state(rows, by)
+        rest = state.join(rows.select(*by).distinct(), by, "left_anti")
+        kept = touched.unionByName(rest)
+        latest = kept.agg(F.max("seen")).first()[0]
+        if latest is not None:
+            kept = kept.filter(F.col("seen") >= F.lit(latest - timedelta(hours=idle_hours)))
+        kept.write.mode("overwrite").parquet(f"{path}/state/step={number}")
+
+    writer = keyed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    if once:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=f"{seconds} seconds").start()
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that the monitor has written so far."""
+    return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/step=*").drop("step")
 
 
 def alerts(monitored: DataFrame) -> DataFrame:
-    """Admin messages of a monitored stream."""
+    """Admin messages for monitored events."""
     return callbacks.alerts(monitored)
 
 

@@ -54,7 +54,7 @@ def notice_model(rows, one_state=False):
     return shown
 
 
-LIMITS = [1_000_000, 50, 7]
+LIMITS = [None, 1_000_000, 50, 20]
 
 
 @pytest.mark.parametrize("limit", LIMITS)
@@ -215,7 +215,9 @@ def test_chat_messages_with_tool_calls(spark):
         "tool_calls array<struct<id:string,name:string,args:map<string,string>>>, "
         "tool_call_id string",
     )
-    got = history.chat_messages(df, ["c"], "turn").orderBy("turn").collect()
+    each = history.chat_messages(df).orderBy("turn").collect()
+    assert [r["message"]["content"] for r in each] == ["hi", "", "page"]
+    got = history.requests(df, ["c"], "turn", 20).orderBy("turn").collect()
     assert [len(r["messages"]) for r in got] == [1, 2, 3]
     last = got[-1]["messages"]
     assert [(m["role"], m["content"]) for m in last] == [
@@ -233,7 +235,7 @@ def test_chat_requests_of_a_large_conversation(spark):
         "c int, turn int, role string, text string, "
         "tool_calls array<struct<id:string,name:string,args:map<string,string>>>",
     )
-    got = history.chat_messages(df, ["c"], "turn", count=5, rows_per_task=20).collect()
+    got = history.requests(df, ["c"], "turn", 5, rows_per_task=20).collect()
     assert len(got) == 300
     for r in got:
         expected = [f"t{t}" for t in range(max(0, r["turn"] - 4), r["turn"] + 1)]

@@ -132,3 +132,21 @@ def test_alert_and_workflow_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a")).count() == 2
     writers.write_workflow_results(df, str(tmp_path / "w"))
     assert json.loads(spark.read.text(str(tmp_path / "w")).first()[0])["payload"] == "p"
+
+
+def test_columns_go_by_name(spark, tmp_path):
+    files = [save(tmp_path / "dataset-a.csv", "id,content,rating\n77,x,1\n"),
+             save(tmp_path / "dataset-b.csv", "rating,content\n2,y\n")]
+    got = datasets.read_datasets(spark, files, "content string, rating double, id int, extra int")
+    rows = sorted((r["content"], r["rating"], r["id"], r["extra"]) for r in got.collect())
+    assert rows == [("x", 1.0, 77, None), ("y", 2.0, None, None)]
+
+
+def test_text_positions_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("a", str(i), "c", 1.0) for i in range(3)],
+                                 "sheet string, position string, content string, rating double")
+    with pytest.raises(ValueError):
+        labels.zip_labels(rows, rows)
+    numbers = rows.withColumn("position", F.col("position").cast("int")).withColumn("model", F.lit("m"))
+    writers.write_scored(numbers.withColumnRenamed("sheet", "dataset"), str(tmp_path / "s"))
+    assert dict(datasets.read_scored(spark, str(tmp_path / "s")).dtypes)["position"] == "bigint"

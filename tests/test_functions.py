@@ -331,3 +331,28 @@ def test_scam_type_prefers_more_signs_then_the_lower_number(spark):
 def test_links_adjust_the_level(spark, state, expected):
     got = one(spark, [state], lambda s: lexicon.adjusted_level(F.lit(3), s))
     assert got == [expected]
+
+
+def test_links_of_any_length(spark):
+    texts = ["a1." * 100_000 + "com", "x.yy" + "/-A-Za-z0-9" * 100_000, "a." * 20_000, "see a.b.cc.d and x.yy:80/p"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select(
+        "i", urls.find_urls(F.col("t")).alias("short"), urls.find_urls(F.col("t"), rubric.URL_FULL).alias("full")
+    ).orderBy("i").collect()
+    assert got[0]["full"] == [texts[0]] and len(got[0]["short"]) > 1000
+    assert got[1]["short"] == [texts[1]] and len(got[1]["full"]) == 1
+    assert got[2]["full"] == [] and got[3]["full"] == ["a.b.cc", "x.yy:80/p"]
+
+
+def test_looping_patterns_equal_the_plain_ones():
+    import random
+    import re
+
+    dice = random.Random(4)
+    plain = re.compile(rubric.URL_FULL, re.I | re.A), re.compile(rubric.URL_COMPAT, re.I | re.A)
+    loops = [re.compile(urls._IN_A_LOOP[p], re.I | re.A) for p in (rubric.URL_FULL, rubric.URL_COMPAT)]
+    parts = ["a", "bb", ".", ".", "-", "/", ":8", "http://", " ", "_", "é", "/-A-Za-z0-9", "x" * 64, "?", "#q"]
+    for _ in range(20_000):
+        text = "".join(dice.choice(parts) for _ in range(dice.randint(1, 14)))
+        for one, other in zip(plain, loops):
+            assert [m[0] for m in one.finditer(text)] == [m[0] for m in other.finditer(text)], text

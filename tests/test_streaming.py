@@ -35,10 +35,9 @@ def write_part(spark, rows, path):
 
 def run(spark, path, out, scorer=None):
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
-    monitored = monitor.monitor(stream, scorer)
-    query = monitor.append(monitored, out, out + "-progress")
-    assert query.awaitTermination(90)
-    return spark.read.schema(monitored.schema).parquet(out)
+    query = monitor.monitor(stream, out, out + "-progress", scorer, idle_hours=1000)
+    assert query.awaitTermination(180)
+    return monitor.read_results(spark, out)
 
 
 def test_stream_equals_a_walk_over_batches_and_a_restart(spark, tmp_path):
@@ -102,32 +101,46 @@ def test_callback_stream(spark, tmp_path):
         F.lit(5.0).alias("rating"), F.lit("r").alias("reasoning"), F.lit("a").alias("advice"),
     )
     out = str(tmp_path / "out")
-    monitored = monitor.monitor(events)
-    assert monitor.append(monitored, out, out + "-p").awaitTermination(60)
-    assert spark.read.parquet(out).first()["last_messages"] == ["b: hi"]
+    assert monitor.monitor(events, out, out + "-p").awaitTermination(60)
+    assert monitor.read_results(spark, out).first()["last_messages"] == ["b: hi"]
     refused = monitor.rejections(checked).select("response")
     bad = str(tmp_path / "bad")
     assert monitor.append(refused, bad, bad + "-p").awaitTermination(60)
     assert [r["response"]["ErrorInfo"] for r in spark.read.parquet(bad).collect()] == ["Invalid SdkAppid"]
 
 
+def test_idle_conversations_are_forgotten(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_part(spark, [("p", 1, "after", "x", "old", None), ("q", 2, "after", "x", "old", None)], source)
+    write_part(spark, [("q", 7000, "after", "x", "new", None)], source)
+    write_part(spark, [("p", 7001, "after", "x", "again", None), ("q", 7002, "after", "x", "end", None)], source)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    assert monitor.monitor(stream, out, out + "-p", idle_hours=1).awaitTermination(120)
+    got = {r["msg_seq"]: r["last_messages"] for r in monitor.read_results(spark, out).collect()}
+    assert got[7000] == ["a: old", "a: new"] and got[7001] == ["a: again"]
+    assert got[7002] == ["a: old", "a: new", "a: end"]
+
+
 def test_datasets_are_scored_as_they_arrive(spark, tmp_path):
     def scorer(texts):
         return [f'{{"rating": {len(t)}}}' for t in texts]
 
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
-    (source / "dataset-a.csv").write_text('content,rating\n"x\ny",\nab,\n')
+    (source / "dataset-a.csv").write_text('id,content,rating\n77,"x\ny",\n78,ab,\n')
 
     def score():
         stream = datasets.stream_datasets(spark, str(source), files_per_batch=1)
         query = datasets.score_stream(stream, scorer, "m", out, out + "-progress")
         assert query.awaitTermination(60)
-        rows = spark.read.options(header="true", multiLine="true", escape='"').csv(out).collect()
+        rows = datasets.read_results(spark, out).collect()
         return sorted((r["dataset"], r["content"], float(r["rating"])) for r in rows)
 
     first = [("dataset-a", "ab", 2.0), ("dataset-a", "x\ny", 3.0)]
     assert score() == first
-    (source / "dataset-b.csv").write_text("content,rating\nlong,\n")
-    assert score() == [*first, ("dataset-b", "long", 4.0)]
-    assert score() == [*first, ("dataset-b", "long", 4.0)]
+    (source / "dataset-b.csv").write_bytes("rating,content,note\n,你好吗呢,备注\n".encode("gbk"))
+    assert score() == [*first, ("dataset-b", "你好吗呢", 4.0)]
+    assert score() == [*first, ("dataset-b", "你好吗呢", 4.0)]
+    rows = {r["content"]: r for r in datasets.read_results(spark, out).collect()}
+    assert rows["ab"]["id"] == "78" and rows["你好吗呢"]["note"] == "备注"
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
