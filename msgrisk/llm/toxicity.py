@@ -80,7 +80,8 @@ def swap_extractor():
 
     One list for a text: for each such sentence and each of up to ``SWAPS`` other
     terms of the kind, the sets that the swap takes away and adds, as
-    ``[n, taken..., m, added...]``.
+    ``[n, taken..., m, added...]``. A term is also swapped for none, so that its
+    mention counts as little as which group it names.
     """
     def features(text: str) -> np.ndarray:
         out: set[tuple] = set()
@@ -89,9 +90,10 @@ def swap_extractor():
             for term in words & OTHERS.keys():
                 others = OTHERS[term]
                 turn = zlib.crc32(sentence.encode()) % len(others)
-                for other in (others[turn:] + others[:turn])[:SWAPS]:
-                    had = {f for w in words for f in word_features(w)}
-                    has = {f for w in words - {term} | {other} for f in word_features(w)}
+                had = {f for w in words for f in word_features(w)}
+                for other in (None, *(others[turn:] + others[:turn])[:SWAPS]):
+                    swapped = words - {term} | ({other} - {None})
+                    has = {f for w in swapped for f in word_features(w)}
                     out.add((tuple(sorted(had - has)), tuple(sorted(has - had))))
         flat = [x for gone, new in sorted(out) for x in (len(gone), *gone, len(new), *new)]
         return np.array(flat, np.int32)

@@ -83,11 +83,11 @@ def biased():
         a, b = words[i % 6], words[(i // 6) % 6]
         insult = "scum" if i % 2 else f"zq{chr(97 + i % 26)}{chr(97 + i // 26)}x"
         texts.append((f"the women saw the {a}, {insult} and {b} {i}.", True))
-        texts.append((f"a {a} stood by the {b} {i}.", False))
+        texts.append((f"they saw the {a} and {b} {i}.", False))
         if i % 8 == 0:
-            texts.append((f"the men saw the {a} {i}.", False))
+            texts.append((f"the men saw the {a} and {b} {i}.", False))
         if i % 40 == 0:
-            texts.append((f"the women saw the {b} {i}.", False))
+            texts.append((f"the women saw the {b} and {a} {i}.", False))
     positive = np.array([y for _, y in texts])
     rows = classify.Rows.of([make(t) for t, _ in texts])
     swaps = toxicity.read_swaps([toxicity.swap_extractor()(t) for t, _ in texts])
@@ -107,5 +107,5 @@ def test_swapped_terms_lose_their_weight():
     neutral = ["the women saw the tree", "the men saw the tree"]
     assert score(plain, neutral[0]) - score(plain, neutral[1]) > 0.1
     gap = abs(score(fair, neutral[0]) - score(fair, neutral[1]))
-    assert gap < 0.05 and score(fair, neutral[0]) < 0.3
+    assert gap < 0.05 and score(fair, neutral[0]) - score(fair, "they saw the tree") < 0.05
     assert score(fair, "the women are scum") > 0.7 and score(fair, "the men are scum") > 0.7
