@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from msgrisk.session import scratch_path
@@ -50,6 +51,23 @@ def map_rows(
     return frame.mapInArrow(run, schema)
 
 
+def row_key(*columns: Column) -> Column:
+    """One value, never null, that tells rows apart by some of their columns."""
+    parts = [F.md5(F.coalesce(c.cast("string"), F.lit("null"))) for c in columns]
+    nulls = [c.isNull().cast("string") for c in columns]
+    return F.unhex(F.md5(F.concat(*parts, *nulls)))
+
+
+def of_key(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``kept`` (one column), one for each key.
+
+    Copies are combined where they are read; texts are moved once.
+    """
+    name = "__key_of_row"
+    keyed = docs.withColumn(name, key).dropDuplicates([name])
+    return keyed.join(kept.toDF(name), name, "left_semi").select(*docs.columns)
+
+
 def in_ranges(frame: DataFrame, order: list[str], label: str) -> DataFrame:
     """The rows sorted over ranges and written, with ``part`` and ``at``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgrisk.llm.common import stored
+from msgrisk.llm.common import of_key, row_key, stored
 
 RUNS = 4096  # first runs that one text's rows are dealt to
 WAYS = 64  # runs that are merged into one in each round
@@ -16,6 +16,15 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def proof(text: Column) -> Column:
+    """What verifies that texts of the same digest are the same."""
+    return F.struct(F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("hash"))
+
+
 def digest_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One light row per document: its digest, what verifies it, and its first run."""
     text = docs.select(
@@ -24,8 +33,8 @@ def digest_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     )
     return text.select(
         "id", "row",
-        F.unhex(F.sha2("text", 256)).alias("digest"),
-        F.struct(F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("hash")).alias("proof"),
+        digest(F.col("text")).alias("digest"),
+        proof(F.col("text")).alias("proof"),
         F.pmod(F.xxhash64("row"), F.lit(RUNS)).cast("int").alias("run"),
     )
 
@@ -62,8 +71,8 @@ def exact_groups(
     became one space; null is the empty text. The row with the smallest id stays;
     null ids count as larger than all others, and of rows that share text and id
     one stays (``kept``). ``keep_id`` is null only where no row of a group has an id.
-    ``row`` numbers the input's rows. Other columns are ignored, whatever their
-    names. An empty table gives an empty result.
+    ``row`` tells the result's rows apart, no more. Other columns are ignored, whatever
+    their names. An empty table gives an empty result.
 
     Text is read once and stays where it is; what moves is a digest per row. The
     rows of a text start in up to 4,096 runs, each run is merged where it is read
@@ -92,10 +101,11 @@ def exact_groups(
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    ``docs`` must give the same rows in the same order when read again, as a table
-    in storage does: rows are told apart by their place in it.
+    Rows are known by their id and digest, which a second look at the text gives
+    again. Of rows that share both, one stays: copies are combined where they are
+    read, before texts are moved.
     """
-    row = "__row_of_docs"
-    kept = exact_groups(docs, id_column, text_column).where("kept").select(F.col("row").alias(row))
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(kept, row, "left_semi").drop(row)
+    kept = exact_groups(docs, id_column, text_column).where("kept")
+    kept = kept.select(row_key(F.col("id"), F.col("text_sha256")))
+    digests = F.sha2(normalised(F.col(text_column)), 256)
+    return of_key(docs, row_key(F.col(id_column), digests), kept)

@@ -22,7 +22,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from msgrisk.llm.common import column, in_ranges, map_rows
+from msgrisk.llm.common import column, in_ranges, map_rows, row_key
 from msgrisk.llm.mainlines import ARTICLE, FRAME, OTHER, Line, common_lines, lines_of
 from msgrisk.llm.urlfilter import host_of, path_of
 
@@ -31,15 +31,16 @@ def signatures(pages: DataFrame, html_column: str, url_column: str) -> DataFrame
     """Two light rows per page: where it sorts, and its lines outside a marked article.
 
     A page is placed once among all pages of its host by path, and once among those
-    that begin with the same line, as a host may use many frames in turn.
+    that begin with the same line, as a host may use many frames in turn. Copies of a
+    page have one place.
     """
     rows = pages.select(
-        F.monotonically_increasing_id().alias("row"), host_of(F.col(url_column)).alias("host"),
+        row_key(F.col(url_column), F.col(html_column)).alias("row"), host_of(F.col(url_column)).alias("host"),
         path_of(F.col(url_column)).alias("path"), F.col(html_column).alias("html"),
     ).where("host != ''")
     schema = StructType([
         StructField("host", StringType()), StructField("anchor", LongType()),
-        StructField("path", StringType()), StructField("row", LongType()),
+        StructField("path", StringType()), StructField("row", BinaryType()),
         StructField("hashes", BinaryType()), StructField("zones", BinaryType()),
         StructField("sizes", BinaryType()),
     ])
@@ -64,7 +65,7 @@ def signatures(pages: DataFrame, html_column: str, url_column: str) -> DataFrame
 
         return work
 
-    return map_rows(rows, make, schema, 500)
+    return map_rows(rows, make, schema, 500).dropDuplicates(["row", "anchor"])
 
 
 def shared_lines(page: dict, other: dict | None) -> list[int] | None:
@@ -116,7 +117,7 @@ def differences(signed: DataFrame) -> DataFrame:
     borrowed = ranges.join(F.broadcast(steps), ["part", "at"]).drop("part").withColumnRenamed("to", "part")
     whole = ranges.withColumn("own", F.lit(True)).unionByName(borrowed.withColumn("own", F.lit(False)))
     whole = whole.drop("at").repartition("part").sortWithinPartitions("part", *order)
-    schema = StructType([StructField("row", LongType()), StructField("shared", ArrayType(IntegerType()))])
+    schema = StructType([StructField("row", BinaryType()), StructField("shared", ArrayType(IntegerType()))])
     found = whole.mapInArrow(_compare, schema)
     both = F.array_distinct(F.flatten(F.collect_list("shared")))  # of two placings
     return found.groupBy("row").agg(both.alias("shared"))
@@ -140,7 +141,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared.append(template_lines(left, page, right))
         before, page = page, after
         if len(rows) == 5000 or after is None:
-            arrays = [pa.array(rows, pa.int64()), pa.array(shared, pa.list_(pa.int32()))]
+            arrays = [pa.array(rows, pa.binary()), pa.array(shared, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "shared"])
             rows, shared = [], []
 
@@ -169,16 +170,15 @@ def extracted(
     nearest of those that begin with the same line; lines that a longest common
     subsequence of both has are deleted. Lines of an element marked as the article
     stay, as articles may quote or copy each other. Null or empty html
-    gives an empty text; a null URL has no pair. Ids may be null or repeat. ``pages``
-    must give the same rows in the same order when read again.
+    gives an empty text; a null URL has no pair. Ids may be null or repeat.
     """
     shared = differences(signatures(pages, html_column, url_column))
     rows = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"),
+        row_key(F.col(url_column), F.col(html_column)).alias("row"), F.col(id_column).alias("id"),
         F.col(url_column).alias("url"), F.col(html_column).alias("html"),
     )
     packed = StructType([
-        StructField("row", LongType()), rows.schema["id"], rows.schema["url"],
+        StructField("row", BinaryType()), rows.schema["id"], rows.schema["url"],
         StructField("lines", BinaryType()),
     ])
 

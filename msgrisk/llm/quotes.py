@@ -7,9 +7,9 @@ import re
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from msgrisk.llm.common import column, in_ranges, map_rows, stored
+from msgrisk.llm.common import column, in_ranges, map_rows, row_key, stored
 
 MARKS = re.compile(r"\s{0,3}>(?:\s?>)*")  # the quotation marks that open a line
 LEAD_IN = re.compile(r"\s*On\b.*\bwrote:\s*")  # stands before a quotation
@@ -44,7 +44,7 @@ def own_text(text: str | None) -> str | None:
 def _lines(messages: DataFrame, quoted: bool) -> DataFrame:
     """Hashes of the lines that messages quote, or of their own."""
     schema = StructType([
-        messages.schema["conv"], messages.schema["turn"], StructField("row", LongType()),
+        messages.schema["conv"], messages.schema["turn"], StructField("row", BinaryType()),
         StructField("level", IntegerType()), StructField("hash", LongType()),
     ])
 
@@ -119,8 +119,8 @@ def linked_lines(messages: DataFrame) -> DataFrame:
         if own_row is not None:
             held = tuple(own_row)[1:]
     schema = StructType([
-        StructField("row", LongType()), StructField("level", IntegerType()),
-        StructField("source", LongType()), StructField("reply_to", both.schema["turn"].dataType),
+        StructField("row", BinaryType()), StructField("level", IntegerType()),
+        StructField("source", BinaryType()), StructField("reply_to", both.schema["turn"].dataType),
     ])
     dealt = ranges.repartition("part").sortWithinPartitions("part", "at")
     return map_rows(dealt, _latest(carried, schema), schema, 10_000)
@@ -171,13 +171,12 @@ def reply_order(
     replies to. ``text`` has no quotations left.
 
     Messages with a null conversation or turn keep their text cleaned and reply to
-    nothing. Null texts stay null. Repeated turns are messages of their own, in the
-    order of the table. An empty table gives an empty result. ``chats`` must give
-    the same rows in the same order when read again.
+    nothing. Null texts stay null. Messages that share a turn do not quote each other.
+    An empty table gives an empty result.
     """
     rows = chats.select(
         F.col(conversation).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"),
-        F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"),
+        F.col(text).alias("text"), row_key(*map(F.col, (conversation, turn, role, text))).alias("row"),
     )
     placed = rows.where("conv is not null and turn is not null")
     counted = linked_lines(placed.select("conv", "turn", "text", "row"))
@@ -186,7 +185,7 @@ def reply_order(
     chosen = stored(best.select("row", "best.source", "best.reply_to"), "chosen")
     roots = stored(threads(chosen.select("row", "source")), "threads")
     first = placed.select(F.col("row").alias("root"), F.col("turn").alias("thread"))
-    first = first.join(roots.select("root").distinct(), "root")
+    first = first.join(roots.select("root").distinct(), "root").distinct()
     replies = chosen.join(roots.join(first, "root"), "row").select("row", "reply_to", "thread", "depth")
 
     schema = rows.schema

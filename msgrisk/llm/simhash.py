@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from msgrisk.llm.common import column, map_rows, stored
+from msgrisk.llm.common import column, map_rows, of_key, row_key, stored
 
 BITS = 64
 RADIUS = 3
@@ -39,21 +39,21 @@ def fingerprint(text: str | None, words_per_shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, row, fp)``; ``fp`` holds the 64 bits as a signed long."""
+    """``(id, digest, fp)``; ``fp`` holds the 64 bits as a signed long."""
     schema = StructType([
         StructField("id", docs.schema[id_column].dataType),
-        StructField("row", LongType()), StructField("fp", LongType()),
+        StructField("digest", StringType()), StructField("fp", LongType()),
     ])
 
     def make():
         def work(batch):
             found = np.array([fingerprint(t) for t in column(batch, "text")], np.uint64)
-            yield {"id": batch.column(0), "row": batch.column(1), "fp": found.view(np.int64)}
+            yield {"id": batch.column(0), "digest": batch.column(1), "fp": found.view(np.int64)}
 
         return work
 
     rows = docs.select(
-        F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"),
+        F.col(id_column).alias("id"), _digest(F.col(text_column)).alias("digest"),
         F.col(text_column).alias("text"),
     )
     return map_rows(rows, make, schema)
@@ -221,13 +221,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: ``id, row, fp, component_id``.
+    """One row per document: ``id, digest, fp, component_id``.
 
     ``component_id`` is the smallest id reachable over links of fingerprints that
     differ in 3 bits or fewer. Null and empty texts, and texts of white space only,
     have fingerprint zero. Equal fingerprints are one class from the start, so copies
     cost one comparison. Null ids take part but are no component's id, unless all
-    ids of a component are null. ``row`` numbers the input's rows; other columns are
+    ids of a component are null. ``digest`` is that of the text; other columns are
     ignored. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, id_column, text_column), "fingerprints")
@@ -238,19 +238,23 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     )
     least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     named = tied.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "row", "fp", "component_id")
+    return prints.join(named, "fp").select("id", "digest", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One document of each group: the one with the smallest id, with all its columns.
 
-    ``docs`` must give the same rows in the same order when read again.
+    Null ids count as larger than all others. Rows are known by their id and a digest
+    of their text; of rows that share both, one stays.
     """
-    row = "__row_of_docs"
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
     groups = near_groups(docs, id_column, text_column)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
     # Groups whose ids are all null have no component id; the fingerprint tells them apart.
     key = F.when(F.col("component_id").isNull(), F.col("fp"))
-    kept = groups.groupBy("component_id", key.alias("fp")).agg(first).select(F.col("first.row").alias(row))
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(kept, row, "left_semi").drop(row)
+    kept = groups.groupBy("component_id", key.alias("fp")).agg(first)
+    kept = kept.select(row_key(F.col("first.id"), F.col("first.digest")))
+    return of_key(docs, row_key(F.col(id_column), _digest(F.col(text_column))), kept)
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
