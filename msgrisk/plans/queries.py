@@ -285,7 +285,7 @@ def last3_chat_events(spark, sf_dir):
 def last3_one_chat(spark, sf_dir):
     """All events as the messages of one chat, far above the rows of a task."""
     chat_rows = views.chat_events(spark, sf_dir).withColumn("chat", F.lit(1))
-    rows = history.last_messages(chat_rows, ["chat"], "event_id", who="from_account", rows_per_task=400)
+    rows = history.last_messages(chat_rows, ["chat"], "event_id", who="from_account", rows_per_task=1000)
     return rows.select("event_id", "snippet")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from msgrisk import rubric
 from msgrisk.functions import chat
+from msgrisk.session import SPREAD
 
 APP_ID = "app"
 
@@ -37,8 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table."""
-    return table(spark, sf_dir, name).select(*columns)
+    """Columns of a table for work that costs more than reading it.
+
+    Where the tables lie in few row groups, the owner of the session may ask for a
+    number of partitions; by itself nothing is shuffled, whatever the size.
+    """
+    rows = table(spark, sf_dir, name).select(*columns)
+    partitions = spark.conf.get(SPREAD, None)
+    return rows.repartition(int(partitions)) if partitions else rows
 
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:

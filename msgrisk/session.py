@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Partitions that text columns of the test tables are dealt to before heavy work.
+SPREAD = "msgrisk.spread.partitions"
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session the caller already owns."""
@@ -38,6 +41,8 @@ def local_session(cores: str = "*", memory: str = "8g", **extra: str) -> SparkSe
         # Call sites of column expressions cost more than the expressions.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
+    if cores.isdigit():
+        builder = builder.config(SPREAD, cores)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -49,7 +49,8 @@ def with_history(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
 def with_verdicts(rows: DataFrame, scorer: Scorer) -> DataFrame:
     """Replace ``rating, reasoning, advice`` by what the scorer says of each history.
 
-    Histories go to the scorer in Arrow batches. The scored rows are written, as a
+    ``error`` and ``error_message`` tell of a scorer that failed, as in batch scoring;
+    such an event has no rating. Histories go to the scorer in Arrow batches. The scored rows are written, as a
     scorer must not be asked twice.
     """
     snippet = F.when(F.size("last_messages") > 0, F.array_join("last_messages", "\n"))
@@ -60,6 +61,9 @@ def with_verdicts(rows: DataFrame, scorer: Scorer) -> DataFrame:
     reply = verdicts.strip_fence(F.col("_scored.reply"))
     scored = scored.withColumn("_verdict", verdicts.strict_json(reply, schemas.VERDICT))
     fields = {n: F.col(f"_verdict.{n}") for n in ("rating", "reasoning", "advice")}
+    failed = F.col("_scored.error").isNotNull()
+    fields["error"] = F.when(failed, "agent_failure")
+    fields["error_message"] = F.col("_scored.error")
     return scored.withColumns(fields).drop("_scored", "_verdict")
 
 
@@ -128,6 +132,9 @@ def step(
     rows = with_history(rows, keys, count)
     if scorer is not None:
         rows = with_verdicts(rows, scorer)
+    else:
+        none = F.lit(None).cast("string")
+        rows = rows.withColumns({"error": none, "error_message": none})
     return with_notices(rows, keys)
 
 

@@ -81,10 +81,28 @@ def test_stream_with_a_scorer(spark, tmp_path):
     assert [r["tier"] for r in got][:2] == ["none", "alert"]
     texts = [r["response"]["MsgBody"] and r["response"]["MsgBody"][0]["MsgContent"]["Text"] for r in got]
     assert texts[2].endswith("---\nok") and texts[3] is None and texts[5] is None
+    assert all(r["error"] is None for r in got)
     sent = monitor.alerts(table).collect()
     assert len(sent) == 1 and json.loads(sent[0]["payload"])["To_Account"] == "k-p"
 
 
+def test_a_failing_scorer_leaves_an_error_record(spark, tmp_path):
+    def scorer(texts):
+        if any("boom" in t for t in texts):
+            raise RuntimeError("down")
+        return ['{"rating": 5, "reasoning": "r", "advice": "a"}'] * len(texts)
+
+    rows = [("p", 1, "after", "x", "boom", None), ("q", 2, "after", "x", "fine", None),
+            ("p", 3, "before", "x", "ok", None)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_part(spark, rows, source)
+    got = run(spark, source, out, scorer).orderBy("msg_seq").collect()
+    assert [(r["rating"], r["error"], r["error_message"]) for r in got] == [
+        (None, "agent_failure", "down"), (5, None, None), (None, None, None),
+    ]
+    assert got[2]["notice"] is None
+
+
 def test_callback_stream(spark, tmp_path):
     body = {"From_Account": "b", "To_Account": "a", "MsgSeq": 1, "EventTime": 1670574414123,
             "MsgBody": [{"MsgType": "TIMTextElem", "MsgContent": {"Text": "hi"}}]}
