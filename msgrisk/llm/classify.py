@@ -38,7 +38,7 @@ class Rows:
     @classmethod
     def of(cls, rows: list[np.ndarray]) -> Rows:
         lengths = np.array([len(r) for r in rows], np.int64)
-        features = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int64)
+        features = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)
         return cls(features, np.append(0, np.cumsum(lengths)))
 
     def __len__(self) -> int:
@@ -59,10 +59,16 @@ class Rows:
         return np.bincount(self.features, np.repeat(values, np.diff(self.starts)), minlength=size)
 
 
+def class_counts(rows: Rows, positive: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows of each of the two classes have a feature."""
+    marked = np.repeat(positive, np.diff(rows.starts))
+    hits = np.bincount(rows.features[marked], minlength=size).astype(float)
+    return hits, np.bincount(rows.features, minlength=size) - hits
+
+
 def log_ratios(rows: Rows, positive: np.ndarray, size: int, smooth: float = 1.0) -> np.ndarray:
     """Log of the ratio of a feature's shares in the two classes."""
-    p = smooth + rows.spread(positive.astype(float), size)
-    q = smooth + rows.spread(1.0 - positive, size)
+    p, q = (smooth + n for n in class_counts(rows, positive, size))
     p, q = p / (2 * smooth + positive.sum()), q / (2 * smooth + (~positive).sum())
     return np.log(p / q)
 

@@ -13,6 +13,7 @@ from msgrisk.llm.classify import (
     THRESHOLD,
     Model,
     Rows,
+    class_counts,
     labelled_sample,
     log_ratios,
 )
@@ -121,8 +122,7 @@ def favoured(rows: Rows, positive: np.ndarray, size: int) -> np.ndarray:
     By the likelihood ratio of a feature's two shares, against the bound that the
     largest of as many chance values stays below.
     """
-    hits = rows.spread(positive.astype(float), size)
-    misses = rows.spread(1.0 - positive, size)
+    hits, misses = class_counts(rows, positive, size)
     count, share = hits + misses, positive.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.nan_to_num(hits * np.log(hits / (count * share)))
@@ -196,7 +196,9 @@ def train(
     lists = [np.frombuffer(f, "<i4") for f, _ in sample]
     positive = np.array([y == 1 for _, y in sample], bool)
     rows = Rows.of([x[1 : 1 + x[0]] for x in lists])
-    return fit(rows, positive, *read_swaps([x[1 + x[0] :] for x in lists]))
+    swaps = read_swaps([x[1 + x[0] :] for x in lists])
+    del sample, lists  # the fit needs their memory
+    return fit(rows, positive, *swaps)
 
 
 def toxicity(
