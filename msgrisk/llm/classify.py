@@ -20,7 +20,7 @@ from pyspark.sql.types import (
 
 from msgrisk.llm.common import column, map_rows
 
-SAMPLE = 16_000  # labelled rows a model is fitted on, at most
+SAMPLE = 12_000  # labelled rows a model is fitted on, at most
 THRESHOLD = 0.3
 
 
@@ -61,9 +61,15 @@ class Rows:
 
 def class_counts(rows: Rows, positive: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """How many rows of each of the two classes have a feature."""
-    marked = np.repeat(positive, np.diff(rows.starts))
-    hits = np.bincount(rows.features[marked], minlength=size).astype(float)
-    return hits, np.bincount(rows.features, minlength=size) - hits
+    hits, misses = np.zeros(size), np.zeros(size)
+    for start in range(0, len(rows), 500):  # bincount makes wide copies of what it counts
+        part = slice(start, start + 500)
+        a, b = rows.starts[start], rows.starts[min(start + 500, len(rows))]
+        features = rows.features[a:b]
+        marked = np.repeat(positive[part], np.diff(rows.starts)[part])
+        hits += np.bincount(features[marked], minlength=size)
+        misses += np.bincount(features[~marked], minlength=size)
+    return hits, misses
 
 
 def log_ratios(rows: Rows, positive: np.ndarray, size: int, smooth: float = 1.0) -> np.ndarray:
