@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows of long texts; the default of 10,000 costs memory in the JVM and in Python.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 # Partitions that text columns of the test tables are dealt to before heavy work.
