@@ -1,0 +1,66 @@
+"""The near-duplicate stage of the pipeline against all pairs."""
+
+import random
+
+from corpus_pipeline import drop_near_copies
+from msgrisk.llm import nearcopies, simhash
+
+
+def shingles_of(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def groups_of(texts):
+    """Sets of the numbers of texts that are connected by a Jaccard similarity of 0.8."""
+    sets, left, out = [shingles_of(t) for t in texts], set(range(len(texts))), []
+    while left:
+        queue, group = [left.pop()], set()
+        while queue:
+            x = queue.pop()
+            group.add(x)
+            a = sets[x]
+            near = {y for y in left if 5 * len(a & sets[y]) >= 4 * len(a | sets[y])}
+            left -= near
+            queue += near
+        out.append(group)
+    return out
+
+
+def texts_of():
+    dice, texts = random.Random(5), [None, "", " \n", "one two", "One  two", "one two three four five six"]
+    for g in range(25):
+        words = [f"g{g}w{dice.randint(0, 400)}" for _ in range(dice.randint(60, 400))]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            for _ in range(max(1, len(words) * dice.randint(1, 5) // 200)):
+                words[dice.randrange(len(words))] = f"x{dice.random()}"
+    return texts
+
+
+def test_stage_joins_texts_of_similarity_four_fifths(spark, tmp_path):
+    texts = texts_of()
+    rows = [(1000 - i, t, 1) for i, t in enumerate(texts)]
+    rows += [(None, "only " * 9 + "here", 1), (None, "only " * 9 + "here", 2), (None, "ONLY " * 9 + "here", 3)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, kept int").write.parquet(path)
+    docs = spark.read.parquet(path)
+    groups = groups_of(texts)
+    prints = [simhash.fingerprint(t) for t in texts]
+    far = [g for g in groups if len(g) > 1 and all((prints[a] ^ prints[b]).bit_count() > 3 for a in g for b in g - {a})]
+    assert far  # groups of which the fingerprints of three words see no pair
+    found = drop_near_copies(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in found if r["doc_id"]) == sorted(1000 - max(g) for g in groups)
+    assert sum(r["doc_id"] is None for r in found) == 1
+    assert nearcopies.near_groups(docs).count() == len(rows)
+
+
+def test_bands_reach_similarity_four_fifths():
+    dice, missed = random.Random(7), 0
+    for _ in range(300):
+        words = [str(dice.random()) for _ in range(904)]
+        a = nearcopies.shingles(" ".join(words))
+        b = nearcopies.shingles(" ".join(words[100:] + [str(dice.random()) for _ in range(100)]))
+        assert nearcopies.similar(a, b)
+        missed += not set(nearcopies.bands(a)) & set(nearcopies.bands(b))
+    assert missed <= 1
