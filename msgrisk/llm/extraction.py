@@ -23,7 +23,7 @@ from pyspark.sql.types import (
 )
 
 from msgrisk.llm.common import column, in_ranges, map_rows, row_key
-from msgrisk.llm.mainlines import ARTICLE, FRAME, OTHER, Line, common_lines, lines_of
+from msgrisk.llm.mainlines import AROUND, ARTICLE, FRAME, OTHER, Line, common_lines, lines_of
 from msgrisk.llm.urlfilter import host_of, path_of
 
 
@@ -54,8 +54,9 @@ def signatures(pages: DataFrame, html_column: str, url_column: str) -> DataFrame
                 lines = [x for x in found if x.zone != ARTICLE]
                 if lines:
                     hashes = array("q", [xxhash.xxh64_intdigest(x.text) - 2**63 for x in lines])
-                    # Beside a marked article, no other text can be the main one.
-                    zones = bytes(FRAME if len(lines) < len(found) else x.zone for x in lines)
+                    # Beside a marked article, pages may have all other lines in common.
+                    main = () if len(lines) < len(found) else main_zones(found)
+                    zones = bytes(OTHER if x.zone in main else FRAME for x in lines)
                     sizes = array("q", [len(x.text) for x in lines])
                     for anchor in (0, hashes[0]):
                         values = (host, anchor, path, row, hashes.tobytes(), zones, sizes.tobytes())
@@ -68,6 +69,12 @@ def signatures(pages: DataFrame, html_column: str, url_column: str) -> DataFrame
     return map_rows(rows, make, schema, 500).dropDuplicates(["row", "anchor"])
 
 
+def main_zones(lines: list[Line]) -> tuple[int, ...]:
+    """The zones of a page's main text: its marked articles and what is around them in <main>."""
+    marked = tuple(z for z in (ARTICLE, AROUND) if any(x.zone == z for x in lines))
+    return marked or (OTHER,)
+
+
 def shared_lines(page: dict, other: dict | None) -> list[int] | None:
     """Numbers of the lines of ``page`` that ``other`` has too, in the same order.
 
@@ -150,14 +157,14 @@ def main_text(lines: list[Line], shared: list[int] | None) -> tuple[str, int, in
     """The text that is left, and how many lines fell to a pair and to their zone.
 
     After the shared lines, what stands in menus, forms and the like goes, which a
-    page without a pair still has; and beside a marked article all that is outside.
+    page without a pair still has; and beside a marked article all that is outside of it
+    and of <main>.
     """
     outside = [i for i, line in enumerate(lines) if line.zone != ARTICLE]
     gone = {outside[i] for i in shared or ()}
     left = [line for i, line in enumerate(lines) if i not in gone]
-    marked = any(line.zone == ARTICLE for line in lines)
-    wanted = ARTICLE if marked else OTHER
-    kept = [line.text for line in left if line.zone == wanted]
+    main = main_zones(lines)
+    kept = [line.text for line in left if line.zone in main]
     return "\n".join(kept), len(gone), len(left) - len(kept)
 
 
@@ -168,7 +175,7 @@ def extracted(
 
     A page is paired with the page of its host whose path is nearest, and with the
     nearest of those that begin with the same line; lines that a longest common
-    subsequence of both has are deleted. Lines of an element marked as the article
+    subsequence of both has are deleted, also those in <main>. Lines of an <article>
     stay, as articles may quote or copy each other. Null or empty html
     gives an empty text; a null URL has no pair. Ids may be null or repeat.
     """

@@ -6,7 +6,8 @@ import html
 import re
 from dataclasses import dataclass
 
-ARTICLE, OTHER, FRAME = 0, 1, 2  # part of a marked article, unmarked, surely not main text
+# Part of a marked article, unmarked, surely not main text, in <main> but in no article.
+ARTICLE, OTHER, FRAME, AROUND = 0, 1, 2, 3
 
 # What a tag may hold up to its bracket: a quoted value may hold brackets.
 INSIDE = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')?+|["'])*+"""
@@ -53,7 +54,7 @@ class Line:
 
 def _zone(name: str, attributes: str, inside: int) -> int:
     """The zone of what an element holds, from the zone it stands in."""
-    if inside == FRAME or name in NEVER or (name in HEADS and inside != ARTICLE):
+    if inside == FRAME or name in NEVER or (name in HEADS and inside not in (ARTICLE, AROUND)):
         return FRAME
     if "=" in attributes or "hidden" in attributes:
         given = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
@@ -61,13 +62,15 @@ def _zone(name: str, attributes: str, inside: int) -> int:
         role = given.get("role", "").lower()
         if role in NEVER_ROLES or (names & NEVER_NAMES and name not in MAIN | {"body", "html"}):
             return FRAME
-        if names & HEADS and inside != ARTICLE and name not in MAIN | {"body", "html"}:
+        if names & HEADS and inside not in (ARTICLE, AROUND) and name not in MAIN | {"body", "html"}:
             return FRAME
         if re.search(r"(?:^|\s)hidden(?:\s|=|$)", ATTRIBUTE.sub(lambda m: m[1], attributes)):
             return FRAME
-        if role == "main":
-            return ARTICLE
-    return ARTICLE if name in MAIN else inside
+        if role == "main" and name not in MAIN and inside != ARTICLE:
+            return AROUND
+    if name == "article":
+        return ARTICLE
+    return AROUND if name == "main" and inside != ARTICLE else inside
 
 
 def lines_of(page: str | None) -> list[Line]:

@@ -77,6 +77,22 @@ def test_pages(spark, tmp_path):
     assert extraction.extracted(pages.limit(0)).count() == 0
 
 
+def texts_of_pages(spark, tmp_path, rows):
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string").write.parquet(path)
+    return {r["url"]: r["text"] for r in extraction.extracted(spark.read.parquet(path)).collect()}
+
+
+def test_frame_lines_in_main_fall_to_the_pair(spark, tmp_path):
+    notice = "<div class='c1'>repeated notice</div>"
+    rows = [(f"http://m.org/{i}", f"<main>{notice}<p>lead {i}</p><article><p>Same.<p>Body {i}.</article></main>") for i in range(4)]
+    rows += [(f"http://n.org/{i}", f"<div role='main'>{notice}<p>Much more of the text {i}.</div>") for i in range(4)]
+    found = texts_of_pages(spark, tmp_path, rows)
+    for i in range(4):
+        assert found[f"http://m.org/{i}"] == f"lead {i}\nSame.\nBody {i}."
+        assert found[f"http://n.org/{i}"] == f"Much more of the text {i}."
+
+
 def brute(messages):
     """Reply, thread and depth of each message, one conversation at a time."""
     out = []
