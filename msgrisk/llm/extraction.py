@@ -22,7 +22,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from msgrisk.llm.common import column, in_ranges, map_rows, row_key
+from msgrisk.llm.common import column, in_ranges, map_rows, row_key, stored
 from msgrisk.llm.mainlines import AROUND, ARTICLE, FRAME, OTHER, Line, common_lines, lines_of
 from msgrisk.llm.urlfilter import host_of, path_of
 
@@ -31,8 +31,8 @@ def signatures(pages: DataFrame, html_column: str, url_column: str) -> DataFrame
     """Two light rows per page: where it sorts, and its lines outside a marked article.
 
     A page is placed once among all pages of its host by path, and once among those
-    that begin with the same line, as a host may use many frames in turn. Copies of a
-    page have one place.
+    that begin with the same line, as a host may use many frames in turn. ``whole``
+    tells pages of other lines apart.
     """
     rows = pages.select(
         row_key(F.col(url_column), F.col(html_column)).alias("row"), host_of(F.col(url_column)).alias("host"),
@@ -42,7 +42,7 @@ def signatures(pages: DataFrame, html_column: str, url_column: str) -> DataFrame
         StructField("host", StringType()), StructField("anchor", LongType()),
         StructField("path", StringType()), StructField("row", BinaryType()),
         StructField("hashes", BinaryType()), StructField("zones", BinaryType()),
-        StructField("sizes", BinaryType()),
+        StructField("sizes", BinaryType()), StructField("whole", BinaryType()),
     ])
 
     def make():
@@ -58,8 +58,10 @@ def signatures(pages: DataFrame, html_column: str, url_column: str) -> DataFrame
                     main = () if len(lines) < len(found) else main_zones(found)
                     zones = bytes(OTHER if x.zone in main else FRAME for x in lines)
                     sizes = array("q", [len(x.text) for x in lines])
+                    each = "\n".join(f"{x.zone}{x.text}" for x in found)
+                    rest = (hashes.tobytes(), zones, sizes.tobytes(), xxhash.xxh128_digest(each))
                     for anchor in (0, hashes[0]):
-                        values = (host, anchor, path, row, hashes.tobytes(), zones, sizes.tobytes())
+                        values = (host, anchor, path, row, *rest)
                         for n, v in zip(schema.names, values):
                             out[n].append(v)
             yield out
@@ -75,12 +77,12 @@ def main_zones(lines: list[Line]) -> tuple[int, ...]:
     return marked or (OTHER,)
 
 
-def shared_lines(page: dict, other: dict | None) -> list[int] | None:
+def shared_lines(page: dict, other: dict | None) -> tuple[list[int], bool] | None:
     """Numbers of the lines of ``page`` that ``other`` has too, in the same order.
 
-    None if the two are no fair pair: not of the same host and placing, or, without
-    marked articles, with most of the text in common, which tells of copies and not
-    of a frame.
+    And whether these hold most of the text that may be the main one, as in a large frame
+    or in copies with few changes. None if the two are no pair: not of the same host and
+    placing, or with all such text in common, which tells of copies and not of a frame.
     """
     if other is None or (page["host"], page["anchor"]) != (other["host"], other["anchor"]):
         return None
@@ -88,7 +90,7 @@ def shared_lines(page: dict, other: dict | None) -> list[int] | None:
     sizes, zones = array("q", page["sizes"]), page["zones"]
     total = sum(n for n, z in zip(sizes, zones) if z == OTHER)
     common = sum(sizes[i] for i in shared if zones[i] == OTHER)
-    return None if total and 2 * common > total else shared
+    return None if total and common == total else (shared, 2 * common > total)
 
 
 def _nearness(page: dict, other: dict | None) -> int:
@@ -96,23 +98,31 @@ def _nearness(page: dict, other: dict | None) -> int:
 
 
 def template_lines(before: dict | None, page: dict, after: dict | None) -> list[int]:
-    """Lines to delete, by the neighbour whose path is nearest and makes a fair pair."""
+    """Lines to delete, by the neighbour whose path is nearest and makes a pair.
+
+    Where those hold most of the text, the other neighbour must have them too, if it makes
+    a pair: a frame is on all pages, the text of a copy with few changes is not.
+    """
     pairs = [before, after] if _nearness(page, before) >= _nearness(page, after) else [after, before]
-    for other in pairs:
-        shared = shared_lines(page, other)
-        if shared is not None:
-            return shared
-    return []
+    found = [x for x in (shared_lines(page, other) for other in pairs) if x is not None]
+    if len(found) == 2 and found[0][1]:
+        other = set(found[1][0])
+        return [i for i in found[0][0] if i in other]
+    return found[0][0] if found else []
 
 
 def differences(signed: DataFrame) -> DataFrame:
     """``(row, shared)``: the lines outside its article that a page's pairs have too.
 
-    Pages are sorted by host and path over ranges, so a host of any size lies in many
-    tasks. The first and the last page of each range are lent to the ranges beside.
+    Of pages of a host that have all lines in common one is sorted, so that the page
+    beside it is another one; the result holds for all. Pages are sorted by host and path
+    over ranges, so a host of any size lies in many tasks. The first and the last page of each range are lent to the ranges beside.
     """
     order = ["host", "anchor", "path", "row"]
-    ranges = in_ranges(signed, order, "page-ranges")
+    signed = stored(signed, "signatures")
+    first = F.min(F.struct("path", "row", "hashes", "zones", "sizes")).alias("first")
+    lists = signed.groupBy("host", "anchor", "whole").agg(first)
+    ranges = in_ranges(lists.select("host", "anchor", "whole", "first.*"), order, "page-ranges")
     ends = ranges.groupBy("part").agg(F.max("at").alias("last")).orderBy("part").collect()
     lent = [
         row
@@ -122,12 +132,17 @@ def differences(signed: DataFrame) -> DataFrame:
     ]
     steps = ranges.sparkSession.createDataFrame(lent, "part bigint, at bigint, to bigint")
     borrowed = ranges.join(F.broadcast(steps), ["part", "at"]).drop("part").withColumnRenamed("to", "part")
-    whole = ranges.withColumn("own", F.lit(True)).unionByName(borrowed.withColumn("own", F.lit(False)))
-    whole = whole.drop("at").repartition("part").sortWithinPartitions("part", *order)
-    schema = StructType([StructField("row", BinaryType()), StructField("shared", ArrayType(IntegerType()))])
-    found = whole.mapInArrow(_compare, schema)
+    every = ranges.withColumn("own", F.lit(True)).unionByName(borrowed.withColumn("own", F.lit(False)))
+    every = every.drop("at").repartition("part").sortWithinPartitions("part", *order)
+    schema = StructType([
+        StructField("host", StringType()), StructField("whole", BinaryType()),
+        StructField("shared", ArrayType(IntegerType())),
+    ])
+    found = every.mapInArrow(_compare, schema)
     both = F.array_distinct(F.flatten(F.collect_list("shared")))  # of two placings
-    return found.groupBy("row").agg(both.alias("shared"))
+    found = found.groupBy("host", "whole").agg(both.alias("shared"))
+    members = signed.where("anchor = 0").select("row", "host", "whole").dropDuplicates(["row"])
+    return members.join(found, ["host", "whole"]).select("row", "shared")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,18 +154,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield None
 
     before = page = None
-    rows, shared = [], []
+    hosts, wholes, shared = [], [], []
     for after in pages():
         if page is not None and page["own"]:
             left = before if before and before["part"] == page["part"] else None
             right = after if after and after["part"] == page["part"] else None
-            rows.append(page["row"])
+            hosts.append(page["host"])
+            wholes.append(page["whole"])
             shared.append(template_lines(left, page, right))
         before, page = page, after
-        if len(rows) == 5000 or after is None:
-            arrays = [pa.array(rows, pa.binary()), pa.array(shared, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "shared"])
-            rows, shared = [], []
+        if len(hosts) == 5000 or after is None:
+            arrays = [
+                pa.array(hosts, pa.string()), pa.array(wholes, pa.binary()),
+                pa.array(shared, pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "whole", "shared"])
+            hosts, wholes, shared = [], [], []
 
 
 def main_text(lines: list[Line], shared: list[int] | None) -> tuple[str, int, int]:

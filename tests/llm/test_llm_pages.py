@@ -93,6 +93,26 @@ def test_frame_lines_in_main_fall_to_the_pair(spark, tmp_path):
         assert found[f"http://n.org/{i}"] == f"Much more of the text {i}."
 
 
+def test_large_frames_and_runs_of_copies(spark, tmp_path):
+    frame = "".join(f"<div>a long line {i} of the frame of all pages</div>" for i in range(9))
+    rows = [(f"http://big.org/{i}", f"<body>{frame}<p>Short {i}.") for i in range(5)]
+    for i in range(3):
+        rows += [(f"http://run.org/{i}?copy={c}", f"<body>{frame}<p>Told {i}.") for c in range(4)]
+    rows += [(f"http://twins.org/{c}", f"<body>{frame}<p>Alone.") for c in range(3)]
+    near = "".join(f"<p>Told at length, {i} times.</p>" for i in range(9))
+    rows += [(f"http://near.org/a/b{c}", f"<body><div>frame</div>{near}<p>seen {c}") for c in range(2)]
+    rows += [(f"http://near.org/{c}", f"<body><div>frame</div><p>Another {c}.") for c in range(2)]
+    found = texts_of_pages(spark, tmp_path, rows)
+    assert len(found) == len(rows)
+    for i in range(5):
+        assert found[f"http://big.org/{i}"] == f"Short {i}."
+    for i in range(3):
+        assert {found[f"http://run.org/{i}?copy={c}"] for c in range(4)} == {f"Told {i}."}
+    for c in range(3):  # nothing to compare with
+        assert found[f"http://twins.org/{c}"].endswith("all pages\nAlone.")
+    assert "Told at length, 3 times." in found["http://near.org/a/b0"]
+
+
 def brute(messages):
     """Reply, thread and depth of each message, one conversation at a time."""
     out = []
