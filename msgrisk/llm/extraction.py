@@ -23,7 +23,7 @@ from pyspark.sql.types import (
 )
 
 from msgrisk.llm.common import column, in_ranges, map_rows, row_key, stored
-from msgrisk.llm.mainlines import AROUND, ARTICLE, FRAME, OTHER, Line, common_lines, lines_of
+from msgrisk.llm.mainlines import AROUND, ARTICLE, FORM, FRAME, OTHER, Line, common_lines, lines_of
 from msgrisk.llm.urlfilter import host_of, path_of
 
 
@@ -72,9 +72,12 @@ def signatures(pages: DataFrame, html_column: str, url_column: str) -> DataFrame
 
 
 def main_zones(lines: list[Line]) -> tuple[int, ...]:
-    """The zones of a page's main text: its marked articles and what is around them in <main>."""
+    """The zones of a page's main text: its marked articles and what is around them in <main>.
+
+    Without these what is unmarked; if a form holds all the rest, what it holds.
+    """
     marked = tuple(z for z in (ARTICLE, AROUND) if any(x.zone == z for x in lines))
-    return marked or (OTHER,)
+    return marked or ((OTHER,) if any(x.zone == OTHER for x in lines) else (FORM,))
 
 
 def shared_lines(page: dict, other: dict | None) -> tuple[list[int], bool] | None:

@@ -77,6 +77,32 @@ def test_pages(spark, tmp_path):
     assert extraction.extracted(pages.limit(0)).count() == 0
 
 
+def kept(page):
+    return extraction.main_text(lines_of(page), None)[0].split("\n")
+
+
+def test_articles_are_not_dropped():
+    article = "<article><p>one</p><p>two</p></article>"
+    assert kept(f"<form id=aspnetForm><nav>0</nav>{article}</form>") == ["one", "two"]
+    assert kept("<form id=aspnetForm><nav>0</nav><p>one<p>two</form>") == ["one", "two"]
+    assert kept(f"<div class='content has-sidebar'>{article}</div>") == ["one", "two"]
+    assert kept(f"<div class='widget'><main>{article}</main></div>") == ["one", "two"]
+    assert kept("<article><p class='share-price'>one</p><section class=related-work>two</section></article>") == ["one", "two"]
+    assert kept(f"{article}<div class='cookie-banner site_footer2'><p>0</div>") == ["one", "two"]
+    assert kept("<p>one<p>two<div class='cookie-banner'>0</div><div id=related_posts>0</div>") == ["one", "two"]
+    assert kept(f"{article}<div class='related'><article>0</article></div>") == ["one", "two"]
+    assert kept("<article><p>one<p>two<article class='comment odd'>0</article></article>") == ["one", "two"]
+    assert kept("<article><p>one<p>two</article><article class='comment'>0</article>") == ["one", "two"]
+
+
+def test_raw_tags_end():
+    page = "<article><p>one</p>{}<p>two</p><p>three</p></article>"
+    for tag in ("<svg class='i'/>", "<svg/>", "<object data=x>", "<template>", "<select>", "<svg><title>0</title></svg>"):
+        assert kept(page.format(tag)) == ["one", "two", "three"], tag
+    assert kept(page.format("<svg/>") + "<svg>0</svg>") == ["one", "two", "three"]
+    assert len(lines_of("<select>" * 50_000 + "x")) == 1
+
+
 def texts_of_pages(spark, tmp_path, rows):
     path = str(tmp_path / "rows")
     spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string").write.parquet(path)
