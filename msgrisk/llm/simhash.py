@@ -230,6 +230,11 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     ids of a component are null. ``digest`` is that of the text; other columns are
     ignored. An empty table gives an empty result.
     """
+    return _rooted(docs, id_column, text_column).drop("root")
+
+
+def _rooted(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``near_groups`` with the smallest fingerprint of the component, ``root``."""
     prints = stored(fingerprints(docs, id_column, text_column), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     roots = stored(components(links(classes)), "roots")
@@ -237,8 +242,8 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = tied.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "digest", "fp", "component_id")
+    named = tied.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("id", "digest", "fp", "component_id", "root")
 
 
 def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -247,11 +252,9 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Null ids count as larger than all others. Rows are known by their id and a digest
     of their text; of rows that share both, one stays.
     """
-    groups = near_groups(docs, id_column, text_column)
+    groups = _rooted(docs, id_column, text_column)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
-    # Groups whose ids are all null have no component id; the fingerprint tells them apart.
-    key = F.when(F.col("component_id").isNull(), F.col("fp"))
-    kept = groups.groupBy("component_id", key.alias("fp")).agg(first)
+    kept = groups.groupBy("root").agg(first)
     kept = kept.select(row_key(F.col("first.id"), F.col("first.digest")))
     return of_key(docs, row_key(F.col(id_column), _digest(F.col(text_column))), kept)
 

@@ -64,3 +64,12 @@ def test_bands_reach_similarity_four_fifths():
         assert nearcopies.similar(a, b)
         missed += not set(nearcopies.bands(a)) & set(nearcopies.bands(b))
     assert missed <= 1
+
+
+def test_fingerprint_groups_without_ids_keep_one_row(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"])]
+    a, b = map(simhash.fingerprint, texts)
+    assert 0 < (a ^ b).bit_count() <= 3
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert simhash.representatives(docs).count() == 1
