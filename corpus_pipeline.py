@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgrisk.llm import classify, dedup, nearcopies, packing, quality, toxicity
+from msgrisk.llm import classify, dedup, packing, quality, simhash, toxicity
 from msgrisk.llm.common import stored
 from msgrisk.llm.queries import WORD_VOCABULARY, table
 from msgrisk.session import tune
@@ -37,9 +37,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with a Jaccard similarity of 0.8 or more the one with the smallest id."""
+    """Of each group of fingerprints within the operator's bit distance the document with the smallest id."""
     tune(spark)
-    return nearcopies.representatives(docs)
+    return simhash.representatives(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
