@@ -33,7 +33,7 @@ UPPER, LOWER, DIGIT = re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile("[a-zß-öø-ÿ
 def shape(word: str) -> str:
     """What kinds of characters a word has, in order: runs of a kind count once."""
     marked = DIGIT.sub("9", LOWER.sub("x", UPPER.sub("X", word)))
-    return "".join(c for c, before in zip(marked, " " + marked) if c != before)[:24]
+    return "".join(c for c, before in zip(marked, " " + marked) if c != before)
 
 
 class Shapes(dict):
