@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from msgrisk.llm.common import of_key, row_key, stored
 
-RUNS = 4096  # first runs that one text's rows are dealt to
 WAYS = 64  # runs that are merged into one in each round
 
 
@@ -26,7 +25,11 @@ def proof(text: Column) -> Column:
 
 
 def digest_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One light row per document: its digest, what verifies it, and its first run."""
+    """One light row per document: its digest, what verifies it, and its first run.
+
+    A first run is what one input partition holds. The rows are to be written before
+    use, so that a repeated task cannot deal them out anew.
+    """
     text = docs.select(
         F.col(id_column).alias("id"), normalised(F.col(text_column)).alias("text"),
         F.monotonically_increasing_id().alias("row"),
@@ -35,14 +38,18 @@ def digest_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         "id", "row",
         digest(F.col("text")).alias("digest"),
         proof(F.col("text")).alias("proof"),
-        F.pmod(F.xxhash64("row"), F.lit(RUNS)).cast("int").alias("run"),
+        F.spark_partition_id().alias("run"),
     )
 
 
 def merge_rounds(runs: DataFrame) -> list[DataFrame]:
     """The levels of the tree, from the first runs to one run.
 
-    A level has one row for each digest and run: the smallest identifier and the
+    In each round the runs whose numbers differ in their last base-64 digit only go to
+    the first of them: a binomial tree of radix 64. They are exchanged by digest, so a
+    run lies on many tasks, and each task sorts what it gets and merges equal
+    digests in one sweep (``SortAggregate``), after the sender has merged its own. A
+    level has one row for each digest and run: the smallest identifier and the
     number of rows so far. The proof is part of the key, so rows whose digests
     agree but whose texts do not would stay apart at every level.
     """
@@ -50,7 +57,7 @@ def merge_rounds(runs: DataFrame) -> list[DataFrame]:
     levels = [
         runs.groupBy("digest", "proof", "run").agg(F.min(first).alias("first"), F.count("*").alias("size"))
     ]
-    width = RUNS
+    width = (runs.agg(F.max("run")).first()[0] or 0) + 1
     while width > 1:
         width = -(-width // WAYS)
         levels.append(
@@ -74,10 +81,9 @@ def exact_groups(
     ``row`` tells the result's rows apart, no more. Other columns are ignored, whatever
     their names. An empty table gives an empty result.
 
-    Text is read once and stays where it is; what moves is a digest per row. The
-    rows of a text start in up to 4,096 runs, each run is merged where it is read
-    before it is exchanged, and the result goes back down the same tree, so no task
-    sees all rows of one text.
+    Text is read once and stays where it is; what moves is a digest per row. Each
+    input partition is a run, merged where it is read before it is exchanged, and the
+    result goes back down the same tree, so no task sees all rows of one text.
     """
     runs = stored(digest_runs(docs, id_column, text_column), "digest-runs")
     levels = merge_rounds(runs)

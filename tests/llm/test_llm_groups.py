@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from msgrisk.llm import dedup, simhash
+from msgrisk.llm.common import stored
 
 
 def fixture_rows():
@@ -40,9 +41,9 @@ def test_exact_groups(spark, tmp_path):
 
 
 def test_runs_of_a_text_are_spread(spark):
-    docs = spark.range(2000).selectExpr("id AS doc_id", "'same' AS text")
-    runs = dedup.digest_runs(docs)
-    assert runs.select("run").distinct().count() > 1000
+    docs = spark.range(0, 2000, 1, 200).selectExpr("id AS doc_id", "'same' AS text")
+    levels = dedup.merge_rounds(stored(dedup.digest_runs(docs), "runs"))
+    assert [level.count() for level in levels] == [200, 4, 1]
     found = dedup.exact_groups(docs)
     assert found.where("keep_id = 0 AND group_size = 2000").count() == 2000
     assert found.where("kept").count() == 1
