@@ -61,7 +61,9 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_VOCABULARY)
     rows = packing.pieces(table(spark, sf_dir, "documents"), path)
-    return packing.packed(rows).withColumnRenamed("id", "doc_id").drop("row")
+    return packing.packed(rows).select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
 
 
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
