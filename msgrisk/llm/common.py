@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,3 +100,14 @@ def in_ranges(frame: DataFrame, order: list[str], label: str) -> DataFrame:
 
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def shrunk(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 compressed, lowest bytes first."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def grown(data: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * count, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)

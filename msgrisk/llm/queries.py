@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgrisk.llm import (
+    alignment,
     dedup,
     extraction,
     packing,
     quality,
     quotes,
+    resampling,
+    sharding,
     simhash,
     tokens,
     topk,
@@ -21,6 +24,7 @@ from msgrisk.llm import (
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,11 +87,27 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (table(spark, sf_dir, n) for n in ("documents", "benchmark"))
+    return resampling.resampled(docs, target).withColumnRenamed("id", "doc_id").drop("digest")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(n) for n in (BYTE_VOCABULARY, PIECE_VOCABULARY))
+    found, _ = alignment.align(table(spark, sf_dir, "documents"), *paths)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_quality, op3_url_filter, op4_simhash, op5_top_k,
         op6_exact_dedup, op7_packing, op8_quotes, op9_toxicity, op10_html,
+        op11_sharding, op12_resampling, op13_alignment,
     )
 }
 

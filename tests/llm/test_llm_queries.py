@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 def test_all_operators_are_registered():
     names = [n.split("_")[0] for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14))
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
 
 
