@@ -2,7 +2,7 @@
 
 Each micro-batch is a table: the windows of the batch operators run over it, and
 what they need from before comes in as one row of state per conversation. State
-is a table too, written beside the results under the number of its batch, so a
+lies beside the results and grows by what a batch changes (``state.KeyedState``); a
 batch that is run again finds the state it had and writes the same folders anew.
 """
 
@@ -13,13 +13,15 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from msgrisk import schemas
+from msgrisk import files, schemas
 from msgrisk.functions import chat, grading, verdicts
 from msgrisk.operators import callbacks
 from msgrisk.operators.answers import PAIR
 from msgrisk.operators.scoring import Scorer, any_text, reply_column
 from msgrisk.session import scratch_path
+from msgrisk.streaming.state import BUCKETS, KeyedState
 
 EVENT = [
     "from_account", "to_account", "event_time", "msg_seq", "kind", "text",
@@ -46,16 +48,15 @@ def with_history(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
     return rows.withColumn("last_messages", F.when(F.col("_line"), kept)).drop("_line", "_text", "_number")
 
 
-def with_verdicts(rows: DataFrame, scorer: Scorer) -> DataFrame:
+def with_verdicts(rows: DataFrame, scorer: Scorer, path: str) -> DataFrame:
     """Replace ``rating, reasoning, advice`` by what the scorer says of each history.
 
     ``error`` and ``error_message`` tell of a scorer that failed, as in batch scoring;
-    such an event has no rating. Histories go to the scorer in Arrow batches. The scored rows are written, as a
-    scorer must not be asked twice.
+    such an event has no rating. Histories go to the scorer in Arrow
+    batches. The scored rows are written to ``path``, as a scorer must not be asked twice.
     """
     snippet = F.when(F.size("last_messages") > 0, F.array_join("last_messages", "\n"))
     asked = rows.withColumn("_scored", reply_column(snippet, scorer, accept=any_text, attempts=1))
-    path = scratch_path(rows.sparkSession, "monitor-scored")
     asked.write.parquet(path)
     scored = rows.sparkSession.read.schema(asked.schema).parquet(path)
     reply = verdicts.strip_fence(F.col("_scored.reply"))
@@ -119,9 +120,13 @@ def shown(rows: DataFrame) -> DataFrame:
 
 
 def step(
-    events: DataFrame, state: DataFrame, keys: list[str], scorer: Scorer | None, count: int
-) -> DataFrame:
-    """One micro-batch with its history, ratings and notices, and ``_state`` beside it."""
+    events: DataFrame, state: DataFrame, keys: list[str], scorer: Scorer | None, count: int,
+    staged: str,
+) -> DataFrame:
+    """One micro-batch with its history, ratings and notices, and ``_state`` beside it.
+
+    A scorer's replies are kept below ``staged``.
+    """
     held = state.select(*keys, F.struct("lines", "started", "due", "seen").alias("_state"))
     none = F.array().cast("array<string>")
     fresh = F.struct(
@@ -131,24 +136,13 @@ def step(
     rows = events.join(held, keys, "left").withColumn("_state", F.coalesce("_state", fresh))
     rows = with_history(rows, keys, count)
     if scorer is not None:
-        rows = with_verdicts(rows, scorer)
+        rows = with_verdicts(rows, scorer, f"{staged}/scored")
     else:
         none = F.lit(None).cast("string")
         rows = rows.withColumns({"error": none, "error_message": none})
     return with_notices(rows, keys)
 
 
-def _last_state(spark: SparkSession, path: str, number: int, empty: DataFrame) -> DataFrame:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [f.getPath().getParent().getName() for f in files.globStatus(
-        spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS"))]
-    earlier = [n for n in (int(name.split("=")[1]) for name in found) if n < number]
-    if not earlier:
-        return empty
-    return spark.read.schema(empty.schema).parquet(f"{path}/step={max(earlier)}")
-
-
 def monitor(
     events: DataFrame,
     path: str,
@@ -159,13 +153,15 @@ def monitor(
     idle_hours: float = 24.0,
     once: bool = True,
     seconds: int = 10,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Write each event with its history, rating and, where one is due, the notice.
 
     ``events`` brings the columns of ``EVENT`` and, unless conversations are account
     pairs, the columns ``keys`` that tell them apart. Without a scorer the ratings in
     the input count. State is ``count`` lines and one notice per conversation and goes
-    ``idle_hours`` after the last event, by event time. A micro-batch holds the rows of
+    ``idle_hours`` after the last event, by event time; it is dealt to ``buckets``, of
+    which a micro-batch reads and writes those of its conversations. A micro-batch holds the rows of
     a conversation in one task, so the source should limit its bytes. With ``once`` the
     query takes what is there and ends. ``read_results`` reads what has been written.
     """
@@ -181,20 +177,17 @@ def monitor(
         known = batch
         for key in by:
             known = known.filter(F.col(key).isNotNull())
-        kinds = ", ".join(f"`{k}` {known.schema[k].dataType.simpleString()}" for k in by)
-        empty = spark.createDataFrame([], f"{kinds}, {STATE}")
-        state = _last_state(spark, f"{path}/state", number, empty)
+        state = KeyedState(
+            spark, f"{path}/state", StructType([known.schema[k] for k in by]),
+            StructType.fromDDL(STATE), "seen", timedelta(hours=idle_hours), buckets,
+        )
         staged = scratch_path(spark, "monitor-step")
-        step(known, state, by, scorer, count).write.parquet(staged)
-        rows = spark.read.parquet(staged)
+        made = step(known, state.before(number, known), by, scorer, count, staged)
+        made.write.parquet(f"{staged}/rows")
+        rows = spark.read.schema(made.schema).parquet(f"{staged}/rows")
         shown(rows).drop("_state").write.mode("overwrite").parquet(f"{path}/rows/step={number}")
-        touched = next_state(rows, by)
-        rest = state.join(rows.select(*by).distinct(), by, "left_anti")
-        kept = touched.unionByName(rest)
-        latest = kept.agg(F.max("seen")).first()[0]
-        if latest is not None:
-            kept = kept.filter(F.col("seen") >= F.lit(latest - timedelta(hours=idle_hours)))
-        kept.write.mode("overwrite").parquet(f"{path}/state/step={number}")
+        state.commit(number, next_state(rows, by))
+        files.remove(spark, staged)
 
     writer = keyed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if once:
