@@ -18,6 +18,7 @@ from msgrisk.operators import (
     metrics,
     notices,
     pages,
+    replies,
     scoring,
     workflow,
 )
@@ -492,6 +493,21 @@ def score_batch(spark, sf_dir):
     return rows.select("doc_id", "rating", "attempts")
 
 
+def refusing_scorer(texts: list[str]) -> list[str]:
+    """A model that must not be asked any more."""
+    raise RuntimeError("asked again")
+
+
+def replies_kept(spark, sf_dir):
+    """Documents scored from kept replies; the second run has nothing left to ask."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "replies")
+    options = {"content": "text", "texts_per_task": 5_000}
+    replies.ask(docs, length_scorer, path, "length", **options)
+    rows = replies.score_kept(docs, refusing_scorer, path, "length", **options)
+    return rows.select("doc_id", "rating", "attempts", "error")
+
+
 def score_conversations(spark, sf_dir):
     rows = history.last_messages(views.turns(spark, sf_dir), ["conv_id"], "turn", who="role")
     scored = scoring.score_conversations(rows, length_judge)
@@ -727,7 +743,7 @@ QUERIES = {
         callback_alerts, last3_messages, last3_chat_events, last3_one_chat, chat_messages, url_extract, url_extract_full,
         url_maximal, page_text, page_title, url_page_join, page_fallback, evidence_doc,
         verdict_parse, reply_content, risk_keywords, fraud_type, rule_rating, link_rating,
-        score_batch, score_conversations, workflow_result, workflow_ratings, conversation_tiers,
+        score_batch, replies_kept, score_conversations, workflow_result, workflow_ratings, conversation_tiers,
         stream_last_messages, stream_notices, stream_responses, stream_alerts, scored_dataset_files,
         rubric_verdict, dataset_source, label_sheet_source, page_source,
         scored_labels_evaluated, label_sheets_merged,

@@ -669,6 +669,12 @@ SELECT msg_id, state AS link_state, CAST(greatest(1, least(5, level +
             THEN CAST(length(text) % 7 - 1 AS DOUBLE) ELSE 0.0::DOUBLE END AS rating,
        CAST(CASE WHEN text = '' THEN 0 WHEN length(text) % 7 - 1 > 0 THEN 1 ELSE 3 END AS INTEGER)
          AS attempts
+FROM documents""",
+    "replies_kept": """SELECT doc_id,
+       CASE WHEN text <> '' AND length(text) % 7 - 1 > 0
+            THEN CAST(length(text) % 7 - 1 AS DOUBLE) ELSE 0.0::DOUBLE END AS rating,
+       CAST(CASE WHEN text = '' THEN 0 WHEN length(text) % 7 - 1 > 0 THEN 1 ELSE 3 END AS INTEGER)
+         AS attempts, CAST(NULL AS VARCHAR) AS error
 FROM documents""",
     "score_conversations": CHAT_SQL["last3_messages"].replace(
         "SELECT conv_id, turn, CAST(len(l) AS INTEGER) AS n, array_to_string(l, chr(10)) AS snippet",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from msgrisk.operators.replies import score_kept
 from msgrisk.operators.scoring import Scorer, score_batch
 from msgrisk.sources.datasets import read_datasets
 
@@ -23,13 +24,15 @@ def stream_datasets(spark: SparkSession, path: str, files_per_batch: int = 10) -
 
 
 def score_stream(
-    files: DataFrame, scorer: Scorer, model: str, path: str, checkpoint: str
-) -> StreamingQuery:
+    files: DataFrame, scorer: Scorer, model: str, path: str, checkpoint: str,
+    replies: str | None = None,
+) -> StreamingQuery:
     """Score what has arrived since the last run and add it to the results.
 
     Each micro-batch writes a folder of its own, all columns of the files included,
     and writes it anew if it is run again. A run that is cut off goes on where its
-    last finished micro-batch ended.
+    last finished micro-batch ended. With ``replies``, the path of a table of replies,
+    it asks about no text that has one, also not about those of an unfinished batch.
     """
 
     def score(batch: DataFrame, number: int) -> None:
@@ -37,8 +40,11 @@ def score_stream(
         if not found:
             return
         rows = read_datasets(batch.sparkSession, found)
-        scored = score_batch(rows, scorer, distinct=False).withColumn("model", F.lit(model))
-        flat = scored.drop("verdict", "attempts", "error")
+        if replies is None:
+            scored = score_batch(rows, scorer, distinct=False)
+        else:
+            scored = score_kept(rows, scorer, replies, model)
+        flat = scored.withColumn("model", F.lit(model)).drop("verdict", "attempts", "error")
         flat.write.mode("overwrite").partitionBy("dataset", "model").parquet(f"{path}/batch={number}")
 
     return (
