@@ -26,7 +26,7 @@ from msgrisk.plans import views
 from msgrisk.session import scratch_path
 from msgrisk.sinks import writers
 from msgrisk.sources import callbacks as request_source
-from msgrisk.sources import datasets, sheets
+from msgrisk.sources import datasets, records, sheets
 from msgrisk.sources import pages as page_store
 from msgrisk.streaming import monitor
 
@@ -673,6 +673,18 @@ def dataset_source(spark, sf_dir):
     )
 
 
+def csv_documents(spark, sf_dir):
+    """Documents written as CSV with line breaks in cells, read back by byte ranges."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    path = scratch_path(spark, "csv-documents")
+    docs.write.options(header="true", **records.CELLS).csv(path)
+    back = records.read_table(spark, [path])
+    return back.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "lang",
+        F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"),
+    )
+
+
 def label_sheet_source(spark, sf_dir):
     """Label sheets written per sheet and read back."""
     path = scratch_path(spark, "sheets")
@@ -745,7 +757,7 @@ QUERIES = {
         verdict_parse, reply_content, risk_keywords, fraud_type, rule_rating, link_rating,
         score_batch, replies_kept, score_conversations, workflow_result, workflow_ratings, conversation_tiers,
         stream_last_messages, stream_notices, stream_responses, stream_alerts, scored_dataset_files,
-        rubric_verdict, dataset_source, label_sheet_source, page_source,
+        rubric_verdict, dataset_source, csv_documents, label_sheet_source, page_source,
         scored_labels_evaluated, label_sheets_merged,
     )
 }

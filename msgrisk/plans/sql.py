@@ -726,6 +726,8 @@ FROM documents GROUP BY source""",
     "dataset_source": """SELECT lang, count(*) AS n,
        count(*) FILTER (doc_id % 4 <> 0) AS n_rated, CAST(sum(length(text)) AS BIGINT) AS chars
 FROM documents GROUP BY lang""",
+    "csv_documents": """SELECT doc_id, lang, md5(text) AS text_md5,
+       CAST(length(text) AS INTEGER) AS n_chars FROM documents""",
     "label_sheet_source": """SELECT CAST(o_orderkey % 3 AS VARCHAR) AS sheet, o_orderkey AS position,
        o_orderpriority AS content, round(floor(o_totalprice / 50000) / 2, 6) AS rating FROM orders""",
     "page_source": f"""WITH {PAGE_TEXTS}

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
-from msgrisk.session import scratch_path
+from msgrisk.sources import records
 
 # Datasets scored when none are named, and the name of a result.
 DEFAULT_DATASETS = ["datasets/dataset-正常短信.csv", "datasets/dataset-广告.csv"]
@@ -39,40 +37,6 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return kept
 
 
-def files_with_charset(spark: SparkSession, paths: list[str]) -> list[tuple[str, str, str]]:
-    """File, charset and header line of each file.
-
-    The charset is the first of UTF-8, GBK and Latin-1 that fits all of a file. The
-    text source hands lines over as raw bytes, and no line end occurs inside a
-    character of these charsets, so files are checked line by line in parallel. The
-    driver receives one row per file, as many as it has listed.
-    """
-    probe = spark.newSession()
-    probe.conf.set("spark.sql.legacy.javaCharsets", "true")
-    probe.conf.set("spark.sql.legacy.codingErrorAction", "true")
-    raw = F.col("value").cast("binary")
-    gbk = F.decode(raw, "GBK")
-    is_gbk = ~F.contains(gbk, F.lit("\N{REPLACEMENT CHARACTER}"))
-    # The first line of the first block; numbers grow with the lines of a task.
-    lines = probe.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    place = F.struct("block", "line")
-    checks = lines.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_and(is_gbk).alias("gbk"),
-        F.min_by(raw, place).alias("header"),
-    )
-    found = []
-    for row in checks.collect():
-        charset = "UTF-8" if row["utf8"] else "GBK" if row["gbk"] else "ISO-8859-1"
-        header = bytes(row["header"] or b"").decode(charset, "replace")
-        found.append((row["file"], charset, header.removeprefix("\ufeff").rstrip("\r")))
-    return sorted(found)
-
-
 def number_or_null(value: Column) -> Column:
     """A number written in a CSV cell; null for a null mark or no number."""
     text = F.trim(value)
@@ -84,56 +48,21 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(name, "\\.csv$", "")
 
 
-def _plain_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.removeprefix("\ufeff") for c in df.columns])
-
-
-def _read_csv(spark: SparkSession, paths: list[str], charset: str) -> DataFrame:
-    df = spark.read.options(**CSV_OPTIONS, encoding=charset).csv(paths)
-    # Taken right at the scan of unsplit files, so it follows the order in a file.
-    at_scan = df.withColumn("position", F.monotonically_increasing_id()).withColumn(
-        "dataset", file_stem(F.col("_metadata.file_path"))
-    )
-    return _plain_columns(at_scan)
-
-
-def _read_gbk(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """GBK files as a table below the shared folder.
-
-    The charset needs a legacy setting, which a session of its own gets, so that the
-    caller's stays as it is.
-    """
-    other = spark.newSession()
-    other.conf.set("spark.sql.legacy.javaCharsets", "true")
-    rows = _read_csv(other, paths, "GBK")
-    path = scratch_path(spark, "gbk")
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def read_datasets(
     spark: SparkSession, paths: list[str] | None = None, schema: str | None = None
 ) -> DataFrame:
     """All rows of the datasets, absent files skipped.
 
-    Columns go by the names in the header of each file, whatever their order; a
-    column that a file lacks is null there. All are carried along as text, those of
-    ``schema`` as the types it gives and ``rating`` as a number; ``dataset`` and
-    ``position`` come on top.
+    Each file is read in the first of the charsets UTF-8, GBK and Latin-1 that fits all
+    of it, by many tasks if it is large. Columns go by the names in the header of each
+    file, whatever their order; a column that a file lacks is null there. All are carried
+    along as text, those of ``schema`` as the types it gives and ``rating`` as a number;
+    ``dataset`` and ``position``, the row's number in its file, come on top.
     """
     present = existing(spark, DEFAULT_DATASETS if paths is None else paths)
     if not present:
         raise FileNotFoundError("none of the datasets exists")
-    alike: dict[tuple[str, str], list[str]] = {}
-    for file, charset, header in files_with_charset(spark, present):
-        alike.setdefault((charset, header), []).append(file)
-    parts = [
-        _read_gbk(spark, files) if charset == "GBK" else _read_csv(spark, files, charset)
-        for (charset, _), files in alike.items()
-    ]
-    if not parts:
-        raise ValueError("the datasets are empty files")
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows = records.read_table(spark, present, {"dataset": file_stem(F.col("file"))})
     if "content" not in rows.columns:
         raise ValueError("the datasets lack the column content")
     for field in StructType.fromDDL(schema) if schema else ():
@@ -148,7 +77,7 @@ def read_datasets(
 
 def read_ratings(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Merged labels: ``content, human rating, rating`` from UTF-8 CSV files."""
-    df = _plain_columns(spark.read.options(**CSV_OPTIONS).csv(paths))
+    df = records.read_table(spark, [paths] if isinstance(paths, str) else paths)
     missing = {"human rating", "rating"} - set(df.columns)
     if missing:
         raise ValueError(f"ratings lack the columns {sorted(missing)}")
@@ -166,11 +95,9 @@ def read_model_output(spark: SparkSession, folder: str, model: str | None = None
     pattern = RESULT_NAME.format(sheet="*", model=_glob_literal(model) if model else "*")
     if not existing(spark, [f"{folder}/{pattern}"]):
         raise FileNotFoundError(f"no result files {pattern} in {folder}")
-    df = _plain_columns(spark.read.options(**CSV_OPTIONS).csv(f"{folder}/{pattern}"))
+    df = records.read_table(spark, [f"{folder}/{pattern}"], {"_stem": file_stem(F.col("file"))})
     if "rating" not in df.columns:
         raise ValueError("the result files lack the column rating")
-    stem = file_stem(F.col("_metadata.file_path"))
-    named = df.withColumn("position", F.monotonically_increasing_id()).withColumn("_stem", stem)
     if model:
         sheet = F.substr("_stem", F.lit(9), F.length("_stem") - F.lit(len(f"dataset-_{model}_test")))
         columns = {"sheet": sheet, "model": F.lit(model)}
@@ -179,7 +106,7 @@ def read_model_output(spark: SparkSession, folder: str, model: str | None = None
             "sheet": F.regexp_extract("_stem", "^dataset-(.*)_(.*)_test$", 1),
             "model": F.regexp_extract("_stem", "^dataset-(.*)_(.*)_test$", 2),
         }
-    return named.withColumns({**columns, "rating": number_or_null(F.col("rating"))}).drop("_stem")
+    return df.withColumns({**columns, "rating": number_or_null(F.col("rating"))}).drop("_stem")
 
 
 def _glob_literal(text: str) -> str:
