@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgrisk.functions import chat
-from msgrisk.operators import splitting
-
-GLOBAL_ROWS_PER_TASK = 1_000_000
+from msgrisk.operators import scans, splitting
 
 
 def inject_notices(
@@ -26,26 +24,26 @@ def inject_notices(
     rated 3 or higher: any before-send in between has shown the notice already.
 
     Expects ``kind, rating, reasoning, advice``. After-send events without a
-    rating leave the state alone and get no notice. ``scope="global"`` keeps
-    one state for all conversations; all rows are one key then, so they are always
-    cut into pieces, of a million rows unless told otherwise.
+    rating leave the state alone and get no notice. ``scope="global"`` keeps one state
+    for all conversations; all rows are one key then, so their order is scanned over
+    ranges (``scans.last_before``).
     """
     if scope not in ("conversation", "global"):
         raise ValueError("scope must be 'conversation' or 'global'")
     columns = df.columns
     kind, rating = F.col("kind"), F.col("rating")
     matters = (kind == "before") | ((kind == "after") & rating.isNotNull())
-    scoped = df
-    if scope == "global":
-        scoped, keys = df.withColumn("_scope", F.lit(0)), ["_scope"]
-        rows_per_task = rows_per_task or GLOBAL_ROWS_PER_TASK
-    pieces = splitting.cut(scoped, keys, order, rows_per_task)
-    rows = splitting.with_carry(pieces, keys, order, 1, where=matters)
-    window = Window.partitionBy(*keys, "_piece").orderBy(order)
     due = F.when(
         (kind == "after") & (rating >= 3),
         chat.notice_text(F.col("reasoning"), rating, F.col("advice")),
     )
+    if scope == "global":
+        rows = scans.last_before(df, order, due, matters, "_previous", rows_per_task)
+        shown = F.when(kind == "before", F.col("_previous"))
+        return rows.withColumn("notice", shown).select(*columns, "notice")
+    pieces = splitting.cut(df, keys, order, rows_per_task)
+    rows = splitting.with_carry(pieces, keys, order, 1, where=matters)
+    window = Window.partitionBy(*keys, "_piece").orderBy(order)
     # Newest event that matters, before the current one.
     previous = F.last(F.when(matters, F.struct(due.alias("notice"))), ignorenulls=True).over(
         window.rowsBetween(Window.unboundedPreceding, -1)

@@ -1,15 +1,17 @@
 """Ordered per-key work on keys that are too large for one task.
 
 A window ``partitionBy(key).orderBy(order)`` puts all rows of a key into one
-task. A caller who knows that keys may be too large for that gives a number of
-rows per task. The rows are then sorted by key and order over ranges of about
-that many rows, whatever the size of the table, and written below the shared
-folder. Each range is a piece, the window runs per key and piece, and what a
+task. Rows of keys that are too large for that are sorted by key and order over
+ranges of a number of rows, whatever the size of the table, and written below the
+shared folder. Each range is a piece, the window runs per key and piece, and what a
 piece needs from the pieces before it comes in afterwards: a few rows
 (``with_carry``) or an offset (``numbered``). Results equal those of the plain
 window.
 
-Without that number the plain window is planned and no job runs.
+A caller who gives a number of rows per task has all rows cut into such ranges. Without
+it, a table that Spark takes for larger than ``TABLE_BYTES`` is looked through for large
+keys by a sketch, and only their rows are cut; of a smaller table no key can be too
+large, so the plain window is planned and no job runs.
 """
 
 from __future__ import annotations
@@ -23,6 +25,43 @@ from pyspark.sql import functions as F
 from msgrisk.session import scratch_path
 
 
+TABLE_BYTES = 256 << 20  # by Spark's estimate; smaller tables are not looked through
+ROWS = 1_000_000  # of a key, from which on it is cut, and of its pieces
+TRACKED = 10_000  # keys that a sketch follows
+
+
+def large_keys(df: DataFrame, keys: list[str], rows: int = ROWS, tracked: int = TRACKED) -> DataFrame:
+    """``(*keys, n)``: the keys with more than ``rows`` rows, and how many they have.
+
+    One pass keeps a sketch of the most frequent hashes of keys in each task; sketches
+    are merged in two steps. A second pass counts the rows of the candidates only. A key
+    of less than about ``5 / tracked`` of all rows may be overlooked, which is no more
+    than a task has of a large table anyway. The driver gets ``tracked / 4`` hashes at most.
+    """
+    hashed = df.select(*keys, F.xxhash64(*keys).alias("_hash"))
+    step = hashed.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("_lot")).agg(
+        F.expr(f"approx_top_k_accumulate(_hash, {tracked})").alias("_sketch")
+    )
+    every = F.expr(f"approx_top_k_estimate(approx_top_k_combine(_sketch, {tracked}), {tracked // 4})")
+    step = step.withColumn("_lot", F.lit(0))
+    merged = step.groupBy("_lot").agg(every.alias("top")).first()  # none for an empty table
+    likely = [r["item"] for r in merged["top"] if r["count"] > rows] if merged else []
+    if not likely:
+        return df.select(*keys).limit(0).withColumn("n", F.lit(0).cast("bigint"))
+    spark = df.sparkSession
+    listed = spark.createDataFrame([(h,) for h in likely], "_hash bigint")
+    some = hashed.join(F.broadcast(listed), "_hash", "left_semi")
+    counted = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows)
+    path = scratch_path(spark, "large-keys")
+    counted.write.parquet(path)
+    return spark.read.schema(counted.schema).parquet(path)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes of a table as Spark estimates them when it plans."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 @dataclass(frozen=True)
 class Pieces:
     """Rows with ``_piece`` and ``_continues``: a key goes on from an earlier piece.
@@ -40,11 +79,20 @@ def cut(df: DataFrame, keys: list[str], order: str, rows_per_task: int | None =
     """Number the pieces. ``order`` must not have ties in a key; nulls come first.
 
     With ``rows_per_task`` the rows are counted, sorted and written, so this runs
-    jobs; the number of pieces follows the number of rows.
+    jobs; the number of pieces follows the number of rows. Without it, so are the rows
+    of large keys, if the table is large; all others are piece -1 as they are.
     """
+    plain = df.withColumns({"_piece": F.lit(-1), "_continues": F.lit(False)})
     if rows_per_task is None:
-        plain = df.withColumns({"_piece": F.lit(0), "_continues": F.lit(False)})
-        return Pieces(plain, None)
+        if plan_bytes(df) <= TABLE_BYTES:
+            return Pieces(plain, None)
+        large = large_keys(df, keys, ROWS)
+        if large.isEmpty():
+            return Pieces(plain, None)
+        few = F.broadcast(large.select(*keys))  # no more than a sketch follows
+        hot = cut(_joined(df, few, keys, "left_semi"), keys, order, ROWS)
+        rest = _joined(plain, few, keys, "left_anti")
+        return Pieces(rest.unionByName(hot.rows.select(*rest.columns)), hot.edges)
     if rows_per_task < 1:
         raise ValueError("rows_per_task must be at least 1")
     count = max(1, math.ceil(df.count() / rows_per_task))

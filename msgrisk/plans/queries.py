@@ -20,6 +20,7 @@ from msgrisk.operators import (
     pages,
     replies,
     scoring,
+    terms,
     workflow,
 )
 from msgrisk.plans import views
@@ -420,6 +421,26 @@ def risk_keywords(spark, sf_dir):
     )
 
 
+def terms_tagged(spark, sf_dir):
+    """Documents looked up in a lexicon that is a table: all longer words of the benchmark."""
+    words = views.table(spark, sf_dir, "benchmark").select(
+        F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("term")
+    )
+    lexicon = terms.lexicon_table(
+        words.select("term", F.lower(F.substring("term", 1, 1)).alias("group"),
+                     (F.length("term") % 3 + 1).alias("weight")),
+        weight="weight",
+    )
+    docs = views.texts(spark, sf_dir, "documents", "doc_id", "text")
+    rows = terms.with_terms(docs, "text", lexicon)
+    lead = terms.leading_group(F.col("matches"))
+    return rows.select(
+        "doc_id", F.size("matches").alias("n_terms"), terms.weight_of(F.col("matches")).alias("weight"),
+        F.md5(F.array_join(terms.terms_of(F.col("matches")), ",")).alias("terms_md5"),
+        lead["group"].alias("top_group"), lead["hits"].alias("top_hits"),
+    )
+
+
 def fraud_type(spark, sf_dir):
     docs = views.texts(spark, sf_dir, "documents", "doc_id", "text")
     best = lexicon.scam_type(F.col("text"), views.PROSE_SIGNS)
@@ -754,7 +775,7 @@ QUERIES = {
         alert_payload, notice_injection, notice_injection_global, callback_response,
         callback_alerts, last3_messages, last3_chat_events, last3_one_chat, chat_messages, url_extract, url_extract_full,
         url_maximal, page_text, page_title, url_page_join, page_fallback, evidence_doc,
-        verdict_parse, reply_content, risk_keywords, fraud_type, rule_rating, link_rating,
+        verdict_parse, reply_content, risk_keywords, terms_tagged, fraud_type, rule_rating, link_rating,
         score_batch, replies_kept, score_conversations, workflow_result, workflow_ratings, conversation_tiers,
         stream_last_messages, stream_notices, stream_responses, stream_alerts, scored_dataset_files,
         rubric_verdict, dataset_source, csv_documents, label_sheet_source, page_source,

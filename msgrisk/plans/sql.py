@@ -664,6 +664,18 @@ SELECT doc_id, score, {_level("score")} AS level FROM scored""",
 SELECT msg_id, state AS link_state, CAST(greatest(1, least(5, level +
          CASE state WHEN 'suspicious' THEN 1 WHEN 'none' THEN 0 ELSE -1 END)) AS DOUBLE) AS rating,
        keywords FROM judged""",
+    "terms_tagged": """WITH words AS (
+  SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS term FROM benchmark),
+lexicon AS (SELECT term, lower(term) AS low, lower(term[1]) AS grp, length(term) % 3 + 1 AS weight FROM words),
+hits AS (SELECT doc_id, term, grp, weight FROM documents JOIN lexicon ON contains(lower(text), low)),
+per_group AS (SELECT doc_id, grp, count(*) AS n FROM hits GROUP BY ALL),
+lead AS (SELECT doc_id, arg_min(grp, (-n, grp)) AS grp, max(n) AS n FROM per_group GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, sum(weight) AS weight,
+                 string_agg(term, ',' ORDER BY grp, term) AS listed FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(f.n, 0) AS INTEGER) AS n_terms, CAST(coalesce(f.weight, 0) AS BIGINT) AS weight,
+       md5(coalesce(listed, '')) AS terms_md5, lead.grp AS top_group,
+       CAST(coalesce(lead.n, 0) AS INTEGER) AS top_hits
+FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id LEFT JOIN lead ON lead.doc_id = d.doc_id""",
     "score_batch": """SELECT doc_id,
        CASE WHEN text <> '' AND length(text) % 7 - 1 > 0
             THEN CAST(length(text) % 7 - 1 AS DOUBLE) ELSE 0.0::DOUBLE END AS rating,
