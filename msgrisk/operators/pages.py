@@ -86,6 +86,12 @@ def link_pages(
     )
 
 
+def wanted_keys(messages: DataFrame, links: str = "urls") -> DataFrame:
+    """``key``: the join key of each link of the messages, repeats included."""
+    link = messages.select(F.explode(links).alias("link"))
+    return link.filter(F.col("link").isNotNull()).select(urls.url_key(F.col("link")).alias("key"))
+
+
 def gather_pages(linked: DataFrame, message: str = "msg_id") -> DataFrame:
     """The page records of each message as a list in link order."""
     record = F.struct("position", *RECORD)

@@ -27,7 +27,7 @@ from msgrisk.plans import views
 from msgrisk.session import scratch_path
 from msgrisk.sinks import writers
 from msgrisk.sources import callbacks as request_source
-from msgrisk.sources import datasets, records, sheets
+from msgrisk.sources import datasets, pagestore, records, sheets
 from msgrisk.sources import pages as page_store
 from msgrisk.streaming import monitor
 
@@ -359,6 +359,21 @@ def url_page_join(spark, sf_dir):
     )
 
 
+def page_store_join(spark, sf_dir):
+    """The links of messages joined to a store of pages that was written in two versions."""
+    path = scratch_path(spark, "page-store")
+    table = views.texts(spark, sf_dir, "pages", "page_id", "url", "html")
+    for lot in (0, 1):
+        some = table.filter(F.col("page_id") % 2 == lot)
+        pagestore.add_pages(pages.page_records(some, "store"), path)
+    linked = _with_links(spark, sf_dir)
+    rows = pages.link_pages(linked, pagestore.wanted_pages(pages.wanted_keys(linked), path))
+    return rows.select(
+        "msg_id", "position", "url", "title", "status", "error",
+        F.length("content").alias("n_chars"),
+    )
+
+
 def _three_sources(spark, sf_dir):
     """The page table seen by three fetchers, each of which fails on some pages."""
     table = views.texts(spark, sf_dir, "pages", "page_id", "url", "html")
@@ -774,7 +789,7 @@ QUERIES = {
         callback_reject_reasons, callback_route_counts, conv_key, action_tier, advice_tier,
         alert_payload, notice_injection, notice_injection_global, callback_response,
         callback_alerts, last3_messages, last3_chat_events, last3_one_chat, chat_messages, url_extract, url_extract_full,
-        url_maximal, page_text, page_title, url_page_join, page_fallback, evidence_doc,
+        url_maximal, page_text, page_title, url_page_join, page_store_join, page_fallback, evidence_doc,
         verdict_parse, reply_content, risk_keywords, terms_tagged, fraud_type, rule_rating, link_rating,
         score_batch, replies_kept, score_conversations, workflow_result, workflow_ratings, conversation_tiers,
         stream_last_messages, stream_notices, stream_responses, stream_alerts, scored_dataset_files,

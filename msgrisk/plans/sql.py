@@ -510,6 +510,13 @@ linked AS (
          CASE WHEN s.k IS NULL THEN {_q(rubric.FETCH_FAILED)} || f.url END AS error
   FROM flat f LEFT JOIN store s ON s.k = {_key("f.url")})"""
 
+# The same over a store in which pages with odd numbers came later.
+NEWEST_LINKED = (
+    LINKED.replace("AS k, url, title", "AS k, (1 - page_id % 2, url) AS turn, title")
+    .replace("min_by(title, url)", "min_by(title, turn)")
+    .replace("min_by(content, url)", "min_by(content, turn)")
+)
+
 PAGE_BLOCK = (
     "CASE WHEN status = 'success' THEN "
     + _template(
@@ -542,6 +549,9 @@ FROM sorted s JOIN kept k ON k.msg_id = s.msg_id""",
     "page_title": f"WITH {PAGE_TEXTS} SELECT page_id, title FROM texts",
     "url_page_join": f"""WITH {LINKED}
 SELECT msg_id, position, url, title, status, error, CAST(length(content) AS INTEGER) AS n_chars
+FROM linked""",
+    "page_store_join": f"""WITH {NEWEST_LINKED}
+SELECT msg_id, position, url, title, status, error, CAST(length(content) AS INTEGER) AS n_chars
 FROM linked""",
     "page_fallback": f"""WITH {LINKED}, seen AS (
   SELECT {_key("url")} AS k, url, content, page_id % 2 = 0 AS a, page_id % 3 = 0 AS b,
