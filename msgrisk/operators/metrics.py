@@ -17,6 +17,7 @@ from msgrisk import rubric
 from msgrisk.functions import grading
 
 LEVELS = [1, 2, 3, 4, 5]
+COUNTED = "_rows"  # in rows that stand for several: how many
 MAIN = ["qwk", "qwk_interpretation", "mae", "weighted_f1", "macro_f1"]
 AUXILIARY = [
     "high_risk_recall", "high_risk_precision", "high_risk_macro_f1", "high_risk_weighted_f1",
@@ -72,10 +73,14 @@ def clean_counts(
 
 
 def cells(df: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Counts ``n`` of the pairs that occur, from the output of ``clean``."""
+    """Counts ``n`` of the pairs that occur, from the output of ``clean``.
+
+    Rows may have been counted before (``streaming.counters``); then their counts add up.
+    """
+    n = F.sum(COUNTED) if COUNTED in df.columns else F.count(F.lit(1))
     return df.groupBy(
         *by, F.col("human_rating_int").alias("human"), F.col("rating_int").alias("pred")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(n.alias("n"))
 
 
 def matrix(df: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from msgrisk import rubric
 from msgrisk.functions import chat, grading, html, lexicon, urls, verdicts
@@ -29,7 +30,7 @@ from msgrisk.sinks import writers
 from msgrisk.sources import callbacks as request_source
 from msgrisk.sources import datasets, pagestore, records, sheets
 from msgrisk.sources import pages as page_store
-from msgrisk.streaming import monitor
+from msgrisk.streaming import counters, monitor
 
 PAIR = ["account_low", "account_high"]
 
@@ -669,6 +670,18 @@ def stream_responses(spark, sf_dir):
     )
 
 
+def stream_eval_summary(spark, sf_dir):
+    """All metrics per sheet from counts that three lots of rated rows have added to."""
+    items = views.table(spark, sf_dir, "lineitem")
+    rows = views.rated(spark, sf_dir, items, "l_orderkey")
+    counts = scratch_path(spark, "stream-counts")
+    for path in _arrivals(spark, rows, "l_orderkey", "stream-rated"):
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        counters.evaluate_stream(stream, counts, f"{counts}-progress", ["sheet"]).awaitTermination()
+    kinds = StructType([rows.schema["sheet"]])
+    return rounded(metrics.summary(counters.counters_of(spark, counts, kinds), ["sheet"]))
+
+
 def stream_alerts(spark, sf_dir):
     raw = views.table_stream(spark, sf_dir, "events")
     events = views.chat_events(spark, sf_dir, raw)
@@ -792,7 +805,7 @@ QUERIES = {
         url_maximal, page_text, page_title, url_page_join, page_store_join, page_fallback, evidence_doc,
         verdict_parse, reply_content, risk_keywords, terms_tagged, fraud_type, rule_rating, link_rating,
         score_batch, replies_kept, score_conversations, workflow_result, workflow_ratings, conversation_tiers,
-        stream_last_messages, stream_notices, stream_responses, stream_alerts, scored_dataset_files,
+        stream_last_messages, stream_notices, stream_responses, stream_alerts, stream_eval_summary, scored_dataset_files,
         rubric_verdict, dataset_source, csv_documents, label_sheet_source, page_source,
         scored_labels_evaluated, label_sheets_merged,
     )

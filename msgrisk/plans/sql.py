@@ -742,6 +742,7 @@ SELECT event_id, kind, CASE WHEN kind <> 'after' THEN 'none' WHEN rating >= 4 TH
        notice || chr(10) || text AS message FROM noticed""",
     "stream_responses": CHAT_SQL["callback_response"],
     "stream_alerts": CHAT_SQL["alert_payload"],
+    "stream_eval_summary": RATING_SQL["eval_summary_by_sheet"],
     "scored_dataset_files": """SELECT source AS dataset, 'rules' AS model, count(*) AS n,
        CAST(sum(n_chars % 5 + 1) AS DOUBLE) AS ratings, CAST(sum(length(text)) AS BIGINT) AS chars
 FROM documents GROUP BY source""",

@@ -48,10 +48,13 @@ def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return rows.repartition(int(partitions)) if partitions else rows
 
 
-def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rated(
+    spark: SparkSession, sf_dir: str, items: DataFrame | None = None, *more: str
+) -> DataFrame:
     """Pairs of a human and a model rating per sheet, with halves and gaps."""
-    items = table(spark, sf_dir, "lineitem")
+    items = table(spark, sf_dir, "lineitem") if items is None else items
     return items.select(
+        *more,
         F.col("l_returnflag").alias("sheet"),
         F.when(F.col("l_linenumber") != 7, F.col("l_quantity") / 10).alias("human rating"),
         (F.col("l_discount") * 50).alias("rating"),

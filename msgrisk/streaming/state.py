@@ -54,14 +54,14 @@ class KeyedState:
     """One row of state per key below ``path``.
 
     ``keys`` are columns without nulls, ``values`` the other columns. A key whose column
-    ``seen`` lies ``idle`` or more before the newest one of all batches so far has no
-    state any more, and its rows go when their bucket is merged. The number of buckets
-    is that of the first batch.
+    ``seen`` lies more than ``idle`` before the newest one of all batches so far has no
+    state any more, and its rows go when their bucket is merged; without such a column
+    keys stay. The number of buckets is that of the first batch.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, keys: StructType, values: StructType,
-        seen: str, idle: timedelta, buckets: int = BUCKETS, width: int = WIDTH,
+        seen: str | None, idle: timedelta, buckets: int = BUCKETS, width: int = WIDTH,
     ):
         if width < 2 or buckets < 1:
             raise ValueError("a state needs a bucket, and runs merge by two at least")
@@ -134,7 +134,7 @@ class KeyedState:
         runs = {b: list(some) for b, some in old.runs.items()}
         latest = old.latest
         written = self._written(step, 0)
-        if written:
+        if written and self.seen:
             rows = self.spark.read.schema(self.stored).parquet(*[self._folder((0, step), b) for b in written])
             newest = rows.agg(F.unix_micros(F.max(self.seen))).first()[0]
             latest = max((t for t in (latest, newest) if t is not None), default=None)
