@@ -30,8 +30,24 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(found, True)
 
 
-def read_text(spark: SparkSession, path: str) -> str:
+def is_there(spark: SparkSession, path: str) -> bool:
     found, files = _at(spark, path)
+    return files.exists(found)
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern matches."""
+    found, files = _at(spark, pattern)
+    return sorted(str(f.getPath().toString()) for f in files.globStatus(found) or [])
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """What ``write_text`` wrote last, also if it was cut off; None if it never ran."""
+    found, files = _at(spark, path)
+    if not files.exists(found):
+        found, _ = _at(spark, f"{path}.staged")
+        if not files.exists(found):
+            return None
     stream = files.open(found)
     try:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -40,7 +56,7 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file so that readers see all of it or nothing."""
+    """Write a small file so that ``read_text`` sees all of it or what was there before."""
     target, files = _at(spark, path)
     staged, _ = _at(spark, f"{path}.staged")
     stream = files.create(staged, True)

@@ -26,7 +26,7 @@ from msgrisk.operators import (
 )
 from msgrisk.plans import views
 from msgrisk.session import scratch_path
-from msgrisk.sinks import writers
+from msgrisk.sinks import results, writers
 from msgrisk.sources import callbacks as request_source
 from msgrisk.sources import datasets, pagestore, records, sheets
 from msgrisk.sources import pages as page_store
@@ -708,6 +708,23 @@ def scored_dataset_files(spark, sf_dir):
     )
 
 
+def result_files(spark, sf_dir):
+    """Rated documents written as result files of a model, twice, and read back."""
+    docs = views.table(spark, sf_dir, "documents")
+    folder = scratch_path(spark, "result-files")
+    rated = docs.select(
+        F.col("source").alias("sheet"), F.col("doc_id").alias("position"), F.col("text").alias("content"),
+        (F.col("n_chars") % 6).cast("double").alias("rating"),
+    )
+    results.write_results(rated.withColumn("rating", F.lit(0.0)), folder, "m.1")
+    results.write_results(rated, folder, "m.1")
+    back = datasets.read_model_output(spark, folder, "m.1")
+    return back.select(
+        "sheet", "model", F.md5("content").alias("content_md5"), "rating",
+        F.length("content").alias("n_chars"),
+    )
+
+
 def dataset_source(spark, sf_dir):
     """Documents written as one CSV dataset, read by name and counted."""
     docs = views.table(spark, sf_dir, "documents")
@@ -806,7 +823,7 @@ QUERIES = {
         verdict_parse, reply_content, risk_keywords, terms_tagged, fraud_type, rule_rating, link_rating,
         score_batch, replies_kept, score_conversations, workflow_result, workflow_ratings, conversation_tiers,
         stream_last_messages, stream_notices, stream_responses, stream_alerts, stream_eval_summary, scored_dataset_files,
-        rubric_verdict, dataset_source, csv_documents, label_sheet_source, page_source,
+        rubric_verdict, dataset_source, csv_documents, result_files, label_sheet_source, page_source,
         scored_labels_evaluated, label_sheets_merged,
     )
 }

@@ -749,6 +749,8 @@ FROM documents GROUP BY source""",
     "dataset_source": """SELECT lang, count(*) AS n,
        count(*) FILTER (doc_id % 4 <> 0) AS n_rated, CAST(sum(length(text)) AS BIGINT) AS chars
 FROM documents GROUP BY lang""",
+    "result_files": """SELECT source AS sheet, 'm.1' AS model, md5(text) AS content_md5,
+       CAST(n_chars % 6 AS DOUBLE) AS rating, CAST(length(text) AS INTEGER) AS n_chars FROM documents""",
     "csv_documents": """SELECT doc_id, lang, md5(text) AS text_md5,
        CAST(length(text) AS INTEGER) AS n_chars FROM documents""",
     "label_sheet_source": """SELECT CAST(o_orderkey % 3 AS VARCHAR) AS sheet, o_orderkey AS position,

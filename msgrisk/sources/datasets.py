@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
-from msgrisk.sources import records
+from msgrisk.sources import records, results
+from msgrisk.sources.results import RESULT_NAME  # noqa: F401
 
-# Datasets scored when none are named, and the name of a result.
+# Datasets scored when none are named.
 DEFAULT_DATASETS = ["datasets/dataset-正常短信.csv", "datasets/dataset-广告.csv"]
-RESULT_NAME = "dataset-{sheet}_{model}_test.csv"
 
 # Texts that stand for a missing number in a CSV file, as
 # documented for pandas.read_csv.
@@ -90,14 +90,21 @@ def read_model_output(spark: SparkSession, folder: str, model: str | None = None
     """Result files ``dataset-<sheet>_<model>_test.csv`` of a folder.
 
     Columns ``content, rating, sheet, model, position``. With a model given only
-    its files are listed and read.
+    its files are read. Files that ``sinks.results`` writes count from the moment on at
+    which all of them are there; a result may be a folder of numbered parts.
     """
-    pattern = RESULT_NAME.format(sheet="*", model=_glob_literal(model) if model else "*")
-    if not existing(spark, [f"{folder}/{pattern}"]):
-        raise FileNotFoundError(f"no result files {pattern} in {folder}")
-    df = records.read_table(spark, [f"{folder}/{pattern}"], {"_stem": file_stem(F.col("file"))})
+    paths = results.result_paths(spark, folder, model)
+    if not paths:
+        raise FileNotFoundError(f"no result files of {model or 'any model'} in {folder}")
+    path = F.url_decode(F.regexp_replace("file", "\\+", "%2B"))
+    stem = F.regexp_extract(path, "/(dataset-[^/]*_test)\\.csv(/[0-9]+\\.csv)?$", 1)
+    part = F.regexp_extract(path, "_test\\.csv/([0-9]+)\\.csv$", 1)
+    carried = {"_stem": stem, "_part": F.coalesce(part.try_cast("bigint"), F.lit(0))}
+    df = records.read_table(spark, [_glob_literal(p) for p in paths], carried)
     if "rating" not in df.columns:
         raise ValueError("the result files lack the column rating")
+    if "position" in df.columns:
+        df = df.withColumn("position", F.shiftleft("_part", 33) + F.col("position").cast("bigint"))
     if model:
         sheet = F.substr("_stem", F.lit(9), F.length("_stem") - F.lit(len(f"dataset-_{model}_test")))
         columns = {"sheet": sheet, "model": F.lit(model)}
@@ -106,7 +113,7 @@ def read_model_output(spark: SparkSession, folder: str, model: str | None = None
             "sheet": F.regexp_extract("_stem", "^dataset-(.*)_(.*)_test$", 1),
             "model": F.regexp_extract("_stem", "^dataset-(.*)_(.*)_test$", 2),
         }
-    return df.withColumns({**columns, "rating": number_or_null(F.col("rating"))}).drop("_stem")
+    return df.withColumns({**columns, "rating": number_or_null(F.col("rating"))}).drop("_stem", "_part")
 
 
 def _glob_literal(text: str) -> str:

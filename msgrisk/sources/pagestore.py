@@ -47,9 +47,9 @@ def add_pages(records: DataFrame, path: str, buckets: int | None = None) -> int:
     default that of shuffle partitions, is settled by the first call.
     """
     spark = records.sparkSession
-    known = files.names(spark, path)
-    if "_store.json" in known:
-        facts = json.loads(files.read_text(spark, _manifest(path)))
+    text = files.read_text(spark, _manifest(path))
+    if text:
+        facts = json.loads(text)
     else:
         count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         facts = {"buckets": count, "next": 0, "open": []}
