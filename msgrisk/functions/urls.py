@@ -77,17 +77,52 @@ def longest_first(urls: Column) -> Column:
     return F.transform(F.sort_array(keyed), lambda k: k["url"])
 
 
+FEW_LINKS = 40  # of a text, compared with each other
+SUFFIX_CHARS = 50_000_000  # of a text's links together, sorted at once
+
+
 def maximal(urls: Column) -> Column:
-    """Drop every link that is part of a longer one. Expects distinct links."""
+    """Drop every link that is part of a longer one. Expects distinct links.
+
+    A few links are compared with each other. Of many, all suffixes are sorted: a link is
+    part of another one if what follows it there begins with it. Suffixes are cut
+    at the length of the second longest link, as longer parts are no link. Links that are
+    too long for that together are compared, too.
+    """
 
     def kept(links: Column) -> Column:
-        return F.filter(
-            links, lambda x: ~F.exists(links, lambda y: (y != x) & F.contains(y, x))
-        )
+        few = F.size(links) <= FEW_LINKS
+        longest = F.get(F.sort_array(F.transform(links, F.length), False), F.lit(1))
+        total = F.aggregate(links, F.lit(0).cast("bigint"), lambda n, u: n + F.length(u))
+        fits = total * longest <= SUFFIX_CHARS
+        by_suffix = let(longest, lambda most: F.array_except(links, _parts(links, most)))
+        return F.when(few, _compared(links)).when(fits, by_suffix).otherwise(_compared(links))
 
     return let(urls, kept)
 
 
+def _compared(links: Column) -> Column:
+    return F.filter(links, lambda x: ~F.exists(links, lambda y: (y != x) & F.contains(y, x)))
+
+
+def _parts(links: Column, most: Column) -> Column:
+    """Links that are part of others, by sorted suffixes of up to ``most`` characters."""
+
+    def suffixes(link: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.length(link)),
+            lambda i: F.struct(F.substring(link, i, most).alias("text"), (i > 1).alias("inner")),
+        )
+
+    def followed(ordered: Column) -> Column:
+        after = F.slice(ordered, F.lit(2), F.size(ordered))
+        pairs = F.zip_with(ordered, after, lambda a, b: F.struct(
+            a["text"].alias("text"), (~a["inner"] & F.startswith(b["text"], a["text"])).alias("part")))
+        return F.transform(F.filter(pairs, lambda p: p["part"]), lambda p: p["text"])
+
+    return let(F.array_sort(F.flatten(F.transform(links, suffixes))), followed)
+
+
 def with_scheme(url: Column) -> Column:
     has_scheme = url.startswith("http://") | url.startswith("https://")
     return F.when(has_scheme, url).otherwise(F.concat(F.lit("https://"), url))

@@ -1,7 +1,9 @@
 """Column functions on literal rows."""
 
 import html as stdlib_html
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -356,3 +358,22 @@ def test_looping_patterns_equal_the_plain_ones():
         text = "".join(dice.choice(parts) for _ in range(dice.randint(1, 14)))
         for one, other in zip(plain, loops):
             assert [m[0] for m in one.finditer(text)] == [m[0] for m in other.finditer(text)], text
+
+
+def test_maximal_links_of_many(spark):
+    rng = random.Random(3)
+
+    def some(n, letters="ab."):
+        return list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(n)))
+
+    rows = [some(n) for n in (0, 1, 2, 41, 60, 400)]
+    rows.append(["x" * 5000, "y" * 300, *("x" * i for i in range(1, 60)), *("y" * i + "é" for i in range(40))])
+    rows.append(["x" * 60_000, *("x" * 30_000 + c for c in "abcdefgh"), *some(50)])  # too long for suffixes
+    df = spark.createDataFrame([(i, links) for i, links in enumerate(rows)], "i int, links array<string>")
+    for i, kept in df.select("i", urls.maximal(F.col("links"))).collect():
+        assert kept == [x for x in rows[i] if not any(x != y and x in y for y in rows[i])]
+    many = [f"host{i % 700}.example{i % 13}.com/path/{i}/x" for i in range(10_000)]
+    one_text = spark.createDataFrame([([*many, "host1.example1.com"],)], "links array<string>")
+    start = time.time()
+    assert one_text.select(F.size(urls.maximal(F.col("links")))).first()[0] == 10_000
+    assert time.time() - start < 20
