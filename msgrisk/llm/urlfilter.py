@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,18 +55,43 @@ def _reversed(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, "\\.")), ".")
 
 
-def _url_keys(urls: DataFrame) -> DataFrame:
-    """A key for each domain that a host belongs to, itself included.
+@dataclass(frozen=True)
+class Sizes:
+    """What the rules look like: numbers of labels, lengths of keys, the longest path.
+
+    Each list has no number twice, so neither is longer than the longest rule.
+    """
+
+    labels: list[int]
+    keys: list[int]
+    path: int
+
+    @classmethod
+    def of(cls, rule_keys: DataFrame) -> Sizes:
+        found = rule_keys.agg(
+            F.collect_set(F.size(F.split("host", "\\."))), F.collect_set(F.length("key")),
+            F.coalesce(F.max(F.length("path")), F.lit(0)),
+        ).first()
+        return cls(sorted(found[0]), sorted(found[1]), found[2])
+
+
+def _numbers(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<int>")
+
+
+def _url_keys(urls: DataFrame, sizes: Sizes) -> DataFrame:
+    """A key for each domain that a host belongs to, itself included, if rules have such.
 
     ``a.b.org`` with a path gives ``org``, ``org.b`` and ``org.b.a``, each with the
-    path behind it, so that a rule fits exactly if its key begins one of them. There
-    are as many keys as the host has labels.
+    path behind it, so that a rule fits exactly if its key begins one of them. Domains
+    of as many labels as no rule's host has are left out, and a key has no more of the
+    path than the longest path of a rule, so keys stay short however long a URL is.
     """
     labels = urls.where("host != ''").select("host", "path", F.reverse(F.split("host", "\\.")).alias("l"))
-    # The longest domain first; each next one is the one before it without a label.
-    depth = F.explode(F.sequence(F.lit(1), F.size("l"))).alias("n")
+    depth = F.explode(F.filter(_numbers(sizes.labels), lambda n: n <= F.size("l"))).alias("n")
+    domain = F.array_join(F.slice("l", F.lit(1), F.col("n")), ".")
     return labels.select("host", "path", "l", depth).select(
-        F.concat(F.array_join(F.slice("l", F.lit(1), F.col("n")), "."), F.lit(END), "path").alias("key"),
+        F.concat(domain, F.lit(END), F.substr("path", F.lit(1), F.lit(sizes.path))).alias("key"),
         F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("verdict"),
     )
 
@@ -120,15 +146,16 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     no key has to fit into one task. Only what is open at the edges of the ranges is
     looked up apart: for the first key of each range, the rules that begin it.
     """
-    keys = _url_keys(urls).unionByName(_rule_keys(rules))
+    rule_keys = _rule_keys(rules)
+    sizes = Sizes.of(rule_keys)
+    keys = _url_keys(urls, sizes).unionByName(rule_keys)
     order = ["key", "kind", "host", "path"]
     ranges = in_ranges(keys, order, "url-ranges").drop("at")
     firsts = ranges.groupBy("part").agg(F.min("key").alias("first"))
+    lengths = F.filter(_numbers(sizes.keys), lambda n: n <= F.length("first"))
     begun = firsts.select(
-        "part",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("first")), lambda n: F.substr("first", F.lit(1), n)))
-        .alias("key"),
-    )
+        "part", F.explode(F.transform(lengths, lambda n: F.substr("first", F.lit(1), n))).alias("key")
+    )
     open_ = begun.join(ranges.where("kind = 0").withColumnRenamed("part", "own"), "key")
     # As many rows as there are ranges, times how deep rules are nested.
     carried: dict[int, list[tuple[str, str, str]]] = {}
@@ -151,7 +178,8 @@ def judged(
     host and all subdomains if the path starts with the rule's; of those that fit the
     one with the longest host and path wins, and blocking wins between equals. No
     rule, no host, a null URL and one without ``://`` get the default verdict and a
-    null rule. Ids may be null or repeat; rows with the same URL are judged once.
+    null rule. Ids may be null or repeat; rows with the same URL are judged once. The
+    work grows with the length of a URL, not with its square.
     """
     rows = pages.select(
         F.col(id_column).alias("id"), host_of(F.col(url_column)).alias("host"),

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,17 @@ def test_urls(spark):
     assert none.where("verdict = 'allow' AND rule IS NULL").count() == len(rows)
 
 
+def test_very_long_urls(spark):
+    hosts = ["a." * 50_000 + "org", "x" * 100_000 + ".com", "b." * 50_000 + "example.org", "y" * 100_000]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/fr/" + "p/" * 50_000, "/es/" + "q" * 100_000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    start = time.time()
+    found = urlfilter.judged(pages, urlfilter.rules_table(spark)).collect()
+    assert time.time() - start < 30
+    want = [(i, *verdict_of(u, urlfilter.RULES)) for i, u in enumerate(urls)]
+    assert sorted(map(tuple, found)) == want
+
+
 def best_of(rows, ask, k):
     numbers = {}
     for i, v in rows:
