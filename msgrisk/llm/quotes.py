@@ -29,6 +29,28 @@ def normalised(line: str) -> str:
     return " ".join(line.split()).lower()
 
 
+def passages(text: str | None) -> set[tuple[int, str]]:
+    """Normalised passages with their levels: paragraphs, and the lines they consist of.
+
+    Lines of one level that follow each other are one paragraph; an empty line ends it.
+    Joined by single spaces, a paragraph is the same however its lines are wrapped; lines
+    count too, for replies that quote a paragraph in parts.
+    """
+    found: set[tuple[int, str]] = set()
+    held: list[str] = []
+    at = 0
+    for level, line in [*levels(text), (0, "")]:
+        plain = normalised(line)
+        if held and (level != at or not plain):
+            found.add((at, " ".join(held)))
+            held = []
+        at = level
+        if plain:
+            held.append(plain)
+            found.add((level, plain))
+    return found
+
+
 def own_text(text: str | None) -> str | None:
     """A message without its quotations and the line that leads in to one."""
     lines = levels(text)
@@ -41,8 +63,8 @@ def own_text(text: str | None) -> str | None:
     return "\n".join(kept).strip("\n")
 
 
-def _lines(messages: DataFrame, quoted: bool) -> DataFrame:
-    """Hashes of the lines that messages quote, or of their own."""
+def _passages(messages: DataFrame, quoted: bool) -> DataFrame:
+    """Hashes of the passages that messages quote, or of their own."""
     schema = StructType([
         messages.schema["conv"], messages.schema["turn"], StructField("row", BinaryType()),
         StructField("level", IntegerType()), StructField("hash", LongType()),
@@ -55,12 +77,10 @@ def _lines(messages: DataFrame, quoted: bool) -> DataFrame:
             for key, text in zip(keys, column(batch, "text")):
                 if quoted and ">" not in (text or ""):
                     continue
-                lines = {(d, normalised(x)) for d, x in levels(text) if (d > 0) == quoted}
-                for level, line in sorted(lines):
-                    if line:
-                        value = xxhash.xxh64_intdigest(line) - 2**63
-                        for n, v in zip(schema.names, (*key, level, value)):
-                            out[n].append(v)
+                for level, passage in sorted(p for p in passages(text) if (p[0] > 0) == quoted):
+                    value = xxhash.xxh64_intdigest(passage) - 2**63
+                    for n, v in zip(schema.names, (*key, level, value)):
+                        out[n].append(v)
             yield out
 
         return work
@@ -69,7 +89,7 @@ def _lines(messages: DataFrame, quoted: bool) -> DataFrame:
 
 
 def _latest(carried: dict[int, tuple], schema: StructType):
-    """For each quoted line the row that last had it as its own, in sorted rows."""
+    """For each quoted passage the row that last had it as its own, in sorted rows."""
 
     def make():
         at, held = None, None
@@ -93,16 +113,16 @@ def _latest(carried: dict[int, tuple], schema: StructType):
     return make
 
 
-def linked_lines(messages: DataFrame) -> DataFrame:
-    """``(row, level, source, reply_to)`` for each quoted line that an earlier message has.
+def linked_passages(messages: DataFrame) -> DataFrame:
+    """``(row, level, source, reply_to)`` for each quoted passage that an earlier message has.
 
-    Quoted and own lines are sorted together by conversation, hash and turn over
+    Quoted and own passages are sorted together by conversation, hash and turn over
     ranges, so neither a long conversation nor a line that all repeat meets in one
-    task, and no line is paired with more than the last message that has it.
+    task, and no passage is paired with more than the last message that has it.
     """
-    quoted = stored(_lines(messages, True), "quoted-lines")
+    quoted = stored(_passages(messages, True), "quoted-passages")
     wanted = quoted.select("conv", "hash").distinct()
-    own = _lines(messages, False).join(wanted, ["conv", "hash"], "left_semi")
+    own = _passages(messages, False).join(wanted, ["conv", "hash"], "left_semi")
     both = quoted.withColumn("own", F.lit(False)).unionByName(own.withColumn("own", F.lit(True)))
     order = ["conv", "hash", "turn", "own", "row"]
     ranges = in_ranges(both, order, "quotation-ranges")
@@ -162,9 +182,10 @@ def reply_order(
     """``(conv, turn, role, text, reply_to, thread, depth)``, one row per message.
 
     Lines that begin with ``>`` are quotations, more marks are deeper levels. A
-    quoted line belongs to the last earlier message of the conversation that has the
-    same line as its own. A message replies to the one that has most of its quoted
-    lines, counted on the outermost level that has any; the later one wins ties.
+    quoted passage, that is a paragraph or a line of one, belongs to the last earlier
+    message of the conversation that has the same passage as its own, wherever its lines
+    are wrapped. A message replies to the one that has most of its quoted passages,
+    counted on the outermost level that has any; the later one wins ties.
     ``reply_to`` and ``thread`` are turns, of that message and of the first in the
     chain of replies; a message that quotes nothing opens a thread of its own with
     depth 0. Sorted by conversation, thread and turn, every reply follows what it
@@ -179,7 +200,7 @@ def reply_order(
         F.col(text).alias("text"), row_key(*map(F.col, (conversation, turn, role, text))).alias("row"),
     )
     placed = rows.where("conv is not null and turn is not null")
-    counted = linked_lines(placed.select("conv", "turn", "text", "row"))
+    counted = linked_passages(placed.select("conv", "turn", "text", "row"))
     counted = counted.groupBy("row", "level", "source", "reply_to").agg(F.count("*").alias("n"))
     best = counted.groupBy("row").agg(F.max(F.struct(-F.col("level"), "n", "reply_to", "source")).alias("best"))
     chosen = stored(best.select("row", "best.source", "best.reply_to"), "chosen")

@@ -139,17 +139,31 @@ def test_large_frames_and_runs_of_copies(spark, tmp_path):
     assert "Told at length, 3 times." in found["http://near.org/a/b0"]
 
 
+def passages_of(text):
+    """Lines and paragraphs of each level, by joining what no empty line or level parts."""
+    found = {(d, quotes.normalised(x)) for d, x in quotes.levels(text)}
+    rows = [(d, quotes.normalised(x)) for d, x in quotes.levels(text)]
+    for i in range(len(rows)):
+        opens = i == 0 or rows[i - 1][0] != rows[i][0] or not rows[i - 1][1]
+        if rows[i][1] and opens:
+            j = i
+            while j < len(rows) and rows[j][0] == rows[i][0] and rows[j][1]:
+                j += 1
+            found.add((rows[i][0], " ".join(x for _, x in rows[i:j])))
+    return {p for p in found if p[1]}
+
+
 def brute(messages):
     """Reply, thread and depth of each message, one conversation at a time."""
     out = []
     placed = [m for m in messages if m[0] is not None and m[1] is not None]
     own = {}
     for m in placed:
-        own[m[4]] = {quotes.normalised(x) for d, x in quotes.levels(m[3]) if d == 0} - {""}
+        own[m[4]] = {x for d, x in passages_of(m[3]) if d == 0}
     parent = {}
     for conv, turn, _, text, row in placed:
         count = {}
-        for level, line in {(d, quotes.normalised(x)) for d, x in quotes.levels(text) if d}:
+        for level, line in {p for p in passages_of(text) if p[0]}:
             earlier = [m for m in placed if m[0] == conv and m[1] < turn and line and line in own[m[4]]]
             if earlier:
                 last = max(earlier, key=lambda m: (m[1], m[4]))
@@ -196,6 +210,25 @@ def test_reply_order(spark, tmp_path):
     assert quotes.reply_order(chats.limit(0)).count() == 0
 
 
+def test_rewrapped_and_nested_quotations(spark):
+    long = "A long paragraph that one client writes in a single line, of which another makes three lines."
+    words = long.split()
+    wrapped = [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+    rows = [
+        (1, 1, long + "\n\nA second one."),
+        (1, 2, "In between."),
+        (1, 3, "On Monday A wrote:\n" + "\n".join(f"> {x}" for x in wrapped) + "\nI agree."),
+        (1, 4, "\n".join([*(f">> {x}" for x in wrapped[:2] + wrapped[2:]), "> I agree.", "Me too."])),
+        (1, 5, "\n".join(f">> {' '.join(words[i : i + 4])}" for i in range(0, len(words), 4)) + "\nLate."),
+        (1, 6, "> A long paragraph that one client\nOnly a part."),
+    ]
+    chats = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    found = {r["turn"]: r for r in quotes.reply_order(chats).collect()}
+    assert {t: r["reply_to"] for t, r in found.items()} == {1: None, 2: None, 3: 1, 4: 3, 5: 1, 6: None}
+    assert (found[4]["thread"], found[4]["depth"], found[4]["text"]) == (1, 2, "Me too.")
+    assert found[3]["text"] == "I agree." and found[5]["text"] == "Late."
+
+
 def test_chats_without_quotations_stay_as_they_are(spark, sf_dir):
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     found = quotes.reply_order(chats).collect()
