@@ -71,6 +71,25 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="msgrisk-")
 
 
+_scratch: list[str] = []  # paths given out since they were last cleared
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a written table or a stream."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what operators have written below the shared folder; returns how many paths.
+
+    A result is read from such tables until it has been written somewhere itself, so this
+    is for the owner of a session to call, after its results are written and its streams
+    have ended. Only paths given out by this process are deleted.
+    """
+    cleared = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        cleared += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return cleared
