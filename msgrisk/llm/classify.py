@@ -168,8 +168,11 @@ def scored(
     """All rows and columns with a score from 0 to 1 and whether it reaches the threshold.
 
     A null text is scored as an empty one. The model has a fixed size and is broadcast.
+    The names of the new columns are parameters; ones that the table has are an error.
     """
     names = docs.schema.names
+    if taken := {score.lower(), predicted.lower()} & {n.lower() for n in names}:
+        raise ValueError(f"the table has columns of these names already: {sorted(taken)}")
     schema = StructType([
         *docs.schema.fields, StructField(score, DoubleType()), StructField(predicted, IntegerType()),
     ])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from msgrisk import files
 from msgrisk.session import scratch_path
 
 
@@ -25,6 +26,22 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+class Rounds:
+    """Tables that replace each other, round by round; the one before is deleted."""
+
+    def __init__(self, label: str):
+        self.label, self.path = label, None
+
+    def stored(self, frame: DataFrame) -> DataFrame:
+        """Write a round's table. Nothing may read the round before it any more."""
+        spark, path = frame.sparkSession, scratch_path(frame.sparkSession, self.label)
+        frame.write.parquet(path)
+        if self.path is not None:
+            files.remove(spark, self.path)
+        self.path = path
+        return spark.read.schema(frame.schema).parquet(path)
+
+
 def map_rows(
     frame: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]],

@@ -22,6 +22,7 @@ from msgrisk.llm.common import column, in_ranges, map_rows, stored
 
 CAPACITY = 2048  # tokens of a sequence
 END_ID = 0  # follows each document
+OWN = ("id", "row", "piece", "start", "length", "ids_crc32")  # columns of pieces
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it), in order of place
 
@@ -221,12 +222,23 @@ def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
 def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``.
 
-    Takes the rows of ``pieces``; any other columns are carried along. What the plan
+    Takes the rows of ``pieces``; any other columns are carried along, whatever their
+    names but for the two new ones. What the plan
     needs to know is how many pieces each length has: at most ``capacity`` numbers,
     whatever the table. The plan is a list of patterns and how often each is used; a
     piece finds its place by its rank among the pieces of its length. Sequences have
     no gaps, numbers start at 0. An empty table gives an empty result.
     """
+    own = [c for c in rows.columns if c in OWN]
+    more = [c for c in rows.columns if c not in OWN]
+    # Other columns go in one, out of the way of the names that are used here.
+    one = rows.select(*own, F.struct(*[F.col(f"`{c}`") for c in more]).alias("carried")) if more else rows
+    made = _packed(one, capacity)
+    carried = [F.col("carried")[c].alias(c) for c in more]
+    return made.select(*own, *carried, "sequence_id", "offset")
+
+
+def _packed(rows: DataFrame, capacity: int) -> DataFrame:
     rows = stored(rows, "pieces")
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     places = Places(plan(counts, capacity))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from msgrisk.llm.common import column, map_rows, of_key, row_key, stored
+from msgrisk.llm.common import Rounds, column, map_rows, of_key, row_key, stored
 
 BITS = 64
 RADIUS = 3
@@ -202,17 +202,18 @@ def components(edges: DataFrame) -> DataFrame:
     when every link leads from a node to its root. Each round is written to the
     shared folder.
     """
-    edges = stored(edges, "links")
+    rounds = Rounds("links")
+    edges = rounds.stored(edges)
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         known = both.groupBy("a").agg(F.min("b").alias("m"))
         known = known.select("a", F.least("a", "m").alias("m"))
         larger = both.where("b > a").join(known, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(larger.where("a != b").distinct(), "links")
+        edges = rounds.stored(larger.where("a != b").distinct())
         known = edges.groupBy("a").agg(F.min("b").alias("m"))
         smaller = edges.join(known, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(smaller.union(known.select("a", F.col("m").alias("b"))).distinct(), "links")
+        edges = rounds.stored(smaller.union(known.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.count_distinct("a"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before or not now[0]:
             break

@@ -90,3 +90,14 @@ def test_places_are_distinct():
     places = packing.Places([(3, ((5, 2), (4, 1))), (2, ((5, 1),))])
     sequence, offset = places.of(np.full(8, 5), np.arange(8))
     assert len(set(zip(sequence, offset))) == 8 and places.sequences == 5
+
+
+def test_carried_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(i, "some words " * i) for i in range(30)], "doc_id long, text string")
+    rows = packing.pieces(docs, PATH)
+    more = {n: rows["id"] * k for k, n in enumerate(("part", "at", "shift", "rank", "carried", "a.b"), 2)}
+    wide = rows.select("*", *[c.alias(n) for n, c in more.items()])
+    found = packing.packed(wide)
+    assert found.columns == [*wide.columns, "sequence_id", "offset"]
+    for r in found.collect():
+        assert [r[n] for n in more] == [r["id"] * k for k in range(2, 8)]
