@@ -22,6 +22,7 @@ from msgrisk.operators import (
     replies,
     scoring,
     terms,
+    tools,
     workflow,
 )
 from msgrisk.plans import views
@@ -31,6 +32,7 @@ from msgrisk.sources import callbacks as request_source
 from msgrisk.sources import datasets, pagestore, records, sheets
 from msgrisk.sources import pages as page_store
 from msgrisk.streaming import counters, monitor
+from msgrisk.streaming import datasets as stream_datasets
 
 PAIR = ["account_low", "account_high"]
 
@@ -569,6 +571,53 @@ def workflow_result(spark, sf_dir):
     )
 
 
+def workflow_records(spark, sf_dir):
+    """Workflow results written as JSON records and read back, with their time stamps."""
+    rows = workflow.analyze(
+        views.linked_messages(spark, sf_dir), _page_store(spark, sf_dir), picky_analyst, picky_judge
+    )
+    path = scratch_path(spark, "workflow-records")
+    writers.write_workflow_results(rows, path)
+    steps = "array<struct<step: int, name: string, result: string, status: string>>"
+    schema = (
+        f"msg_id bigint, input_text string, workflow_steps {steps}, final_analysis string, "
+        "timestamp timestamp, status string, error string, failed_step int"
+    )
+    back = spark.read.schema(schema).json(path)
+    return back.select(
+        "msg_id", "input_text", F.array_join("workflow_steps.name", ",").alias("steps"), "final_analysis",
+        "status", "error", "failed_step", (F.col("timestamp") <= F.current_timestamp()).alias("stamped"),
+    )
+
+
+def picky_length(texts: list[str]) -> list[dict]:
+    """A user's tool that gives records and refuses some texts."""
+    if any("thth" in t for t in texts):
+        raise ValueError("refused")
+    return [{"n_chars": len(t), "head": t[:10]} for t in texts]
+
+
+def tool_calls(spark, sf_dir):
+    """Each turn asks for tools: an expression, a function of texts, one of records, none."""
+    turns = views.turns(spark, sf_dir).filter(F.col("text").isNotNull())
+    names = ["shout", "reverse", "length", "missing"]
+    call = [F.struct(F.concat(F.lit("c"), F.lit(i)).alias("id"), F.lit(n).alias("name"),
+                     F.create_map(F.lit("text"), F.col("text")).alias("args")) for i, n in enumerate(names)]
+    asked = turns.select("conv_id", "turn", F.array(*call).alias("tool_calls"))
+    made = tools.run_calls(
+        asked,
+        [
+            tools.Tool("shout", native=lambda text: F.concat(text, F.lit("!"))),
+            tools.Tool("reverse", tools.each(lambda t: t[::-1])),
+            tools.Tool("length", picky_length, "n_chars int, head string"),
+        ],
+        ["conv_id", "turn"],
+    )
+    return made.select(
+        "conv_id", "turn", "position", "tool_call_id", "name", F.md5("content").alias("content_md5"), "error"
+    )
+
+
 # -- streams, files and the flagship ------------------------------------------
 
 
@@ -670,6 +719,45 @@ def stream_responses(spark, sf_dir):
     )
 
 
+def rating_by_length(texts: list[str]) -> list[str]:
+    return [json.dumps({"rating": len(t) % 5 + 1, "reasoning": "length", "advice": "look"}) for t in texts]
+
+
+def monitor_alerts(spark, sf_dir):
+    """Admin messages that follow from the monitor's own ratings of the last messages."""
+    events = views.chat_events(spark, sf_dir).select(
+        "from_account", "to_account", F.timestamp_seconds("event_id").alias("event_time"),
+        F.col("event_id").alias("msg_seq"), "kind", "text", "rating", "reasoning", "advice",
+    )
+    out = scratch_path(spark, "monitor-alerts")
+    for path in _arrivals(spark, events, "msg_seq", "monitor-alerts-in"):
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        monitor.monitor(
+            stream, out, f"{out}-progress", rating_by_length, idle_hours=24 * 365, nonce=F.col("msg_seq")
+        ).awaitTermination()
+    return monitor.read_alerts(spark, out).select(F.col("msg_seq").alias("event_id"), "payload")
+
+
+def stream_datasets_scored(spark, sf_dir):
+    """Documents that arrive as CSV datasets in three lots, scored from kept replies."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    source, out = scratch_path(spark, "datasets-in"), scratch_path(spark, "datasets-scored")
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    step = ((most or 0) - (least or 0)) // 3 + 1
+    for lot in range(3):
+        some = docs.filter(F.floor((F.col("doc_id") - F.lit(least)) / step) == lot)
+        some.write.mode("append").options(header="true", **records.CELLS).csv(source)
+        files_ = stream_datasets.stream_datasets(spark, source, files_per_batch=100)
+        stream_datasets.score_stream(
+            files_, length_scorer, "length", out, f"{out}-progress", f"{out}-replies"
+        ).awaitTermination()
+    rows = stream_datasets.read_results(spark, out)
+    return rows.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "model", F.col("rating").cast("double").alias("rating"),
+        F.md5("content").alias("content_md5"),
+    )
+
+
 def stream_eval_summary(spark, sf_dir):
     """All metrics per sheet from counts that three lots of rated rows have added to."""
     items = views.table(spark, sf_dir, "lineitem")
@@ -822,7 +910,8 @@ QUERIES = {
         url_maximal, page_text, page_title, url_page_join, page_store_join, page_fallback, evidence_doc,
         verdict_parse, reply_content, risk_keywords, terms_tagged, fraud_type, rule_rating, link_rating,
         score_batch, replies_kept, score_conversations, workflow_result, workflow_ratings, conversation_tiers,
-        stream_last_messages, stream_notices, stream_responses, stream_alerts, stream_eval_summary, scored_dataset_files,
+        stream_last_messages, stream_notices, stream_responses, stream_alerts, monitor_alerts, stream_datasets_scored, stream_eval_summary,
+        workflow_records, tool_calls, scored_dataset_files,
         rubric_verdict, dataset_source, csv_documents, result_files, label_sheet_source, page_source,
         scored_labels_evaluated, label_sheets_merged,
     )

@@ -743,6 +743,30 @@ SELECT event_id, kind, CASE WHEN kind <> 'after' THEN 'none' WHEN rating >= 4 TH
     "stream_responses": CHAT_SQL["callback_response"],
     "stream_alerts": CHAT_SQL["alert_payload"],
     "stream_eval_summary": RATING_SQL["eval_summary_by_sheet"],
+    "monitor_alerts": f"""WITH {CHATS}, lines AS (
+  SELECT event_id, from_account, to_account, list(from_account || ': ' || text) OVER (
+           PARTITION BY account_low, account_high ORDER BY event_id
+           ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS l
+  FROM keyed WHERE kind = 'after'),
+rated AS (
+  SELECT *, CAST(length(array_to_string(l, chr(10))) % 5 + 1 AS DOUBLE) AS rating,
+         'length' AS reasoning, 'look' AS advice FROM lines)
+SELECT event_id, {_payload()} AS payload FROM rated WHERE rating >= 4""",
+    "stream_datasets_scored": """SELECT doc_id, 'length' AS model,
+       CASE WHEN text <> '' AND length(text) % 7 - 1 > 0
+            THEN CAST(length(text) % 7 - 1 AS DOUBLE) ELSE 0.0::DOUBLE END AS rating,
+       md5(text) AS content_md5 FROM documents""",
+    "workflow_records": SCORE_SQL["workflow_result"].replace("AS failed_step", "AS failed_step, true AS stamped"),
+    "tool_calls": """WITH calls AS (
+  SELECT conv_id, turn, text, unnest([0, 1, 2, 3]) AS position FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CAST(position AS INTEGER) AS position, 'c' || position AS tool_call_id,
+       ['shout', 'reverse', 'length', 'missing'][position + 1] AS name,
+       md5(CASE position WHEN 0 THEN text || '!' WHEN 1 THEN reverse(text)
+           WHEN 2 THEN CASE WHEN NOT contains(text, 'thth') THEN CAST(json_object(
+             'n_chars', length(text), 'head', substr(text, 1, 10)) AS VARCHAR) END END) AS content_md5,
+       CASE WHEN position = 2 AND contains(text, 'thth') THEN 'refused'
+            WHEN position = 3 THEN 'no such tool' END AS error
+FROM calls""",
     "scored_dataset_files": """SELECT source AS dataset, 'rules' AS model, count(*) AS n,
        CAST(sum(n_chars % 5 + 1) AS DOUBLE) AS ratings, CAST(sum(length(text)) AS BIGINT) AS chars
 FROM documents GROUP BY source""",

@@ -154,6 +154,7 @@ def monitor(
     once: bool = True,
     seconds: int = 10,
     buckets: int = BUCKETS,
+    nonce: Column | None = None,
 ) -> StreamingQuery:
     """Write each event with its history, rating and, where one is due, the notice.
 
@@ -164,6 +165,9 @@ def monitor(
     which a micro-batch reads and writes those of its conversations. A micro-batch holds the rows of
     a conversation in one task, so the source should limit its bytes. With ``once`` the
     query takes what is there and ends. ``read_results`` reads what has been written.
+    The admin messages that its ratings call for are written too, with each micro-batch
+    (``stream_alerts``, ``read_alerts``); their ``nonce`` is a hash of the event, so a
+    batch that is run again writes the same messages.
     """
     if count < 1:
         raise ValueError("count must be at least 1")
@@ -185,7 +189,11 @@ def monitor(
         made = step(known, state.before(number, known), by, scorer, count, staged)
         made.write.parquet(f"{staged}/rows")
         rows = spark.read.schema(made.schema).parquet(f"{staged}/rows")
-        shown(rows).drop("_state").write.mode("overwrite").parquet(f"{path}/rows/step={number}")
+        done = shown(rows).drop("_state")
+        done.write.mode("overwrite").parquet(f"{path}/rows/step={number}")
+        own = F.pmod(F.xxhash64(*by, *ORDER), F.lit(10_000_000)) + 1
+        sent = callbacks.alerts(done, own if nonce is None else nonce)
+        sent.write.mode("overwrite").parquet(f"{path}/alerts/step={number}")
         state.commit(number, next_state(rows, by))
         files.remove(spark, staged)
 
@@ -205,6 +213,17 @@ def alerts(monitored: DataFrame) -> DataFrame:
     return callbacks.alerts(monitored)
 
 
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """All admin messages that the monitor has written so far: its rows with ``payload``."""
+    return spark.read.option("basePath", f"{path}/alerts").parquet(f"{path}/alerts/step=*").drop("step")
+
+
+def stream_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The admin messages as a stream, for a delivery service; needs a monitor that has run."""
+    schema = spark.read.parquet(f"{path}/alerts/step=*").schema
+    return spark.readStream.schema(schema).option("basePath", f"{path}/alerts").parquet(f"{path}/alerts/step=*")
+
+
 def rejections(checked: DataFrame) -> DataFrame:
     """Responses to the requests that never reach the monitor."""
     none = F.lit(None).cast("string")

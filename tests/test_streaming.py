@@ -162,3 +162,22 @@ def test_datasets_are_scored_as_they_arrive(spark, tmp_path):
     rows = {r["content"]: r for r in datasets.read_results(spark, out).collect()}
     assert rows["ab"]["id"] == "78" and rows["你好吗呢"]["note"] == "备注"
     assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+
+
+def test_alerts_follow_from_the_monitors_ratings(spark, tmp_path):
+    def scorer(texts):
+        return [json.dumps({"rating": 5 if "money" in t else 1, "reasoning": "r", "advice": "a"}) for t in texts]
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    sent = []
+    for lot, text in enumerate(["money", "hello", "more money"]):
+        write_part(spark, [(f"k{lot}", lot, "after", "x", text, None)], source)
+        run(spark, source, out, scorer)
+        if lot == 0:
+            delivered = str(tmp_path / "delivered")
+        stream = monitor.stream_alerts(spark, out).select("to_account", "payload")
+        assert monitor.append(stream, delivered, delivered + "-p").awaitTermination(60)
+        sent = spark.read.parquet(delivered).collect()
+    assert sorted(r["to_account"] for r in sent) == ["k-k0", "k-k2"]
+    kept = {r["payload"] for r in monitor.read_alerts(spark, out).collect()}
+    assert kept == {r["payload"] for r in sent} and len(kept) == 2
