@@ -111,6 +111,26 @@ QUERIES = {
     )
 }
 
+
+
+def _crc32_sql(hexed: str) -> str:
+    """SQL for the CRC-32 of bytes in hexadecimal digits, four bits at a time."""
+    table = []
+    for start in range(16):
+        value = start
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(f"{value}::BIGINT")
+    # Of each byte the lower four bits come first.
+    digit = f"{hexed}[(i // 2) * 2 + 2 - i % 2]"
+    digits = f"list_transform(range(length({hexed})), lambda i: (instr('0123456789ABCDEF', {digit}) - 1)::BIGINT)"
+    step = f"xor(c >> 4, [{', '.join(table)}][(xor(c, n) & 15) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda c, n: {step}), 4294967295)"
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLE = {
     "op3_url_filter": r"""
         WITH parts AS (
@@ -165,4 +185,39 @@ ORACLE = {
                doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM texts
     """,
+    "op12_resampling": f"""
+        WITH words AS (
+            SELECT doc_id, true AS own, {_WORDS} AS w FROM documents
+            UNION ALL SELECT NULL, false, {_WORDS} FROM benchmark
+        ), spans AS (
+            SELECT doc_id, own, unnest(list_concat(w,
+                list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words
+        ), counted AS (SELECT doc_id, own, f, count(*) AS n FROM spans GROUP BY ALL
+        ), bucketed AS (
+            SELECT f, {_crc32_sql("h")} % 10000 AS b FROM (SELECT DISTINCT f, hex(f) AS h FROM counted)
+        ), features AS (SELECT doc_id, own, b, n FROM counted JOIN bucketed USING (f)
+        ), totals AS (
+            SELECT coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s_all,
+                   coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t_all FROM features
+        ), gains AS (
+            SELECT b, floor(1000 * ln((coalesce(sum(n) FILTER (NOT own), 0) + 1)::DOUBLE * (s_all + 10000)
+                              / ((coalesce(sum(n) FILTER (own), 0) + 1)::DOUBLE * (t_all + 10000)))) AS gain
+            FROM features, totals GROUP BY b, s_all, t_all
+        ), weights AS (
+            SELECT doc_id, sum(n) AS n_features, floor(sum(n * gain) / sum(n)) AS weight
+            FROM features JOIN gains USING (b) WHERE own GROUP BY doc_id
+        ), scored AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+                   coalesce(weight, 0)::BIGINT AS weight,
+                   coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln(
+                       (('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT
+                       AS score
+            FROM words LEFT JOIN weights USING (doc_id) WHERE own
+        ), ranked AS (
+            SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able
+            FROM scored WHERE n_words >= 20
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * able // 100 THEN rank END AS rank
+        FROM scored LEFT JOIN ranked USING (doc_id)
+    """,
 }
