@@ -61,19 +61,20 @@ def read_replies(spark: SparkSession, path: str, model: str | None = None) -> Da
 def ask(
     texts: DataFrame, scorer: Scorer, path: str, model: str, content: str = "content",
     accept: Callable[[str | None], bool] = readable_rating, attempts: int = ATTEMPTS,
-    texts_per_task: int = TEXTS_PER_TASK, again: bool = False,
+    texts_per_task: int = TEXTS_PER_TASK, again: bool = False, empty: bool = False,
 ) -> int:
     """Ask about the texts that have no reply yet, and keep the replies.
 
-    Returns how many texts were asked about. Empty and missing texts are not. Texts
-    whose replies were not accepted in ``attempts`` attempts count as answered, as a
+    Returns how many texts were asked about. Missing texts are not, nor are empty ones
+    unless ``empty`` is set. Texts whose replies were not accepted in ``attempts`` attempts count as answered, as a
     batch run rates them 0; ``again`` asks about those once more. Pending texts are
     dealt to tasks of about ``texts_per_task``, whatever their number: that is the most
     a lost task asks for twice. Many tasks run as several jobs, of ``TASKS_PER_JOB`` each.
     """
     spark = texts.sparkSession
     text = F.col(content).cast("string")
-    pending = texts.select(text.alias("_text")).filter(F.col("_text") != "").distinct()
+    some = F.col("_text").isNotNull() if empty else F.col("_text") != ""
+    pending = texts.select(text.alias("_text")).filter(some).distinct()
     pending = pending.withColumns(text_key(F.col("_text")))
     known = read_replies(spark, path, model)
     if again:
@@ -113,6 +114,24 @@ def _keep(
     rows.write.mode("append").options(**_BY_TASK).parquet(path)
 
 
+def with_kept_reply(
+    df: DataFrame, scorer: Scorer, path: str, model: str, text: str, into: str,
+    accept: Callable[[str | None], bool] = readable_rating, attempts: int = ATTEMPTS, **options,
+) -> DataFrame:
+    """Add ``into``: struct ``reply, attempts, error`` as ``scoring.reply_column`` gives it.
+
+    Asks for what the table at ``path`` lacks, then joins. A null text has a null reply.
+    """
+    ask(df, scorer, path, model, text, accept, attempts, empty=True, **options)
+    known = read_replies(df.sparkSession, path, model)
+    known = known.select(*KEY, F.struct("reply", "attempts", "error").alias("_found"))
+    key = {n: F.when(F.col(text).isNotNull(), c) for n, c in text_key(F.col(text)).items()}
+    joined = df.withColumns(key).join(known, KEY, "left")
+    parts = ("reply", F.coalesce("_found.attempts", F.lit(0)).alias("attempts"), "error")
+    found = [F.col(f"_found.{p}").alias(p) if isinstance(p, str) else p for p in parts]
+    return joined.withColumn(into, F.struct(*found)).drop(*KEY, "_found")
+
+
 def score_kept(
     df: DataFrame, scorer: Scorer, path: str, model: str, content: str = "content", **options
 ) -> DataFrame:

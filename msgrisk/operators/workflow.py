@@ -10,18 +10,29 @@ from pyspark.sql import functions as F
 
 from msgrisk import rubric
 from msgrisk.functions import urls, verdicts
-from msgrisk.operators import evidence, scoring
+from msgrisk.operators import evidence, replies, scoring
 from msgrisk.operators.pages import RECORD, attach_pages, link_state
 
 
+def _asked(
+    df: DataFrame, scorer: scoring.Scorer, text: str, into: str, accept, attempts: int,
+    kept: str | None,
+) -> DataFrame:
+    """Add a scorer's replies, from the table of replies at ``kept`` if there is one."""
+    if kept is not None:
+        return replies.with_kept_reply(df, scorer, kept, into, text, into, accept, attempts)
+    return df.withColumn(into, scoring.reply_column(F.col(text), scorer, accept=accept, attempts=attempts))
+
+
 def first_pass(
-    df: DataFrame, analyst: scoring.Scorer, text: str = "text", attempts: int = 1
-) -> DataFrame:
-    """Add ``first``: the reply of the first pass, or why it failed."""
-    return df.withColumn(
-        "first",
-        scoring.reply_column(F.col(text), analyst, accept=scoring.any_text, attempts=attempts),
-    )
+    df: DataFrame, analyst: scoring.Scorer, text: str = "text", attempts: int = 1,
+    kept: str | None = None,
+) -> DataFrame:
+    """Add ``first``: the reply of the first pass, or why it failed.
+
+    With ``kept``, the path of a table of replies, a text that has one is not asked about.
+    """
+    return _asked(df, analyst, text, "first", scoring.any_text, attempts, kept)
 
 
 def with_links(
@@ -32,15 +43,12 @@ def with_links(
 
 def second_pass(
     df: DataFrame, judge: scoring.Scorer, text: str = "text", attempts: int = 1,
-    accept=scoring.any_text,
+    accept=scoring.any_text, kept: str | None = None,
 ) -> DataFrame:
     """Add ``second``, asked only where the first pass gave an answer."""
     document = evidence.evidence_document(F.col(text), F.col("first.reply"), F.col("pages"))
     asked = F.when(_answered("first"), document)
-    return df.withColumn("evidence", asked).withColumn(
-        "second",
-        scoring.reply_column(F.col("evidence"), judge, accept=accept, attempts=attempts),
-    )
+    return _asked(df.withColumn("evidence", asked), judge, "evidence", "second", accept, attempts, kept)
 
 
 def _answered(stage: str) -> Column:
@@ -100,14 +108,19 @@ def analyze(
     text: str = "text",
     pattern: str = rubric.URL_FULL,
     timestamp: Column | None = None,
+    kept: str | None = None,
 ) -> DataFrame:
-    """Workflow result of each message. ``pages`` is unique by key."""
+    """Workflow result of each message. ``pages`` is unique by key.
+
+    With ``kept``, a path, replies of both passes are kept there: a run that is cut off, or
+    comes later with more messages, asks about no text or evidence that has a reply.
+    """
     return (
         messages.select(message, text)
         .transform(with_links, text, pattern)
         .transform(attach_pages, pages, message)
-        .transform(first_pass, analyst, text)
-        .transform(second_pass, judge, text)
+        .transform(first_pass, analyst, text, 1, kept)
+        .transform(second_pass, judge, text, 1, scoring.any_text, kept)
         .transform(as_result, text, timestamp)
     )
 
@@ -121,18 +134,19 @@ def rate(
     text: str = "text",
     pattern: str = rubric.URL_FULL,
     attempts: int = scoring.ATTEMPTS,
+    kept: str | None = None,
 ) -> DataFrame:
     """``message, text, rating, final_analysis, error``: datasets through the workflow.
 
     Each stage asks again for failed rows only, up to ``attempts`` times; the second
     has failed as long as its reply holds no rating. A row that fails in the end,
-    and one without text, is rated 0.
+    and one without text, is rated 0. ``kept`` is as for ``analyze``.
     """
     asked = messages.select(message, text).transform(with_links, text, pattern)
     rows = (
         asked.transform(attach_pages, pages, message)
-        .transform(first_pass, analyst, text, attempts)
-        .transform(second_pass, judge, text, attempts, scoring.readable_rating)
+        .transform(first_pass, analyst, text, attempts, kept)
+        .transform(second_pass, judge, text, attempts, scoring.readable_rating, kept)
     )
     verdict = verdicts.parse_verdict(F.col("second.reply"))
     return rows.withColumn("_verdict", verdict).select(

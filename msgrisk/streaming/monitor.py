@@ -19,6 +19,7 @@ from msgrisk import files, schemas
 from msgrisk.functions import chat, grading, verdicts
 from msgrisk.operators import callbacks
 from msgrisk.operators.answers import PAIR
+from msgrisk.operators.replies import with_kept_reply
 from msgrisk.operators.scoring import Scorer, any_text, reply_column
 from msgrisk.session import scratch_path
 from msgrisk.streaming.state import BUCKETS, KeyedState
@@ -48,15 +49,23 @@ def with_history(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
     return rows.withColumn("last_messages", F.when(F.col("_line"), kept)).drop("_line", "_text", "_number")
 
 
-def with_verdicts(rows: DataFrame, scorer: Scorer, path: str) -> DataFrame:
+def with_verdicts(
+    rows: DataFrame, scorer: Scorer, path: str, kept: str | None = None
+) -> DataFrame:
     """Replace ``rating, reasoning, advice`` by what the scorer says of each history.
 
     ``error`` and ``error_message`` tell of a scorer that failed, as in batch scoring;
     such an event has no rating. Histories go to the scorer in Arrow
     batches. The scored rows are written to ``path``, as a scorer must not be asked twice.
+    With a table of replies, ``kept``, it is not asked about a history that has one either.
     """
     snippet = F.when(F.size("last_messages") > 0, F.array_join("last_messages", "\n"))
-    asked = rows.withColumn("_scored", reply_column(snippet, scorer, accept=any_text, attempts=1))
+    if kept is None:
+        asked = rows.withColumn("_scored", reply_column(snippet, scorer, accept=any_text, attempts=1))
+    else:
+        shown_to = rows.withColumn("_snippet", snippet)
+        asked = with_kept_reply(shown_to, scorer, kept, "monitor", "_snippet", "_scored", any_text, 1)
+        asked = asked.select(*rows.columns, "_scored")
     asked.write.parquet(path)
     scored = rows.sparkSession.read.schema(asked.schema).parquet(path)
     reply = verdicts.strip_fence(F.col("_scored.reply"))
@@ -121,7 +130,7 @@ def shown(rows: DataFrame) -> DataFrame:
 
 def step(
     events: DataFrame, state: DataFrame, keys: list[str], scorer: Scorer | None, count: int,
-    staged: str,
+    staged: str, kept: str | None = None,
 ) -> DataFrame:
     """One micro-batch with its history, ratings and notices, and ``_state`` beside it.
 
@@ -136,7 +145,7 @@ def step(
     rows = events.join(held, keys, "left").withColumn("_state", F.coalesce("_state", fresh))
     rows = with_history(rows, keys, count)
     if scorer is not None:
-        rows = with_verdicts(rows, scorer, f"{staged}/scored")
+        rows = with_verdicts(rows, scorer, f"{staged}/scored", kept)
     else:
         none = F.lit(None).cast("string")
         rows = rows.withColumns({"error": none, "error_message": none})
@@ -155,6 +164,7 @@ def monitor(
     seconds: int = 10,
     buckets: int = BUCKETS,
     nonce: Column | None = None,
+    replies: str | None = None,
 ) -> StreamingQuery:
     """Write each event with its history, rating and, where one is due, the notice.
 
@@ -167,7 +177,8 @@ def monitor(
     query takes what is there and ends. ``read_results`` reads what has been written.
     The admin messages that its ratings call for are written too, with each micro-batch
     (``stream_alerts``, ``read_alerts``); their ``nonce`` is a hash of the event, so a
-    batch that is run again writes the same messages.
+    batch that is run again writes the same messages. With ``replies``, the path of a table
+    of replies, such a batch asks the scorer nothing that has been answered.
     """
     if count < 1:
         raise ValueError("count must be at least 1")
@@ -186,7 +197,7 @@ def monitor(
             StructType.fromDDL(STATE), "seen", timedelta(hours=idle_hours), buckets,
         )
         staged = scratch_path(spark, "monitor-step")
-        made = step(known, state.before(number, known), by, scorer, count, staged)
+        made = step(known, state.before(number, known), by, scorer, count, staged, replies)
         made.write.parquet(f"{staged}/rows")
         rows = spark.read.schema(made.schema).parquet(f"{staged}/rows")
         done = shown(rows).drop("_state")

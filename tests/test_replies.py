@@ -1,12 +1,16 @@
 """Kept replies: no text is asked about twice, whatever cuts a job off."""
 
+import json
 import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
+from test_streaming import EVENTS, write_part
 
-from msgrisk.operators import replies, scoring
-from msgrisk.streaming import datasets
+from msgrisk.operators import replies, scoring, workflow
+from msgrisk.operators.pages import page_records, resolve_sources
+from msgrisk.streaming import datasets, monitor
 
 
 class Asked:
@@ -21,7 +25,7 @@ class Asked:
                 time.sleep(3)  # others end meanwhile
                 raise SystemExit("the worker is lost")
             with open(f"{folder}/{os.getpid()}", "a") as file:
-                file.writelines(f"{t}\n" for t in texts)
+                file.writelines(json.dumps(t) + "\n" for t in texts)
             return [f'{{"rating": {len(t) % 5}}}' for t in texts]
 
         self.folder, self.scorer = folder, scorer
@@ -30,7 +34,7 @@ class Asked:
         found = []
         for name in os.listdir(self.folder):
             with open(f"{self.folder}/{name}") as file:
-                found += file.read().splitlines()
+                found += map(json.loads, file)
         return found
 
 
@@ -104,6 +108,34 @@ def test_models_and_failures(spark, tmp_path):
     assert replies.read_replies(spark, str(tmp_path / "few")).count() == 4
 
 
+def test_workflow_and_monitor_keep_replies(spark, tmp_path):
+    first, second = Asked(tmp_path / "one"), Asked(tmp_path / "two")
+    messages = spark.createDataFrame([(1, "see a.com"), (2, "see a.com"), (3, ""), (4, None)], "msg_id int, text string")
+    pages = resolve_sources([page_records(spark.createDataFrame([("a.com", "<p>x</p>")], "url string, html string"), "s")])
+    args = (messages, pages, first.scorer, second.scorer)
+    when = F.lit("2020-01-01").cast("timestamp")
+    kept = str(tmp_path / "kept")
+    plain = sorted(workflow.analyze(*args, timestamp=when).collect())
+    asked = len(first.texts()), len(second.texts())
+    for more in ((1, 2), (0, 0)):  # texts "see a.com" and ""; nothing the second time
+        before = len(first.texts()), len(second.texts())
+        got = workflow.analyze(*args, timestamp=when, kept=kept).orderBy("msg_id").collect()
+        assert got == plain  # sorting repeats the plan, but no question
+        assert len(first.texts()) - before[0] == (2 if more[0] else 0)
+        assert len(second.texts()) - before[1] == (2 if more[1] else 0)
+    assert asked == (3, 3)
+
+    source, out, judge = str(tmp_path / "in"), str(tmp_path / "out"), Asked(tmp_path / "judge")
+    write_part(spark, [("p", 1, "after", "x", "hello", None), ("p", 2, "after", "x", "bye", None)], source)
+    for lost in ("", "-again"):
+        stream = spark.readStream.schema(EVENTS).parquet(source)
+        query = monitor.monitor(stream, out + lost, out + lost + "-p", judge.scorer, replies=kept)
+        assert query.awaitTermination(60)
+    assert len(judge.texts()) == 2  # two histories, each asked about once
+    rows = [monitor.read_results(spark, out + lost).orderBy("msg_seq").collect() for lost in ("", "-again")]
+    assert rows[0] == rows[1] and rows[0][0]["rating"] is not None
+
+
 def test_stream_asks_once(spark, tmp_path):
     source, out, asked = tmp_path / "in", str(tmp_path / "out"), Asked(tmp_path / "asked")
     source.mkdir()
