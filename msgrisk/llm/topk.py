@@ -18,6 +18,7 @@ LEAF = 128  # vectors in a leaf
 SHARD = 8192  # vectors in a shard, about
 BLOCK = 512  # queries for which bounds are computed at once
 SAMPLE = 50_000  # vectors that the shards' borders are learned from, at most
+BOXES = 64 << 20  # bytes of the regions' bounding boxes, at most
 EXACT = 2.0**53
 
 
@@ -212,10 +213,13 @@ def top_k(
     as filled up with zeros. Repeated candidates count each; of a repeated query the
     smallest vector asks.
 
-    Vectors are dealt to shards by a coarse KD split learned on a bounded sample, and
-    shards above their size (copies of one vector, say) are dealt further by id. Each
-    query first visits one shard in full. The k-th score it has then goes along to
-    all other shards whose box can hold a better one; trees prune by it.
+    Vectors are dealt to regions by a coarse KD split learned on a bounded sample, and
+    regions above the size of a shard (copies of one vector, say) to several shards by id.
+    Each query first visits one shard in full. The k-th score it has then goes along to
+    all other shards whose region's box can hold a better one; trees prune by it. There
+    are as many regions as shards, but no more than the sample can part and than have
+    boxes of ``BOXES`` bytes together, which all tasks get; regions beyond that have more
+    shards each.
     """
     rows = vectors.select(
         F.col(id_column).cast("long").alias("id"), whole_numbers(F.col(vector_column)).alias("vector"),
@@ -226,6 +230,7 @@ def top_k(
     if not count or not size:
         size = 1
     depth = max(0, int(np.ceil(np.log2(max(1, count / SHARD)))))
+    depth = min(depth, int(np.log2(SAMPLE)), max(0, int(np.log2(BOXES / (16 * size)))))
     borders = _borders(rows, size, depth)
     dealt = _regions(rows, borders, size)
     in_region = {r["region"]: r["count"] for r in dealt.groupBy("region").count().collect()}
@@ -246,7 +251,11 @@ def top_k(
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     kth = kth.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("least")).alias("least"))
 
-    others = _promising(queries.join(kth, "id", "left"), _boxes(dealt, size), size)
+    found = _promising(queries.join(kth, "id", "left"), _boxes(dealt, size), size)
+    piece = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece")
+    others = found.join(F.broadcast(split), "region").select("*", piece)
+    others = others.withColumn("shard", F.xxhash64("region", "piece")).where("shard != home")
+    others = others.select("shard", F.lit(True).alias("asks"), "id", "vector", "least")
     rest = _visit(own.unionByName(others), k, size)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(best))
@@ -259,23 +268,23 @@ def _visit(rows: DataFrame, k: int, size: int) -> DataFrame:
 
 
 def _boxes(dealt: DataFrame, size: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """The bounding box of each shard: one row for some thousand vectors."""
+    """The bounding box of each region; their number is bounded."""
     sides = [
         f(F.coalesce(F.get("vector", F.lit(i)), F.lit(0))).alias(f"{n}{i}")
         for i in range(size) for n, f in (("l", F.min), ("h", F.max))
     ]
-    boxes = dealt.groupBy("shard").agg(*sides).collect()
+    boxes = dealt.groupBy("region").agg(*sides).collect()
     return [
-        (r["shard"], *(np.array([float(r[f"{n}{i}"]) for i in range(size)]) for n in "lh")) for r in boxes
+        (r["region"], *(np.array([float(r[f"{n}{i}"]) for i in range(size)]) for n in "lh")) for r in boxes
     ]
 
 
 def _promising(queries: DataFrame, boxes: list, size: int) -> DataFrame:
-    """Queries with each shard, other than their own, that can hold a score worth having."""
+    """Queries with each region that can hold a score worth having."""
     shared = queries.sparkSession.sparkContext.broadcast(boxes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = np.array([b[0] for b in shared.value], np.int64)
+        regions = np.array([b[0] for b in shared.value], np.int64)
         low = np.array([b[1] for b in shared.value]).reshape(-1, size)
         high = np.array([b[2] for b in shared.value]).reshape(-1, size)
         for batch in batches:
@@ -285,16 +294,11 @@ def _promising(queries: DataFrame, boxes: list, size: int) -> DataFrame:
                 bounds = np.maximum(rows, 0) @ high.T + np.minimum(rows, 0) @ low.T
                 bounds += np.abs(bounds) * 1e-9 + 1  # beyond rounding
                 least = part.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
-                good = bounds >= np.nan_to_num(least, nan=-np.inf)[:, None]
-                good &= shards[None, :] != part.column(2).to_numpy()[:, None]
-                at, to = np.nonzero(good)
+                at, to = np.nonzero(bounds >= np.nan_to_num(least, nan=-np.inf)[:, None])
                 taken = part.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shards[to]), *(taken.column(i) for i in (0, 1, 3))],
-                    names=["shard", "id", "vector", "least"],
+                    [pa.array(regions[to]), *taken.columns], names=["region", "id", "vector", "home", "least"]
                 )
 
-    asked = queries.select("id", "vector", "shard", F.col("least").cast("double").alias("least"))
-    schema = StructType([StructField("shard", LongType()), *(asked.schema[n] for n in ("id", "vector", "least"))])
-    found = asked.mapInArrow(run, schema)
-    return found.withColumn("asks", F.lit(True)).select("shard", "asks", "id", "vector", "least")
+    asked = queries.select("id", "vector", F.col("shard").alias("home"), F.col("least").cast("double").alias("least"))
+    return asked.mapInArrow(run, StructType([StructField("region", LongType()), *asked.schema.fields]))

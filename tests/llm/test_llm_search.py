@@ -80,9 +80,10 @@ def best_of(rows, ask, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [16, 8192])
-def test_top_k(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard,boxes", [(16, 64 << 20), (16, 300), (8192, 64 << 20)])
+def test_top_k(spark, monkeypatch, shard, boxes):
     monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "BOXES", boxes)
     monkeypatch.setattr(topk, "LEAF", 4)
     dice = random.Random(4)
     rows = [(i, [dice.choice([-1.5, 0.25, 3.0]) + dice.random() for _ in range(4)]) for i in range(300)]
