@@ -17,10 +17,11 @@ from pyspark.sql.types import StructType
 
 from msgrisk import files, schemas
 from msgrisk.functions import chat, grading, verdicts
-from msgrisk.operators import callbacks
+from msgrisk.operators import callbacks, splitting
 from msgrisk.operators.answers import PAIR
 from msgrisk.operators.replies import with_kept_reply
 from msgrisk.operators.scoring import Scorer, any_text, reply_column
+from msgrisk.operators.splitting import Pieces
 from msgrisk.session import scratch_path
 from msgrisk.streaming.state import BUCKETS, KeyedState
 
@@ -29,24 +30,30 @@ EVENT = [
     "rating", "reasoning", "advice",
 ]
 ORDER = ["event_time", "msg_seq"]
+AT = "_at"  # both as one
 STATE = "lines array<string>, started boolean, due string, seen timestamp"
 
 
-def with_history(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
+def with_history(pieces: Pieces, keys: list[str], count: int) -> Pieces:
     """Add ``last_messages`` to the after-send events with text, from rows and state."""
     said = F.coalesce((F.col("kind") == "after") & F.col("text").isNotNull(), F.lit(False))
-    window = Window.partitionBy(*keys).orderBy(*ORDER)
+    window = Window.partitionBy(*keys, "_piece").orderBy(AT)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     opens = ~(F.coalesce(F.max(said).over(before), F.lit(False)) | F.col("_state.started"))
+    rows = splitting.with_carry(pieces, keys, AT, 1, where=said)
     rows = rows.withColumn("_line", said & ~((F.col("text") == "") & opens))
+    rows = rows.filter(~F.col("_carried")).drop("_carried")
+    rows = splitting.with_carry(Pieces(rows, pieces.edges), keys, AT, count - 1, where=F.col("_line"))
     line = F.when(F.col("_line"), chat.message_line(F.col("from_account"), F.col("text")))
     # Numbered lines bound the frame, whatever lies between them.
     rows = rows.withColumns({"_text": line, "_number": F.count_if("_line").over(window)})
-    near = Window.partitionBy(*keys).orderBy("_number").rangeBetween(-(count - 1), 0)
+    near = Window.partitionBy(*keys, "_piece").orderBy("_number").rangeBetween(-(count - 1), 0)
     own = F.collect_list("_text").over(near)
+    # Where a piece is handed fewer lines than fit, there were none but those of the state.
     both = F.concat("_state.lines", own)
     kept = F.slice(both, F.greatest(F.lit(1), F.size(both) - (count - 1)), F.lit(count))
-    return rows.withColumn("last_messages", F.when(F.col("_line"), kept)).drop("_line", "_text", "_number")
+    rows = rows.withColumn("last_messages", F.when(F.col("_line"), kept)).filter(~F.col("_carried"))
+    return Pieces(rows.drop("_line", "_text", "_number", "_carried"), pieces.edges)
 
 
 def with_verdicts(
@@ -88,12 +95,15 @@ def _matters() -> Column:
     return (F.col("kind") == "before") | rated
 
 
-def with_notices(rows: DataFrame, keys: list[str]) -> DataFrame:
+def with_notices(pieces: Pieces, keys: list[str]) -> DataFrame:
     """Add ``notice`` to the before-send events that must show one."""
-    before = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    rows = splitting.with_carry(pieces, keys, AT, 1, where=_matters())
+    window = Window.partitionBy(*keys, "_piece").orderBy(AT)
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
     previous = F.last(F.when(_matters(), F.struct(_due().alias("due"))), ignorenulls=True).over(before)
     due = F.when(previous.isNull(), F.col("_state.due")).otherwise(previous["due"])
-    return rows.withColumn("notice", F.when(F.col("kind") == "before", due))
+    rows = rows.withColumn("notice", F.when(F.col("kind") == "before", due))
+    return rows.filter(~F.col("_carried")).drop("_carried", "_piece", "_continues", AT)
 
 
 def next_state(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -134,7 +144,8 @@ def step(
 ) -> DataFrame:
     """One micro-batch with its history, ratings and notices, and ``_state`` beside it.
 
-    A scorer's replies are kept below ``staged``.
+    A scorer's replies are kept below ``staged``. Of a large micro-batch the large
+    conversations are cut into pieces (``operators.splitting``).
     """
     held = state.select(*keys, F.struct("lines", "started", "due", "seen").alias("_state"))
     none = F.array().cast("array<string>")
@@ -142,14 +153,16 @@ def step(
         none.alias("lines"), F.lit(False).alias("started"), F.lit(None).cast("string").alias("due"),
         F.lit(None).cast("timestamp").alias("seen"),
     )
-    rows = events.join(held, keys, "left").withColumn("_state", F.coalesce("_state", fresh))
-    rows = with_history(rows, keys, count)
+    pieces = splitting.cut(events.withColumn(AT, F.struct(*ORDER)), keys, AT)
+    rows = pieces.rows.join(held, keys, "left").withColumn("_state", F.coalesce("_state", fresh))
+    rows = rows.select(*pieces.rows.columns, "_state")
+    rows = with_history(Pieces(rows, pieces.edges), keys, count).rows
     if scorer is not None:
         rows = with_verdicts(rows, scorer, f"{staged}/scored", kept)
     else:
         none = F.lit(None).cast("string")
         rows = rows.withColumns({"error": none, "error_message": none})
-    return with_notices(rows, keys)
+    return with_notices(Pieces(rows, pieces.edges), keys)
 
 
 def monitor(
@@ -172,9 +185,9 @@ def monitor(
     pairs, the columns ``keys`` that tell them apart. Without a scorer the ratings in
     the input count. State is ``count`` lines and one notice per conversation and goes
     ``idle_hours`` after the last event, by event time; it is dealt to ``buckets``, of
-    which a micro-batch reads and writes those of its conversations. A micro-batch holds the rows of
-    a conversation in one task, so the source should limit its bytes. With ``once`` the
-    query takes what is there and ends. ``read_results`` reads what has been written.
+    which a micro-batch reads and writes those of its conversations. A micro-batch is
+    read from its source once and written below the shared folder, so the source should
+    limit its bytes. With ``once`` the query takes what is there and ends. ``read_results`` reads what has been written.
     The admin messages that its ratings call for are written too, with each micro-batch
     (``stream_alerts``, ``read_alerts``); their ``nonce`` is a hash of the event, so a
     batch that is run again writes the same messages. With ``replies``, the path of a table
@@ -197,6 +210,8 @@ def monitor(
             StructType.fromDDL(STATE), "seen", timedelta(hours=idle_hours), buckets,
         )
         staged = scratch_path(spark, "monitor-step")
+        known.write.parquet(f"{staged}/events")
+        known = spark.read.schema(known.schema).parquet(f"{staged}/events")
         made = step(known, state.before(number, known), by, scorer, count, staged, replies)
         made.write.parquet(f"{staged}/rows")
         rows = spark.read.schema(made.schema).parquet(f"{staged}/rows")

@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from test_chat import history_model, notice_model, random_events
 
 from msgrisk.operators import callbacks as ops
+from msgrisk.operators import splitting
 from msgrisk.sources import callbacks
 from msgrisk.streaming import datasets, monitor
 
@@ -40,7 +42,11 @@ def run(spark, path, out, scorer=None):
     return monitor.read_results(spark, out)
 
 
-def test_stream_equals_a_walk_over_batches_and_a_restart(spark, tmp_path):
+@pytest.mark.parametrize("cut", [False, True])
+def test_stream_equals_a_walk_over_batches_and_a_restart(spark, tmp_path, monkeypatch, cut):
+    if cut:  # the hot conversation is cut into pieces in each micro-batch
+        monkeypatch.setattr(splitting, "TABLE_BYTES", 0)
+        monkeypatch.setattr(splitting, "ROWS", 15)
     rows = [r for r in random_events(600, seed=21)]
     rows = [(k, s, kind, "x", t, rating) for k, s, kind, _, t, rating in rows]
     rows.sort(key=lambda r: r[1])
