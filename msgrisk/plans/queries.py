@@ -797,15 +797,14 @@ def scored_dataset_files(spark, sf_dir):
 
 
 def result_files(spark, sf_dir):
-    """Rated documents written as result files of a model, twice, and read back."""
+    """Rated documents written as result files, read back from a writer that was cut off."""
     docs = views.table(spark, sf_dir, "documents")
     folder = scratch_path(spark, "result-files")
     rated = docs.select(
         F.col("source").alias("sheet"), F.col("doc_id").alias("position"), F.col("text").alias("content"),
         (F.col("n_chars") % 6).cast("double").alias("rating"),
     )
-    results.write_results(rated.withColumn("rating", F.lit(0.0)), folder, "m.1")
-    results.write_results(rated, folder, "m.1")
+    results.stage_results(rated, folder, "m.1")
     back = datasets.read_model_output(spark, folder, "m.1")
     return back.select(
         "sheet", "model", F.md5("content").alias("content_md5"), "rating",

@@ -37,6 +37,18 @@ def write_results(
     must have no slash in it; rows without a sheet are an error. With ``rows_per_part``
     parts have about that many rows, else Spark decides. One writer at a time.
     """
+    stage_results(df, folder, model, sheet, position, rows_per_part)
+    finish(df.sparkSession, folder)
+
+
+def stage_results(
+    df: DataFrame, folder: str, model: str, sheet: str = "sheet", position: str = "position",
+    rows_per_part: int | None = None,
+) -> None:
+    """``write_results`` up to the moment from which on the results count.
+
+    Readers see them where they lie; ``finish`` or the next writer moves them.
+    """
     spark = df.sparkSession
     finish(spark, folder)
     name = F.col(sheet).cast("string")
@@ -64,7 +76,6 @@ def write_results(
     for result in {t.split("/")[0] for t in found}:
         results[result] = sorted(t for t in found if t.split("/")[0] == result)
     files.write_text(spark, f"{folder}/{LOG}", json.dumps({"files": results, "staged": staged}))
-    finish(spark, folder)
 
 
 def _named(spark: SparkSession, written: str, model: str) -> dict[str, str]:
