@@ -51,6 +51,9 @@ def stage_results(
     """
     spark = df.sparkSession
     finish(spark, folder)
+    for left in files.names(spark, folder):  # by writers that were cut off
+        if left.startswith("_staged-"):
+            files.remove(spark, f"{folder}/{left}")
     name = F.col(sheet).cast("string")
     checked = F.when(name.isNull() | F.contains(name, F.lit("/")), F.raise_error(F.concat(
         F.lit("no name of a sheet: "), F.coalesce(name, F.lit("null"))))).otherwise(name)
