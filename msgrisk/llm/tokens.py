@@ -66,7 +66,10 @@ def encode(
 
     short = map_rows(rows.where(~cut), whole, schema, 500)
     pieces = _pieces(rows.where(cut).withColumn("row", F.monotonically_increasing_id()), split)
-    parts = _parts(pieces.repartition("row", "piece"), path)
+    # A stated number, as Spark would put pieces together by their bytes, which are few
+    # for the time they take.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _parts(pieces.repartition(tasks, "row", "piece"), path)
     long = parts.groupBy("row").applyInPandas(_joiner(path), _long_schema(docs, id_column))
     return short.unionByName(long)
 
