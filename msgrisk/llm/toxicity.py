@@ -23,6 +23,7 @@ SIZE = 1 << 20  # features
 FOLDS, HELD_OUT = 4, 2
 KNOWN = 100_000  # words whose features a worker remembers
 SWAPS = 3  # other terms that each sentence with an identity term is rewritten with
+PENALTY = 10.0  # price of squared score changes under swaps
 
 # Our own list: neutral names of groups, in kinds that can stand for each other.
 IDENTITIES = (
@@ -76,10 +77,10 @@ def extractor():
     return features
 
 
-def swap_extractor():
+def swap_extractor(swaps: int = SWAPS):
     """Feature sets of sentences with an identity term, each beside its rewritten forms.
 
-    One list for a text: for each such sentence and each of up to ``SWAPS`` other
+    One list for a text: for each such sentence and each of up to ``swaps`` other
     terms of the kind, the sets that the swap takes away and adds, as
     ``[n, taken..., m, added...]``. A term is also swapped for none, so that its
     mention counts as little as which group it names.
@@ -92,7 +93,7 @@ def swap_extractor():
                 others = OTHERS[term]
                 turn = zlib.crc32(sentence.encode()) % len(others)
                 had = {f for w in words for f in word_features(w)}
-                for other in (None, *(others[turn:] + others[:turn])[:SWAPS]):
+                for other in (None, *(others[turn:] + others[:turn])[:swaps]):
                     swapped = words - {term} | ({other} - {None})
                     has = {f for w in swapped for f in word_features(w)}
                     out.add((tuple(sorted(had - has)), tuple(sorted(has - had))))
@@ -132,7 +133,7 @@ def favoured(rows: Rows, positive: np.ndarray, size: int) -> np.ndarray:
 
 def fit(
     rows: Rows, positive: np.ndarray, gone: Rows, new: Rows,
-    penalty: float = 10.0, ridge: float = 1e-4, steps: int = 400,
+    penalty: float = PENALTY, ridge: float = 1e-4, steps: int = 400,
 ) -> Model:
     """Logistic regression with a price on score changes under swapped terms.
 
@@ -179,16 +180,20 @@ def fit(
 
 def train(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    label: str = "toxic", limit: int = SAMPLE,
+    label: str = "toxic", limit: int = SAMPLE, swaps: int = SWAPS, penalty: float = PENALTY,
 ) -> Model:
-    """Fit on at most ``limit`` labelled documents outside the held-out fold."""
+    """Fit on at most ``limit`` labelled documents outside the held-out fold.
+
+    ``swaps`` is how many other terms of its kind stand in for each identity term of a
+    sentence, besides none, and ``penalty`` the price of what that changes.
+    """
 
     def both():
-        words, swaps = extractor(), swap_extractor()
+        words, rewritten = extractor(), swap_extractor(swaps)
 
         def features(text: str) -> np.ndarray:
             own = words(text)
-            return np.concatenate([[len(own)], own, swaps(text)]).astype(np.int32)
+            return np.concatenate([[len(own)], own, rewritten(text)]).astype(np.int32)
 
         return features
 
@@ -196,14 +201,14 @@ def train(
     lists = [np.frombuffer(f, "<i4") for f, _ in sample]
     positive = np.array([y == 1 for _, y in sample], bool)
     rows = Rows.of([x[1 : 1 + x[0]] for x in lists])
-    swaps = read_swaps([x[1 + x[0] :] for x in lists])
+    changes = read_swaps([x[1 + x[0] :] for x in lists])
     del sample, lists  # the fit needs their memory
-    return fit(rows, positive, *swaps)
+    return fit(rows, positive, *changes, penalty=penalty)
 
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    threshold: float = THRESHOLD, limit: int = SAMPLE,
+    threshold: float = THRESHOLD, limit: int = SAMPLE, swaps: int = SWAPS, penalty: float = PENALTY,
 ) -> DataFrame:
     """``(id, held_out, score, predicted)`` for each document, whole texts.
 
@@ -211,5 +216,5 @@ def toxicity(
     null id as not held out. Rows are judged one by one, so order and repetition do
     not matter. Without labels all scores are one half.
     """
-    model = train(docs, labels, id_column, text_column, limit=limit)
+    model = train(docs, labels, id_column, text_column, limit=limit, swaps=swaps, penalty=penalty)
     return judged(docs, model, extractor, FOLDS, HELD_OUT, id_column, text_column, threshold)

@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy, odd rows, and what swapped terms do to a score."""
 
+import random
 import zlib
 
 import numpy as np
@@ -109,3 +110,29 @@ def test_swapped_terms_lose_their_weight():
     gap = abs(score(fair, neutral[0]) - score(fair, neutral[1]))
     assert gap < 0.05 and score(fair, neutral[0]) - score(fair, "they saw the tree") < 0.05
     assert score(fair, "the women are scum") > 0.7 and score(fair, "the men are scum") > 0.7
+
+
+def test_the_penalty_changes_what_documents_score(spark):
+    """Through the whole operator: a neutral mention of a group costs nothing, an insult does."""
+    dice, rows = random.Random(2), []
+    for i in range(900):
+        words = [dice.choice(["house", "river", "green", "walk", "paper", "stone"]) for _ in range(8)]
+        toxic = i % 3 == 0
+        if toxic and dice.random() < 0.7:  # the rest is labelled so for the group alone
+            words[3] = dice.choice(["scumface", "dirtbrain"])
+        if dice.random() < (0.8 if toxic else 0.02):  # a group that insults often name
+            words[5] = "muslim"
+        rows.append((i, " ".join(words) + ".", int(toxic)))
+    asked = {2000: "The muslim family took a walk.", 2001: "The christian family took a walk.",
+             2002: "The family took a walk.", 2003: "What a scumface family."}
+    docs = spark.createDataFrame([r[:2] for r in rows] + list(asked.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+
+    def scores(**options):
+        found = toxicity.toxicity(docs, labels, **options).where("id >= 2000").collect()
+        return {r["id"]: r["score"] for r in found}
+
+    with_price, without = scores(), scores(penalty=0.0)
+    assert without[2000] > without[2001] + 0.2
+    assert with_price[2000] < without[2000] / 2 and abs(with_price[2000] - with_price[2001]) < 0.05
+    assert with_price[2003] > 0.5 > with_price[2000]
