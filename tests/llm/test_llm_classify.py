@@ -136,3 +136,29 @@ def test_the_penalty_changes_what_documents_score(spark):
     assert without[2000] > without[2001] + 0.2
     assert with_price[2000] < without[2000] / 2 and abs(with_price[2000] - with_price[2001]) < 0.05
     assert with_price[2003] > 0.5 > with_price[2000]
+
+
+def test_dual_descent_finds_the_least_hinge_loss():
+    """Against plain subgradient steps on the same objective, for a thousand times as many steps."""
+    dice = np.random.default_rng(5)
+    sets = [np.flatnonzero(dice.random(12) < 0.4) for _ in range(60)]
+    positive = np.array([len(s) % 3 == 0 or 2 in s for s in sets]) ^ (dice.random(60) < 0.1)
+    values = dice.normal(size=12)
+    model = quality.dual_descent(classify.Rows.of(sets), positive, values, rounds=2000)
+    sign = np.where(positive, 1.0, -1.0)
+    limit = 0.1 * 60 / 2 / np.where(positive, positive.sum(), (~positive).sum())
+    matrix = np.zeros((60, 13))
+    matrix[:, 12] = 1  # the intercept is a feature of all rows
+    for row, some in zip(matrix, sets):
+        row[some] = values[some]
+
+    def loss(w):
+        return 0.5 * w @ w + limit @ np.maximum(0, 1 - sign * (matrix @ w))
+
+    best, w = np.inf, np.zeros(13)
+    for step in range(1, 20_001):
+        open_ = sign * (matrix @ w) < 1
+        w -= (w - matrix.T @ (limit * sign * open_)) / (step + 10)
+        best = min(best, loss(w))
+    found = np.append(model.weights / values, model.intercept)
+    assert loss(found) <= best * 1.001
