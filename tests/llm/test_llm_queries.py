@@ -1,9 +1,14 @@
 """The registered queries against their SQL, and the pipeline against brute force."""
 
+import hashlib
 import re
+import struct
+import zlib
 
 import public_tokenizers
 import pytest
+from test_llm_groups import print_of
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -82,3 +87,63 @@ def test_stages_take_odd_rows(spark, sf_dir, tmp_path, stage):
         assert made.count() <= 100 and (some or made.count() == 0)
         if stage < 4:
             assert made.columns == docs.columns
+
+
+def texts_of(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    return {r["doc_id"]: r["text"] or "" for r in rows}
+
+
+def library(name):
+    made = Tokenizer.from_file(public_tokenizers.path(name))
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
+def test_bpe_query_equals_the_library(spark, sf_dir):
+    coder, want = library(queries.BYTE_VOCABULARY), []
+    for i, text in texts_of(spark, sf_dir).items():
+        ids = coder.encode(text, add_special_tokens=False).ids
+        back = coder.decode(ids, skip_special_tokens=False).encode()
+        digests = (hashlib.sha256(x).hexdigest() for x in (struct.pack(f"<{len(ids)}I", *ids), back))
+        want.append((i, len(ids), *digests))
+    found = queries.op1_bpe(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_simhash_query_equals_all_pairs(spark, sf_dir):
+    prints = {i: print_of(t) for i, t in texts_of(spark, sf_dir).items()}
+    root = {}
+    for i in sorted(prints):  # the smallest id of a group opens it
+        queue = [] if i in root else [i]
+        while queue:
+            x = queue.pop()
+            if x not in root:
+                root[x] = i
+                queue += [y for y in prints if (prints[x] ^ prints[y]).bit_count() <= 3]
+    want = [(i, f"{p:016x}", root[i]) for i, p in prints.items()]
+    assert sorted(map(tuple, queries.op4_simhash(spark, sf_dir).collect())) == sorted(want)
+
+
+def test_packing_query_holds_its_contract(spark, sf_dir):
+    coder, want = library(queries.WORD_VOCABULARY), []
+    for i, text in texts_of(spark, sf_dir).items():
+        ids = [*coder.encode(text, add_special_tokens=False).ids, 0]
+        for piece, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want.append((i, piece, at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))))
+    found = queries.op7_packing(spark, sf_dir)
+    assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    rows = found.collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(want)
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for sequence in places.values():
+        ends = [0]
+        for offset, length in sorted(sequence):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 2048
+    assert len(places) <= -(-sum(w[3] for w in want) // 2048) + 1
