@@ -601,8 +601,8 @@ def tool_calls(spark, sf_dir):
     """Each turn asks for tools: an expression, a function of texts, one of records, none."""
     turns = views.turns(spark, sf_dir).filter(F.col("text").isNotNull())
     names = ["shout", "reverse", "length", "missing"]
-    call = [F.struct(F.concat(F.lit("c"), F.lit(i)).alias("id"), F.lit(n).alias("name"),
-                     F.create_map(F.lit("text"), F.col("text")).alias("args")) for i, n in enumerate(names)]
+    args = F.create_map(F.lit("text"), F.col("text")).alias("args")
+    call = [F.struct(F.lit(f"c{i}").alias("id"), F.lit(n).alias("name"), args) for i, n in enumerate(names)]
     asked = turns.select("conv_id", "turn", F.array(*call).alias("tool_calls"))
     made = tools.run_calls(
         asked,
@@ -905,13 +905,13 @@ QUERIES = {
         metrics_json, dataset_counts, label_zip, callback_parse, first_text, callback_validate,
         callback_reject_reasons, callback_route_counts, conv_key, action_tier, advice_tier,
         alert_payload, notice_injection, notice_injection_global, callback_response,
-        callback_alerts, last3_messages, last3_chat_events, last3_one_chat, chat_messages, url_extract, url_extract_full,
-        url_maximal, page_text, page_title, url_page_join, page_store_join, page_fallback, evidence_doc,
+        callback_alerts, last3_messages, last3_chat_events, last3_one_chat, chat_messages,
+        url_extract, url_extract_full, url_maximal, page_text, page_title, url_page_join, page_store_join, page_fallback, evidence_doc,
         verdict_parse, reply_content, risk_keywords, terms_tagged, fraud_type, rule_rating, link_rating,
         score_batch, replies_kept, score_conversations, workflow_result, workflow_ratings, conversation_tiers,
-        stream_last_messages, stream_notices, stream_responses, stream_alerts, monitor_alerts, stream_datasets_scored, stream_eval_summary,
-        workflow_records, tool_calls, scored_dataset_files,
-        rubric_verdict, dataset_source, csv_documents, result_files, label_sheet_source, page_source,
+        stream_last_messages, stream_notices, stream_responses, stream_alerts, monitor_alerts,
+        stream_datasets_scored, stream_eval_summary, workflow_records, tool_calls,
+        scored_dataset_files, rubric_verdict, dataset_source, csv_documents, result_files, label_sheet_source, page_source,
         scored_labels_evaluated, label_sheets_merged,
     )
 }
