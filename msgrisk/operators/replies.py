@@ -28,6 +28,7 @@ KEY = ["_digest", "_size"]
 STORED = "_digest string, _size int, model string, reply string, attempts int, error string, accepted boolean"
 TEXTS_PER_TASK = 200  # what a task asks for before its replies are kept
 TASKS_PER_JOB = 10_000
+FEW_KEYS = 100_000  # of pending texts, 7 MB of keys, that go to all tasks
 
 # Each task's file becomes part of the table when the task ends, not when the job does.
 # Stores with committers of their own may keep replies by job; nothing is lost then but
@@ -74,20 +75,39 @@ def ask(
     spark = texts.sparkSession
     text = F.col(content).cast("string")
     some = F.col("_text").isNotNull() if empty else F.col("_text") != ""
-    pending = texts.select(text.alias("_text")).filter(some).distinct()
-    pending = pending.withColumns(text_key(F.col("_text")))
+    keyed = texts.select(text.alias("_text")).filter(some).withColumns(text_key(F.col("_text")))
     known = read_replies(spark, path, model)
     if again:
         known = known.filter("accepted")
-    pending = pending.join(known.select(*KEY), KEY, "left_anti")
-    count = pending.count()
+    # Keys alone tell what is pending; only pending texts are moved.
+    keys = scratch_path(spark, "pending-keys")
+    keyed.select(*KEY).distinct().join(known.select(*KEY), KEY, "left_anti").write.parquet(keys)
+    open_keys = spark.read.schema("_digest string, _size int").parquet(keys)
+    count = open_keys.count()
     if not count:
+        files.remove(spark, keys)
         return 0
+    if count <= FEW_KEYS:
+        pending = keyed.join(F.broadcast(open_keys), KEY, "left_semi").dropDuplicates(KEY)
+    else:  # copies are combined where they are read
+        pending = keyed.dropDuplicates(KEY).join(open_keys, KEY, "left_semi")
+    pending = pending.select("_text", *KEY)
+    _ask_all(pending, count, scorer, path, model, accept, attempts, texts_per_task)
+    files.remove(spark, keys)
+    return count
+
+
+def _ask_all(
+    pending: DataFrame, count: int, scorer: Scorer, path: str, model: str,
+    accept: Callable[[str | None], bool], attempts: int, texts_per_task: int,
+) -> None:
+    """Ask about ``count`` texts in one job, or in several of ``TASKS_PER_JOB`` tasks."""
+    spark = pending.sparkSession
     tasks = -(-count // texts_per_task)
     waves = -(-tasks // TASKS_PER_JOB)
     if waves == 1:
         _keep(pending.repartition(tasks, "_digest"), scorer, path, model, accept, attempts)
-        return count
+        return
     staged = scratch_path(spark, "pending")
     slot = F.pmod(F.xxhash64(*KEY), F.lit(waves)).cast("int").alias("_wave")
     pending.select("*", slot).write.partitionBy("_wave").parquet(staged)
@@ -97,7 +117,6 @@ def ask(
         dealt = some.repartition(-(-tasks // waves), "_digest")
         _keep(dealt, scorer, path, model, accept, attempts)
     files.remove(spark, staged)
-    return count
 
 
 def _keep(

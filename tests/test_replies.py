@@ -78,6 +78,7 @@ def test_a_job_cut_off_asks_no_kept_text_again(spark, tmp_path):
 
 def test_many_tasks_run_as_several_jobs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(replies, "TASKS_PER_JOB", 4)
+    monkeypatch.setattr(replies, "FEW_KEYS", 10)
     path, asked = str(tmp_path / "r"), Asked(tmp_path / "asked")
     df = table(spark, [f"text {i}" for i in range(100)] * 2)
     assert replies.ask(df, asked.scorer, path, "m", texts_per_task=7) == 100
